@@ -86,19 +86,28 @@ def candidates(
     When a reply repeats an id, escalation wins over acceptance and the last
     proposal counts; every repeat takes a place in the list.
     """
-    valid = first_valid(gate_ids(requested_ids(work), parse_replies(lite)))
-    judged = gate_items(valid, vocab, threshold).select(
-        "batch_no", "pos", "id", "canonical", "confidence", "passed"
+    asked = work.groupBy("batch_no").agg(
+        F.array_sort(F.collect_set("id")).alias("ids"),
+        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "id"))).alias("_asked"),
     )
-    broken = work.join(valid.select("batch_no"), "batch_no", "left_anti").select(
-        "batch_no",
-        F.col("pos").cast("int").alias("pos"),
-        "id",
-        F.lit(None).cast("string").alias("canonical"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.lit(False).alias("passed"),
+    valid = first_valid(gate_ids(asked.select("batch_no", "ids"), parse_replies(lite)))
+    # A broken batch stands in with its input items, none of which has a proposal.
+    blank = F.transform(
+        "_asked",
+        lambda i: F.struct(
+            i["pos"].alias("pos"),
+            i["id"].alias("id"),
+            F.lit(None).cast("string").alias("canonical"),
+            F.lit(None).cast("double").alias("confidence"),
+            F.lit(False).alias("is_new"),
+        ),
+    )
+    entries = asked.join(valid, "batch_no", "left").select(
+        "batch_no", F.coalesce("items", blank).alias("items")
+    )
+    seen = gate_items(entries, vocab, threshold).select(
+        "batch_no", "pos", "id", "canonical", "confidence", "passed"
     )
-    seen = judged.unionByName(broken)
     failed = ~F.col("passed")
     # Replies repeat ids at most as often as the model wrote them into one batch.
     place = F.sum(failed.cast("int")).over(Window.partitionBy("batch_no").orderBy("pos"))

@@ -143,31 +143,37 @@ def detect_clusters(
     song carrying the combination, then by its tags.
     """
     by = by or []
-    keys = [*by, "tags"]
-    base = top.select(*by, "song_id", "rank").join(tagged, "song_id")
-
-    def frequent(combos: DataFrame) -> DataFrame:
-        enough = combos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_songs)
-        return combos.join(enough.select(*keys), keys, "left_semi")
-
-    single = frequent(base.select(*by, "song_id", "rank", F.array("canon").alias("tags")))
-    combos = single
-    for _ in range(pair_size - 1):
-        one = single.select(*by, "song_id", F.col("tags")[0].alias("_next"))
-        grown = combos.join(one, [*by, "song_id"]).where(F.col("_next") > F.element_at("tags", -1))
-        combos = frequent(
-            grown.select(*by, "song_id", "rank", F.array_append("tags", F.col("_next")).alias("tags"))
-        )
-    found = combos.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "song_id"))).alias("_members"),
+    song = [*by, "song_id", "rank"]
+    # A top list has a fixed number of songs, so it broadcasts whatever the tag table's size.
+    base = tagged.join(F.broadcast(top.select(*song)), "song_id").select(*song, "canon")
+    carriers = F.count(F.lit(1)).over(Window.partitionBy(*by, "canon"))
+    common = base.withColumn("_n", carriers).where(F.col("_n") >= min_songs)
+    grown = common.groupBy(*song).agg(F.array_sort(F.collect_list("canon")).alias("_all")).select(
+        *song, "_all", F.posexplode("_all").alias("_at", "_tag")
     )
-    numbered = found.withColumn("songs", F.col("_members.song_id")).withColumn(
-        "cluster_id",
-        F.row_number().over(
-            Window.partitionBy(*by).orderBy(F.col("_members")[0]["rank"], F.col("tags"))
-        ),
+    grown = grown.select(*song, "_all", "_at", F.array("_tag").alias("tags"))
+    together = F.count(F.lit(1)).over(Window.partitionBy(*by, "tags"))
+    for size in range(2, pair_size + 1):
+        later = F.transform("_all", lambda tag, at: F.struct(at.alias("at"), tag.alias("tag")))
+        after = F.filter(later, lambda t: t["at"] > F.col("_at"))
+        grown = grown.select(*song, "_all", "tags", F.explode(after).alias("_next")).select(
+            *song,
+            "_all",
+            F.col("_next.at").alias("_at"),
+            F.array_append("tags", F.col("_next.tag")).alias("tags"),
+        )
+        if size < pair_size:
+            grown = grown.withColumn("_n", together).where(F.col("_n") >= min_songs)
+    found = grown.groupBy(*by, "tags").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "song_id"))).alias("_members")
+    ).where(F.size("_members") >= min_songs)
+    order = Window.partitionBy(*by).orderBy(F.col("_members")[0]["rank"], F.col("tags"))
+    return found.select(
+        *by,
+        "tags",
+        F.col("_members.song_id").alias("songs"),
+        F.row_number().over(order).alias("cluster_id"),
     )
-    return numbered.select(*keys, "songs", "cluster_id")
 
 
 def cluster_of(clusters: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -219,18 +225,29 @@ def trend_range(
     """The same scores for every week of a range, in one pass over the metrics.
 
     Readings become weekly peaks; a window over a song's weeks carries the running
-    peak and the number of weeks. The range's weeks join that window as rows
-    without a reading, so each asked week finds its three boundaries.
+    peak and the number of weeks. A song's first peak also brings one row without a
+    reading for every asked week, where that window finds the week's boundaries.
     """
     first, last = monday(first_week), monday(last_week)
-    peaks = _weekly_peaks(metrics, source).select("song_id", "_wk", "_peak", F.lit(1).alias("_seen"))
-    asked = peaks.select("song_id").distinct().select(
-        "song_id",
-        F.explode(_weeks_between(first, last)).alias("_wk"),
-        F.lit(None).cast("bigint").alias("_peak"),
-        F.lit(0).alias("_seen"),
+    peaks = _weekly_peaks(metrics, source)
+    is_first = F.row_number().over(Window.partitionBy("song_id").orderBy("_wk")) == 1
+
+    def entry(wk: Column, peak: Column, seen: int) -> Column:
+        return F.struct(wk.alias("_wk"), peak.alias("_peak"), F.lit(seen).alias("_seen"))
+
+    own = F.array(entry(F.col("_wk"), F.col("_peak"), 1))
+    asked = F.transform(
+        _weeks_between(first, last), lambda w: entry(w, F.lit(None).cast("bigint"), 0)
+    )
+    spine = (
+        peaks.withColumn("_first", is_first)
+        .select(
+            "song_id",
+            F.explode(F.when(F.col("_first"), F.concat(own, asked)).otherwise(own)).alias("_e"),
+        )
+        .select("song_id", "_e.*")
+        .withColumn("_day", F.unix_date("_wk"))
     )
-    spine = peaks.unionByName(asked).withColumn("_day", F.unix_date("_wk"))
     past = Window.partitionBy("song_id").orderBy("_day")
     ever = Window.unboundedPreceding
     filled = spine.select(
@@ -242,7 +259,7 @@ def trend_range(
         F.max("_peak").over(past.rangeBetween(ever, 0)).alias("v_end"),
         F.sum("_seen").over(past.rangeBetween(ever, 0)).alias("weeks"),
     )
-    views = filled.where((F.col("_seen") == 0))
+    views = filled.where(F.col("_seen") == 0)
 
     counts = deriv_counts(derived)
     reach = counts.where(

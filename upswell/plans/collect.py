@@ -55,8 +55,9 @@ def collect_daily(
 
 def upsert_day(spark: SparkSession, root: str, fresh: DataFrame) -> None:
     """Merges readings into the days they belong to; other days are not touched."""
-    days = fresh.select("metric_date").distinct()
-    stored = tables.scan(spark, root, "metrics_daily").join(F.broadcast(days), "metric_date", "left_semi")
+    # The few distinct dates become a literal filter, so other partitions are not listed.
+    days = [row[0] for row in fresh.select("metric_date").distinct().collect()]
+    stored = tables.scan(spark, root, "metrics_daily").where(F.col("metric_date").isin(days))
     merged = upserts.update_all(
         stored.select(*fresh.columns), fresh, ["song_id", "metric_date", "source"]
     )

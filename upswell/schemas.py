@@ -70,14 +70,17 @@ SONG_ITEM = T.StructType.fromDDL(
     " tags ARRAY<STRUCT<count: BIGINT, tag: STRUCT<id: BIGINT, name: STRING, categoryName: STRING>>>,"
     " pvs ARRAY<STRUCT<service: STRING, pvId: STRING, pvType: STRING>>"
 )
+# ``page`` is the request offset a collector may store with each document; it orders
+# pages that share a file. Documents without it are ordered by file.
 SONG_PAGE = T.StructType(
     [
+        T.StructField("page", T.LongType()),
         T.StructField("items", T.ArrayType(SONG_ITEM)),
         T.StructField("totalCount", T.LongType()),
     ]
 )
 METRIC_PAGE = T.StructType.fromDDL(
-    "data ARRAY<STRUCT<contentId: STRING, viewCounter: BIGINT, commentCounter: BIGINT,"
+    "page BIGINT, data ARRAY<STRUCT<contentId: STRING, viewCounter: BIGINT, commentCounter: BIGINT,"
     " mylistCounter: BIGINT, likeCounter: BIGINT>>"
 )
 SPAN = T.StructType.fromDDL("spanKind STRING, attributes STRING")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upswell.fixed_values import MAX_PAGES, PAGE_SIZE
@@ -20,12 +20,15 @@ def read_pages(spark: SparkSession, path: str, schema, whole_files: bool = False
     return pages.withColumn("page_file", F.col("_metadata.file_path"))
 
 
+def _place(pages: DataFrame) -> Column:
+    """Order of an entry among all pages: page number, file, position in the page."""
+    return F.struct(*[c for c in ("page", "page_file") if c in pages.columns], "at")
+
+
 def song_items(pages: DataFrame) -> DataFrame:
-    """One row per song document: ``item`` and its place ``seq`` (file, position)."""
-    keep = [c for c in pages.columns if c not in ("items", "totalCount", "page_file")]
-    place = F.struct(*keep, "page_file", "at") if "page_file" in pages.columns else F.struct(*keep, "at")
+    """One row per song document: ``item`` and its place ``seq``."""
     return pages.select("*", F.posexplode("items").alias("at", "item")).select(
-        *keep, place.alias("seq"), "item"
+        _place(pages).alias("seq"), "item"
     )
 
 
@@ -65,10 +68,8 @@ def metric_readings(pages: DataFrame) -> DataFrame:
 
     Counters the source did not send stay NULL.
     """
-    keep = [c for c in pages.columns if c not in ("data", "page_file")]
-    place = F.struct(*keep, "page_file", "at") if "page_file" in pages.columns else F.struct(*keep, "at")
     rows = pages.select("*", F.posexplode("data").alias("at", "d")).select(
-        place.alias("seq"),
+        _place(pages).alias("seq"),
         F.col("d.contentId").alias("content_id"),
         F.col("d.viewCounter").alias("views"),
         F.col("d.commentCounter").alias("comments"),

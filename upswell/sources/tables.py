@@ -39,3 +39,11 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
         write_partitioned(typed, path, PARTITIONED_BY[table])
     else:
         typed.write.mode("overwrite").parquet(path)
+
+
+def create_tables(spark: SparkSession, root: str) -> None:
+    """Makes the folders of tables that do not exist yet, with no rows."""
+    for table in TABLES:
+        empty = spark.createDataFrame([], TABLES[table])
+        by = PARTITIONED_BY.get(table, [])
+        empty.write.mode("append").partitionBy(*by).parquet(f"{root}/{table}")

@@ -63,11 +63,9 @@ def stream_deriv_weekly(
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        weeks = batch.select("week").distinct()
-        stored = (
-            spark.read.schema("song_id bigint, n bigint, week date").parquet(out)
-            .join(F.broadcast(weeks), "week", "left_semi")
-        )
+        weeks = [row[0] for row in batch.select("week").distinct().collect()]
+        stored = spark.read.schema("song_id bigint, n bigint, week date").parquet(out)
+        stored = stored.where(F.col("week").isin(weeks))
         merged = upserts.update_all(stored, batch.select(*stored.columns), ["song_id", "week"])
         tables.write_partitioned(merged, out, ["week"])
         batch.unpersist()
