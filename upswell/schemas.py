@@ -4,41 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+LONG, INT, TEXT = T.LongType(), T.IntegerType(), T.StringType()
+FLOAT, FLAG, DAY, TIME = T.FloatType(), T.BooleanType(), T.DateType(), T.TimestampType()
+
+
+def _row(required: str = "", **columns: T.DataType) -> T.StructType:
+    """A struct of the given columns; the space-separated ``required`` ones are NOT NULL."""
+    names = required.split()
+    return T.StructType([T.StructField(n, t, n not in names) for n, t in columns.items()])
+
+
 TABLES: dict[str, T.StructType] = {
-    "songs": T.StructType.fromDDL(
-        "id BIGINT NOT NULL, title STRING NOT NULL, publish_date DATE, song_type STRING,"
-        " nico_video_id STRING, youtube_video_id STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
+    "songs": _row(
+        "id title", id=LONG, title=TEXT, publish_date=DAY, song_type=TEXT,
+        nico_video_id=TEXT, youtube_video_id=TEXT, created_at=TIME, updated_at=TIME,
     ),
-    "artists": T.StructType.fromDDL(
-        "id BIGINT NOT NULL, name STRING NOT NULL, artist_type STRING,"
-        " created_at TIMESTAMP, updated_at TIMESTAMP"
+    "artists": _row(
+        "id name", id=LONG, name=TEXT, artist_type=TEXT, created_at=TIME, updated_at=TIME
     ),
-    "song_artists": T.StructType.fromDDL(
-        "song_id BIGINT NOT NULL, artist_id BIGINT NOT NULL, role STRING NOT NULL"
+    "song_artists": _row("song_id artist_id role", song_id=LONG, artist_id=LONG, role=TEXT),
+    "tags": _row(
+        "id name canon_status", id=LONG, name=TEXT, category=TEXT,
+        canon_name=TEXT, canon_confidence=FLOAT, canon_status=TEXT,
     ),
-    "tags": T.StructType.fromDDL(
-        "id BIGINT NOT NULL, name STRING NOT NULL, category STRING,"
-        " canon_name STRING, canon_confidence FLOAT, canon_status STRING NOT NULL"
+    "song_tags": _row("song_id tag_id", song_id=LONG, tag_id=LONG),
+    "derived_works": _row(
+        "original_song_id derived_song_id", original_song_id=LONG, derived_song_id=LONG,
+        relation_type=TEXT, derived_publish_date=DAY, discovered_at=TIME,
     ),
-    "song_tags": T.StructType.fromDDL("song_id BIGINT NOT NULL, tag_id BIGINT NOT NULL"),
-    "derived_works": T.StructType.fromDDL(
-        "original_song_id BIGINT NOT NULL, derived_song_id BIGINT NOT NULL,"
-        " relation_type STRING, derived_publish_date DATE, discovered_at TIMESTAMP"
+    "metrics_daily": _row(
+        "song_id metric_date source", song_id=LONG, metric_date=DAY, source=TEXT,
+        views=LONG, comments=LONG, mylists=LONG, likes=LONG,
     ),
-    "metrics_daily": T.StructType.fromDDL(
-        "song_id BIGINT NOT NULL, metric_date DATE NOT NULL, source STRING NOT NULL,"
-        " views BIGINT, comments BIGINT, mylists BIGINT, likes BIGINT"
+    "trend_scores": _row(
+        "song_id week", song_id=LONG, week=DAY, view_velocity=FLOAT, deriv_velocity=FLOAT,
+        is_coldstart=FLAG, cluster_id=INT, computed_at=TIME,
     ),
-    "trend_scores": T.StructType.fromDDL(
-        "song_id BIGINT NOT NULL, week DATE NOT NULL, view_velocity FLOAT,"
-        " deriv_velocity FLOAT, is_coldstart BOOLEAN, cluster_id INT, computed_at TIMESTAMP"
+    "weekly_reports": _row(
+        "week", week=DAY, narrative=TEXT, evidence=TEXT, model=TEXT, generated_at=TIME
     ),
-    "weekly_reports": T.StructType.fromDDL(
-        "week DATE NOT NULL, narrative STRING, evidence STRING, model STRING, generated_at TIMESTAMP"
-    ),
-    "song_embeddings": T.StructType.fromDDL(
-        "song_id BIGINT NOT NULL, embedding ARRAY<FLOAT>, source_text STRING,"
-        " model STRING, updated_at TIMESTAMP"
+    "song_embeddings": _row(
+        "song_id", song_id=LONG, embedding=T.ArrayType(FLOAT), source_text=TEXT,
+        model=TEXT, updated_at=TIME,
     ),
 }
 
@@ -63,24 +70,21 @@ PARTITIONED_BY: dict[str, list[str]] = {
     "weekly_reports": ["week"],
 }
 
-SONG_ITEM = T.StructType.fromDDL(
-    "id BIGINT, name STRING, publishDate STRING, songType STRING, originalVersionId BIGINT,"
-    " artists ARRAY<STRUCT<artist: STRUCT<id: BIGINT, name: STRING, artistType: STRING>,"
-    " categories: STRING, roles: STRING>>,"
-    " tags ARRAY<STRUCT<count: BIGINT, tag: STRUCT<id: BIGINT, name: STRING, categoryName: STRING>>>,"
-    " pvs ARRAY<STRUCT<service: STRING, pvId: STRING, pvType: STRING>>"
+SONG_ITEM = _row(
+    id=LONG, name=TEXT, publishDate=TEXT, songType=TEXT, originalVersionId=LONG,
+    artists=T.ArrayType(
+        _row(artist=_row(id=LONG, name=TEXT, artistType=TEXT), categories=TEXT, roles=TEXT)
+    ),
+    tags=T.ArrayType(_row(count=LONG, tag=_row(id=LONG, name=TEXT, categoryName=TEXT))),
+    pvs=T.ArrayType(_row(service=TEXT, pvId=TEXT, pvType=TEXT)),
 )
 # ``page`` is the request offset a collector may store with each document; it orders
 # pages that share a file. Documents without it are ordered by file.
-SONG_PAGE = T.StructType(
-    [
-        T.StructField("page", T.LongType()),
-        T.StructField("items", T.ArrayType(SONG_ITEM)),
-        T.StructField("totalCount", T.LongType()),
-    ]
-)
-METRIC_PAGE = T.StructType.fromDDL(
-    "page BIGINT, data ARRAY<STRUCT<contentId: STRING, viewCounter: BIGINT, commentCounter: BIGINT,"
-    " mylistCounter: BIGINT, likeCounter: BIGINT>>"
+SONG_PAGE = _row(page=LONG, items=T.ArrayType(SONG_ITEM), totalCount=LONG)
+METRIC_PAGE = _row(
+    page=LONG,
+    data=T.ArrayType(
+        _row(contentId=TEXT, viewCounter=LONG, commentCounter=LONG, mylistCounter=LONG, likeCounter=LONG)
+    ),
 )
-SPAN = T.StructType.fromDDL("spanKind STRING, attributes STRING")
+SPAN = _row(spanKind=TEXT, attributes=TEXT)
