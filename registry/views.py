@@ -124,4 +124,4 @@ def oracle(text: str, extra: dict[str, str] | None = None) -> str:
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}")
