@@ -122,23 +122,29 @@ def _flash(v, work, capped):
 
 
 def _capped(v, work):
-    cands = routing.candidates(work, _lite(v, work), canon.vocabulary(v.tags))
-    return routing.cap_escalation(cands, CAP)
+    return routing.escalate(work, _lite(v, work), canon.vocabulary(v.tags), cap=CAP)
 
 
 def _gated(v, work):
     return routing.gate_ids(routing.requested_ids(work), routing.parse_replies(_lite(v, work)))
 
 
-def _judged(v):
+def _valid(v):
     work = _work(v)
-    return routing.gate_items(routing.first_valid(_gated(v, work)), canon.vocabulary(v.tags))
+    return routing.first_valid(routing.requested_ids(work), _lite(v, work)).where("items is not null")
+
+
+def _judged(v):
+    return routing.gate_items(_valid(v), canon.vocabulary(v.tags))
 
 
 def _results(v, outages=None):
+    """What the ladder makes of the queue; the second tier answers what was sent to it."""
     work = _work(v)
-    flash = _flash(v, work, _capped(v, work))
-    return routing.route(work, _lite(v, work), flash, canon.vocabulary(v.tags), cap=CAP, outages=outages)
+    live = work if outages is None else routing.before_outage(work, outages)
+    capped = _capped(v, live)
+    results = routing.settle(live, capped, _flash(v, live, capped))
+    return results if outages is None else results.unionByName(routing.deferred(work, outages))
 
 
 # ---- queue and vocabulary ------------------------------------------------------
@@ -217,8 +223,7 @@ def _(v):
     select batch_no, count(*) as items, max(confidence) as top_confidence
     from {lite} where batch_ok group by batch_no""", **STEPS)
 def _(v):
-    valid = routing.first_valid(_gated(v, _work(v)))
-    return valid.select(
+    return _valid(v).select(
         "batch_no",
         F.size("items").cast("bigint").alias("items"),
         F.array_max(F.transform("items", lambda i: i["confidence"])).alias("top_confidence"),

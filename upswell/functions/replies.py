@@ -6,6 +6,8 @@ fields stay VARIANT until their type has been looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _is_number(value: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _json(text: Column) -> Column:
     """One whole JSON value, or NULL.
 
@@ -36,10 +43,29 @@ def _json(text: Column) -> Column:
 
 def reply_body(raw: Column) -> Column:
     """Reply without surrounding blanks and without a code fence."""
-    text = F.regexp_replace(raw, f"^{_BLANK}+|{_BLANK}+$", "")
-    inside = F.get(F.split(text, "```"), F.lit(1))
-    inside = F.when(inside.startswith("json"), F.substr(inside, F.lit(5))).otherwise(inside)
-    return F.when(text.startswith("```"), inside).otherwise(text)
+
+    def unfenced(text: Column) -> Column:
+        inside = F.get(F.split(text, "```"), F.lit(1))
+        inside = F.when(inside.startswith("json"), F.substr(inside, F.lit(5))).otherwise(inside)
+        return F.when(text.startswith("```"), inside).otherwise(text)
+
+    return _let(F.regexp_replace(raw, f"^{_BLANK}+|{_BLANK}+$", ""), unfenced)
+
+
+def _listed(data: Column) -> Column:
+    """The list of a reply: its ``items`` if it is an object, else the reply itself."""
+    inside = F.try_variant_get(data, "$.items", "variant")
+    return F.when(_type(data).startswith("OBJECT"), inside).otherwise(data)
+
+
+def _elements(listed: Column) -> Column:
+    """Elements of an array value, NULL for any other value."""
+    return F.when(_type(listed).startswith("ARRAY"), F.try_variant_get(listed, "$", "array<variant>"))
+
+
+def _all_objects(items: Column) -> Column:
+    objects = F.forall(items, lambda v: _type(v).startswith("OBJECT"))
+    return F.when(F.coalesce(objects, F.lit(False)), items)
 
 
 def reply_items(raw: Column) -> Column:
@@ -47,51 +73,58 @@ def reply_items(raw: Column) -> Column:
 
     Accepts ``{"items": [...]}`` or a bare array, all of whose elements are objects.
     """
-    data = _json(reply_body(raw))
-    listed = F.when(
-        F.schema_of_variant(data).startswith("OBJECT"),
-        F.try_variant_get(data, "$.items", "variant"),
-    ).otherwise(data)
-    items = F.when(
-        F.schema_of_variant(listed).startswith("ARRAY"),
-        F.try_variant_get(listed, "$", "array<variant>"),
-    )
-    objects = F.forall(items, lambda v: _type(v).startswith("OBJECT"))
-    return F.when(F.coalesce(objects, F.lit(False)), items)
+    data = _let(reply_body(raw), _json)
+    return _let(_let(_let(data, _listed), _elements), _all_objects)
+
+
+def _field(item: Column, name: str, body: Callable[[Column], Column]) -> Column:
+    return _let(F.try_variant_get(item, f"$.{name}", "variant"), body)
+
+
+def _flag(value: Column) -> Column:
+    return F.when(_type(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
 
 
 def item_id(item: Column) -> Column:
     """Echoed id as a BIGINT; NULL when it is missing or no whole number."""
-    value = F.try_variant_get(item, "$.id", "variant")
-    number = F.try_variant_get(value, "$", "decimal(38,10)")
-    whole = F.when(_is_number(value) & (number == F.floor(number)), number.try_cast("bigint"))
-    flag = F.try_variant_get(value, "$", "boolean").cast("bigint")
-    return F.when(_type(value) == "BOOLEAN", flag).otherwise(whole)
+
+    def whole(value: Column) -> Column:
+        number = F.try_variant_get(value, "$", "decimal(38,10)")
+        exact = F.when(_is_number(value) & (number == F.floor(number)), number.try_cast("bigint"))
+        return F.coalesce(_flag(value).cast("bigint"), exact)
+
+    return _field(item, "id", whole)
 
 
 def item_canonical(item: Column) -> Column:
     """Proposed term if it is a string with something in it, else NULL."""
-    value = F.try_variant_get(item, "$.canonical", "variant")
-    text = F.try_variant_get(value, "$", "string")
-    return F.when((_type(value) == "STRING") & ~text.rlike(f"^{_BLANK}*$"), text)
+
+    def term(value: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        return F.when((_type(value) == "STRING") & ~text.rlike(f"^{_BLANK}*$"), text)
+
+    return _field(item, "canonical", term)
 
 
 def item_is_new(item: Column) -> Column:
     """Truth value of the flag: 0, "", [], {}, null and false are false, the rest true."""
-    value = F.try_variant_get(item, "$.is_new", "variant")
-    number = F.try_variant_get(value, "$", "double")
-    empty = F.to_json(value).isin("null", "false", '""', "[]", "{}")
-    truth = F.when(_is_number(value), number != 0).otherwise(~empty)
-    return F.coalesce(truth, F.lit(False))
+
+    def truth(value: Column) -> Column:
+        number = F.try_variant_get(value, "$", "double")
+        empty = F.to_json(value).isin("null", "false", '""', "[]", "{}")
+        return F.when(_is_number(value), number != 0).otherwise(~empty)
+
+    return F.coalesce(_field(item, "is_new", truth), F.lit(False))
 
 
 def item_confidence(item: Column) -> Column:
     """Confidence as a double if it is a JSON number or boolean, else NULL."""
-    value = F.try_variant_get(item, "$.confidence", "variant")
-    flag = F.try_variant_get(value, "$", "boolean").cast("int").cast("double")
-    return F.when(_is_number(value), F.try_variant_get(value, "$", "double")).when(
-        _type(value) == "BOOLEAN", flag
-    )
+
+    def number(value: Column) -> Column:
+        plain = F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
+        return F.coalesce(plain, _flag(value).cast("int").cast("double"))
+
+    return _field(item, "confidence", number)
 
 
 def item_fields(items: Column) -> Column:

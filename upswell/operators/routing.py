@@ -20,6 +20,7 @@ from upswell.fixed_values import (
     PENDING,
 )
 from upswell.functions.replies import conf_ok, item_fields, reply_items
+from upswell.session import materialize
 
 
 def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -46,10 +47,21 @@ def gate_ids(requested: DataFrame, parsed: DataFrame) -> DataFrame:
     ).drop("ids")
 
 
-def first_valid(gated: DataFrame) -> DataFrame:
-    """Items of the first valid attempt; the second attempt is the last one used."""
-    usable = gated.where(F.col("ids_ok") & (F.col("attempt") <= 2))
-    return usable.groupBy("batch_no").agg(F.min_by("items", "attempt").alias("items"))
+def first_valid(requested: DataFrame, lite: DataFrame) -> DataFrame:
+    """Adds ``items`` of the first valid attempt; NULL where both attempts are broken.
+
+    Both replies of a batch meet in one row, so choosing needs no further shuffle and
+    the second is parsed only where the first failed.
+    """
+    raw = [F.max(F.when(F.col("attempt") == n, F.col("raw"))).alias(f"_raw{n}") for n in (1, 2)]
+    attempts = lite.groupBy("batch_no").agg(*raw)
+    parsed = requested.join(attempts, "batch_no", "left").withColumns(
+        {f"_items{n}": item_fields(reply_items(F.col(f"_raw{n}"))) for n in (1, 2)}
+    )
+    items = F.when(_ids_echoed(F.col("_items1"), F.col("ids")), F.col("_items1")).when(
+        _ids_echoed(F.col("_items2"), F.col("ids")), F.col("_items2")
+    )
+    return parsed.withColumn("items", items).drop("_raw1", "_raw2", "_items1", "_items2")
 
 
 def gate_items(valid: DataFrame, vocab: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -90,7 +102,6 @@ def candidates(
         F.array_sort(F.collect_set("id")).alias("ids"),
         F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "id"))).alias("_asked"),
     )
-    valid = first_valid(gate_ids(asked.select("batch_no", "ids"), parse_replies(lite)))
     # A broken batch stands in with its input items, none of which has a proposal.
     blank = F.transform(
         "_asked",
@@ -102,9 +113,7 @@ def candidates(
             F.lit(False).alias("is_new"),
         ),
     )
-    entries = asked.join(valid, "batch_no", "left").select(
-        "batch_no", F.coalesce("items", blank).alias("items")
-    )
+    entries = first_valid(asked, lite).select("batch_no", F.coalesce("items", blank).alias("items"))
     seen = gate_items(entries, vocab, threshold).select(
         "batch_no", "pos", "id", "canonical", "confidence", "passed"
     )
@@ -217,6 +226,24 @@ def deferred(work: DataFrame, outages: DataFrame) -> DataFrame:
     )
 
 
+def escalate(
+    work: DataFrame,
+    lite: DataFrame,
+    vocab: DataFrame,
+    threshold: float = CONFIDENCE_THRESHOLD,
+    cap: int = ESCALATION_CAP,
+) -> DataFrame:
+    """First half of the ladder. Its candidates are stored, so replies are parsed once."""
+    return cap_escalation(materialize(candidates(work, lite, vocab, threshold)), cap)
+
+
+def settle(
+    work: DataFrame, capped: DataFrame, flash: DataFrame, threshold: float = CONFIDENCE_THRESHOLD
+) -> DataFrame:
+    """Second half: one result per work item."""
+    return final_status(work, capped, accept_flash(capped, flash, threshold))
+
+
 def route(
     work: DataFrame,
     lite: DataFrame,
@@ -228,10 +255,7 @@ def route(
 ) -> DataFrame:
     """The whole ladder for replies already at hand, with a fixed vocabulary."""
     live = work if outages is None else before_outage(work, outages)
-    capped = cap_escalation(candidates(live, lite, vocab, threshold), cap)
-    results = final_status(live, capped, accept_flash(capped, flash, threshold)).select(
-        "batch_no", "pos", "id", "status", "canon_name", "confidence", "registers_vocab", "lite_canon"
-    )
+    results = settle(live, escalate(live, lite, vocab, threshold, cap), flash, threshold)
     return results if outages is None else results.unionByName(deferred(work, outages))
 
 

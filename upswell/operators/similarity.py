@@ -11,6 +11,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjec
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from upswell.functions.documents import source_text
 from upswell.functions.scores import effective_tag
@@ -90,7 +91,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _cosine_distance(vectors: pa.Array, reference: pa.Array) -> pa.Array:
     if len(vectors) == 0:
         return pa.array([], type=pa.float64())

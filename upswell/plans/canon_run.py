@@ -77,16 +77,14 @@ def _round(
     lite = first.unionByName(second)
     lite_out = lite.where("outage").select("batch_no")
     live = routing.before_outage(work, lite_out)
-    capped = materialize(
-        routing.cap_escalation(routing.candidates(live, lite.drop("outage"), vocab, threshold), cap)
-    )
+    capped = routing.escalate(live, lite.drop("outage"), vocab, threshold, cap)
     escalated = live.join(capped.where("escalated").select("batch_no", "id", "place"), ["batch_no", "id"])
     # The second tier sees the escalated items in escalation order.
     sent = canon.batch_payload(escalated.select("batch_no", F.col("place").alias("pos"), "id", "name"))
     flash = score_batches(sent, call, FLASH_MODEL, terms, 1)
     outages = lite_out.unionByName(flash.where("outage").select("batch_no"))
-    confirmed = routing.accept_flash(capped, flash.drop("attempt", "outage"), threshold)
-    done = routing.before_outage(routing.final_status(live, capped, confirmed), outages)
+    settled = routing.settle(live, capped, flash.drop("attempt", "outage"), threshold)
+    done = routing.before_outage(settled, outages)
     results = materialize(done.unionByName(routing.deferred(work, outages)))
     return results, not outages.isEmpty()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +63,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and read it from there.
 
-    For steps that must not run twice: outside calls, and positions that depend
-    on a particular range partitioning.
+    Cuts the lineage for steps that must not run twice: outside calls, positions that
+    depend on one particular range partitioning, and results used several times. A
+    written table survives lost executors, is pruned by column, and its size lets the
+    optimizer choose joins. (An eager ``checkpoint()`` would run the step twice.)
+    The folders stay until the retention of the shared folder removes them.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/upswell-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
