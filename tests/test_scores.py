@@ -1,0 +1,51 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from upswell.functions import scores
+
+
+def test_view_velocity(one):
+    v = lambda p, t: scores.view_velocity(F.lit(p), F.lit(t))
+    assert one(v(10_000, 30_000), v(0, 5), v(-3, 5), v(4, 0)) == (3.0, None, None, 0.0)
+
+
+def test_deriv_velocity(one):
+    v = lambda p, t: scores.deriv_velocity(F.lit(p), F.lit(t))
+    assert one(v(8, 8), v(0, 3), v(1, 0)) == (4.0, None, 0.0)
+
+
+def test_shares(one):
+    assert one(
+        scores.tag_share(F.lit(3), F.lit(12)),
+        scores.tag_share(F.lit(3), F.lit(0)),
+        scores.tag_share_delta(F.lit(10.0), F.lit(12.5)),
+    ) == (25.0, 0.0, 2.5)
+
+
+def test_coldstart(one):
+    assert one(scores.is_coldstart(F.lit(1)), scores.is_coldstart(F.lit(2))) == (True, False)
+
+
+def test_week_start(one):
+    sunday, monday = dt.date(2026, 7, 26), dt.date(2026, 7, 20)
+    assert one(scores.week_start(F.lit(sunday)), scores.week_start(F.lit(monday))) == (monday, monday)
+    with pytest.raises(ValueError):
+        scores.monday(sunday)
+
+
+def test_rounding(one):
+    assert one(
+        scores.ratio(F.lit(20), F.lit(90)),
+        scores.ratio(F.lit(1), F.lit(0)),
+        scores.round2(F.lit(2.345678)),
+        scores.round2(F.lit(None).cast("double")),
+    ) == (0.222, 0.0, 2.35, None)
+
+
+def test_effective_tag(one):
+    tag = lambda s, c: scores.effective_tag(F.lit(s), F.lit(c).cast("string"), F.lit("raw"))
+    assert one(
+        tag("canon_lite", "Rock"), tag("canon_flash", None), tag("pending", "Rock"), tag("demoted", "Rock")
+    ) == ("Rock", "raw", "raw", "raw")
