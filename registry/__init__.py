@@ -1,0 +1,7 @@
+"""Checked queries over the reference tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
