@@ -11,6 +11,7 @@ from upswell.functions import documents as doc
 from upswell.operators import catalogue, upserts
 from upswell.plans import collect
 from upswell.schemas import SONG_PAGE
+from upswell.session import materialize
 from upswell.sources import landed, tables
 
 # ---- documents made from the order lines ------------------------------------
@@ -388,7 +389,8 @@ def _(v):
            count(distinct case when original_version_id is not null then (original_version_id, id) end) as derived_seen
     from {bundle}""", **STEPS)
 def _(v):
-    frames = _frames(v)
+    # Parsed once, as in a collection run; every frame reads its own columns.
+    frames = catalogue.catalogue_frames(materialize(_bundles(v)), F.col("seq"))
     return catalogue.ingest_summary(frames, frames["songs"])
 
 

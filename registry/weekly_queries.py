@@ -65,11 +65,12 @@ def scored(v):
 
 
 def clusters(v):
-    return weekly.detect_clusters(weekly.top_velocity(scored(v)), v.etagged)
+    top = weekly.top_velocity(scored(v))
+    return weekly.detect_clusters(top, weekly.tags_of(top, v.esong_tags, v.etags))
 
 
 def trend(v):
-    return weekly.trend_rows(v.emetrics, v.ederived, v.etagged, WEEK)
+    return weekly.trend_rows(v.emetrics, v.ederived, v.esong_tags, v.etags, WEEK)
 
 
 # ---- projections ------------------------------------------------------------
@@ -345,5 +346,7 @@ RANGE_STEPS = dict(
     from {scored} s left join {cluster_of} c on c.song_id = s.song_id and c.week = s.week""", **RANGE_STEPS)
 def _(v):
     return _rounded(
-        weekly.trend_range(v.emetrics, v.ederived, v.etagged, dt.date(2024, 1, 1), dt.date(2024, 1, 29))
+        weekly.trend_range(
+            v.emetrics, v.ederived, v.esong_tags, v.etags, dt.date(2024, 1, 1), dt.date(2024, 1, 29)
+        )
     )

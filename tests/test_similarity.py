@@ -110,8 +110,8 @@ def test_run_embed_resumes(spark):
     ).repartition(1)
     stored = spark.createDataFrame([], ddl)
     at = F.lit(dt.datetime(2026, 7, 20))
-    table, summary = embed_run.run_embed(rows, stored, embed, "m", at, size=2)
+    table, summary = embed_run.run_embed(rows, stored, embed, "m", at, size=2, calls_at_once=1)
     assert tuple(summary.first()) == (10, 10, 8)
-    again, summary = embed_run.run_embed(rows, table, embed, "m", at, size=1)
+    again, summary = embed_run.run_embed(rows, table, embed, "m", at, size=1, calls_at_once=1)
     assert tuple(summary.first()) == (10, 2, 1) and again.count() == 9
     assert embed_run.run_embed(rows, again, embed, "m2", at)[1].first().stale == 10

@@ -22,11 +22,20 @@ def tagged(spark, rows):
     return spark.createDataFrame(rows, "song_id bigint, canon string")
 
 
+def links(spark, rows):
+    """The same as stored tables: links to tags, and tags with a confirmed canon."""
+    ids = {t: i for i, t in enumerate(sorted({t for _, t in rows}))}
+    tags = spark.createDataFrame(
+        [(i, t, "canon_lite") for t, i in ids.items()], "id bigint, canon_name string, canon_status string"
+    )
+    return spark.createDataFrame([(s, ids[t]) for s, t in rows], "song_id bigint, tag_id bigint"), tags
+
+
 def test_velocity_and_coldstart(spark):
     saturday = WEEK + 5 * DAY
     rows = [(1, saturday - 14 * DAY, "s", 1_000), (1, saturday - 7 * DAY, "s", 11_000), (1, saturday, "s", 41_000)]
     rows.append((2, saturday, "s", 300))
-    out = weekly.trend_rows(metrics(spark, rows), derived(spark, []), tagged(spark, []), WEEK)
+    out = weekly.trend_rows(metrics(spark, rows), derived(spark, []), *links(spark, []), WEEK)
     found = {r.song_id: (r.view_velocity, r.deriv_velocity, r.is_coldstart) for r in out.collect()}
     assert found == {1: (3.0, None, False), 2: (None, None, True)}
 
@@ -110,19 +119,19 @@ def test_range_equals_single_weeks(spark):
     import random
 
     rng = random.Random(11)
-    rows, links, tags = [], [], []
+    rows, found, tags = [], [], []
     for song in range(1, 30):
         views = 0
         for day in range(0, 42):
             if rng.random() < 0.35:
                 views += rng.randint(0, 50)
                 rows.append((song, WEEK + day * DAY, rng.choice("ab"), views))
-        links += [
+        found += [
             (song, 1000 * song + i, dt.datetime(2026, 7, 20) + dt.timedelta(hours=rng.randint(0, 42 * 24)))
             for i in range(rng.randint(0, 9))
         ]
         tags += [(song, t) for t in rng.sample("abcde", 3)]
-    args = metrics(spark, rows), derived(spark, links), tagged(spark, tags)
+    args = metrics(spark, rows), derived(spark, found), *links(spark, tags)
     many = weekly.trend_range(*args, WEEK, WEEK + 35 * DAY, top=10, cluster_min_songs=3)
     many = {(r.week, r.song_id): tuple(r)[2:] for r in many.collect()}
     for i in range(6):

@@ -115,18 +115,31 @@ def top_velocity(scored: DataFrame, n: int = TOP_N) -> DataFrame:
 def tag_pairs(tagged: DataFrame, min_songs: int = 1) -> DataFrame:
     """Tag pairs on one song and how many songs carry them.
 
-    A pair can reach ``min_songs`` only if both tags do, so rarer tags leave before
-    the self-join; pairs of one song stay within the vocabulary squared.
+    A pair can reach ``min_songs`` only if both tags do, so rarer tags leave first.
+    A song's remaining tags, which are distinct terms of the vocabulary, meet in one
+    row and are paired there: the links are shuffled once, not once per side.
     """
     common = tagged.groupBy("canon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_songs)
     kept = tagged.join(common.select("canon"), "canon", "left_semi")
-    left = kept.select("song_id", F.col("canon").alias("tag_a"))
-    right = kept.select("song_id", F.col("canon").alias("tag_b"))
-    pairs = left.join(right, "song_id").where(F.col("tag_a") < F.col("tag_b"))
+    per_song = kept.groupBy("song_id").agg(F.array_sort(F.collect_list("canon")).alias("_all"))
+    first = per_song.select("_all", F.posexplode("_all").alias("_at", "tag_a"))
+    pairs = first.select(
+        "tag_a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("tag_b")
+    )
     counted = pairs.groupBy("tag_a", "tag_b").agg(F.count(F.lit(1)).alias("songs"))
     return counted.where(F.col("songs") >= min_songs)
 
 
+def tags_of(top: DataFrame, song_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """``tag_map`` of the top songs only.
+
+    A top list has a fixed number of songs, so it broadcasts and the links are
+    filtered in their scan; nothing of the link table is shuffled for other songs.
+    """
+    listed = F.broadcast(top.select("song_id").distinct())
+    return tag_map(song_tags.join(listed, "song_id", "left_semi"), tags)
+
+
 def detect_clusters(
     top: DataFrame,
     tagged: DataFrame,
@@ -186,7 +199,8 @@ def cluster_of(clusters: DataFrame, by: list[str] | None = None) -> DataFrame:
 def trend_rows(
     metrics: DataFrame,
     derived: DataFrame,
-    tagged: DataFrame,
+    song_tags: DataFrame,
+    tags: DataFrame,
     week: dt.date | str,
     top: int = TOP_N,
     cluster_min_songs: int = CLUSTER_MIN_SONGS,
@@ -195,7 +209,8 @@ def trend_rows(
     """Scores of one week: one row per song that has metrics."""
     start = monday(week)
     scored = score(view_deltas(metrics, start, source), deriv_base(derived, start))
-    clusters = detect_clusters(top_velocity(scored, top), tagged, cluster_min_songs)
+    leaders = top_velocity(scored, top)
+    clusters = detect_clusters(leaders, tags_of(leaders, song_tags, tags), cluster_min_songs)
     # At most ``top`` rows, so the broadcast is bounded by the parameter.
     numbered = F.broadcast(cluster_of(clusters))
     return scored.join(numbered, "song_id", "left").select(
@@ -215,7 +230,8 @@ def _weeks_between(first: dt.date, last: dt.date) -> Column:
 def trend_range(
     metrics: DataFrame,
     derived: DataFrame,
-    tagged: DataFrame,
+    song_tags: DataFrame,
+    tags: DataFrame,
     first_week: dt.date | str,
     last_week: dt.date | str,
     top: int = TOP_N,
@@ -261,14 +277,13 @@ def trend_range(
     )
     views = filled.where(F.col("_seen") == 0)
 
-    counts = deriv_counts(derived)
-    reach = counts.where(
-        F.col("week").between(F.lit(first - 4 * WEEK), F.lit(last))
-    ).select(
-        "song_id",
-        "n",
-        F.posexplode(_weeks_ahead()).alias("_ago", "_days"),
-        "week",
+    found = F.col("discovered_at")
+    near = derived.where(
+        (found >= F.lit(first - 4 * WEEK).cast("timestamp"))
+        & (found < F.lit(last + WEEK).cast("timestamp"))
+    )
+    reach = deriv_counts(near).select(
+        "song_id", "n", "week", F.posexplode(_weeks_ahead()).alias("_ago", "_days")
     )
     reach = reach.select(
         "song_id", F.date_add("week", F.col("_days")).alias("week"), "n", "_ago"
@@ -291,6 +306,7 @@ def trend_range(
         scored.where(F.col("view_velocity").isNotNull()).select("week", "song_id", "view_velocity"),
         ["week"], top, F.desc("view_velocity"), F.asc("song_id"),
     )
+    tagged = tags_of(leaders, song_tags, tags)
     clusters = detect_clusters(leaders, tagged, cluster_min_songs, by=["week"])
     # At most ``top`` rows for each asked week.
     numbered = F.broadcast(cluster_of(clusters, by=["week"]))

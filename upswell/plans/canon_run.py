@@ -32,11 +32,14 @@ class ServiceUnavailable(Exception):
     """Raised by a model function when the service is down: defers, never escalates."""
 
 
-def score_batches(batches: DataFrame, call: ModelCall, model: str, vocab: Column, attempt: int) -> DataFrame:
-    """Sends every batch row's payload once; the replies are stored before use.
-
-    Result: ``batch_no, attempt, raw, outage``. A lost executor repeats only the
-    calls whose replies had not been stored.
+def score_batches(
+    batches: DataFrame, call: ModelCall, model: str, vocab: Column, attempt: int, calls_at_once: int = 8
+) -> DataFrame:
+    """Sends every batch row's payload; the replies are stored before use.
+
+    Result: ``batch_no, attempt, raw, outage``. A lost executor repeats the calls of
+    its unfinished tasks, no others. The batches are few bytes, which adaptive
+    execution would put into one task, so the number of tasks is given.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +61,9 @@ def score_batches(batches: DataFrame, call: ModelCall, model: str, vocab: Column
                 }
             )
 
-    sent = batches.select("batch_no", "payload", vocab.alias("vocab"))
+    sent = batches.repartition(calls_at_once, "batch_no").select(
+        "batch_no", "payload", vocab.alias("vocab")
+    )
     return materialize(
         sent.mapInPandas(ask, "batch_no bigint, attempt int, raw string, outage boolean")
     )

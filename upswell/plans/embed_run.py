@@ -16,7 +16,9 @@ from upswell.session import materialize
 EmbedCall = Callable[[list[str]], "list[list[float]]"]
 
 
-def embed_texts(stale: DataFrame, embed: EmbedCall, size: int = TEXT_BATCH) -> DataFrame:
+def embed_texts(
+    stale: DataFrame, embed: EmbedCall, size: int = TEXT_BATCH, calls_at_once: int = 8
+) -> DataFrame:
     """``song_id, source_text, embedding`` for every text, packed into batches per task.
 
     A batch whose call fails has NULL vectors, so the batches already paid for are
@@ -36,7 +38,7 @@ def embed_texts(stale: DataFrame, embed: EmbedCall, size: int = TEXT_BATCH) -> D
                 yield part.assign(embedding=pd.Series(vectors, index=part.index, dtype="object"))
 
     return materialize(
-        stale.select("song_id", "source_text").mapInPandas(
+        stale.select("song_id", "source_text").repartition(calls_at_once, "song_id").mapInPandas(
             run, "song_id bigint, source_text string, embedding array<float>"
         )
     )
@@ -56,10 +58,11 @@ def run_embed(
     model: str,
     run_at: Column,
     size: int = TEXT_BATCH,
+    calls_at_once: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """The embedding table after the run, and a one-row summary."""
     stale = similarity.select_stale(rows, stored, model)
-    vectors = embed_texts(stale, embed, size)
+    vectors = embed_texts(stale, embed, size, calls_at_once)
     fresh = embedding_rows(vectors, model, run_at)
     table = upserts.update_all(stored, fresh, ["song_id"])
     return table, embed_summary(rows, vectors)

@@ -37,7 +37,8 @@ def materialize_trend(
         weekly.trend_rows(
             stored["metrics_daily"],
             stored["derived_works"],
-            weekly.tag_map(stored["song_tags"], stored["tags"]),
+            stored["song_tags"],
+            stored["tags"],
             start,
             top,
             cluster_min_songs,
@@ -102,7 +103,8 @@ def backfill(
         weekly.trend_range(
             stored["metrics_daily"],
             stored["derived_works"],
-            weekly.tag_map(stored["song_tags"], stored["tags"]),
+            stored["song_tags"],
+            stored["tags"],
             first,
             last,
         ).withColumn("computed_at", F.current_timestamp())
