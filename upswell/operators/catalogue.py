@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from upswell.fixed_values import NICO_SERVICE, YOUTUBE_SERVICE
 from upswell.functions.documents import artist_role, parse_date, pick_pv
 from upswell.operators import upserts
+from upswell.schemas import KEYS
 
 
 def bundles(items: DataFrame, item: str = "item") -> DataFrame:
@@ -93,10 +94,13 @@ def catalogue_frames(bundled: DataFrame, seq: Column) -> dict[str, DataFrame]:
     }
 
 
-def merge_catalogue(
+def merge_entities(
     stored: dict[str, DataFrame], frames: dict[str, DataFrame], run_at: Column
 ) -> dict[str, DataFrame]:
-    """The six tables after the merge. Running it again changes only ``updated_at``."""
+    """Songs, artists and tags after the merge; again, only ``updated_at`` would change.
+
+    ``stored`` needs to hold only the part of each table the updates fall in.
+    """
 
     def stamped(name: str) -> DataFrame:
         base = stored[name]
@@ -108,25 +112,30 @@ def merge_catalogue(
         )
         return upserts.update_all(base, fresh, ["id"])
 
-    songs = stamped("songs")
-    derived = upserts.linked(frames["derived_works"], songs, "original_song_id", "id")
     return {
-        "songs": songs,
+        "songs": stamped("songs"),
         "artists": stamped("artists"),
         "tags": upserts.upsert_tags(stored["tags"], frames["tags"]),
-        "song_artists": upserts.insert_only(
-            stored["song_artists"], frames["song_artists"], ["song_id", "artist_id", "role"]
-        ),
-        "song_tags": upserts.insert_only(stored["song_tags"], frames["song_tags"], ["song_id", "tag_id"]),
-        "derived_works": upserts.keep_first(
-            stored["derived_works"],
-            derived.withColumn("discovered_at", run_at),
-            ["original_song_id", "derived_song_id"],
-            "discovered_at",
-        ),
     }
 
 
+def new_links(
+    stored: dict[str, DataFrame], frames: dict[str, DataFrame], run_at: Column
+) -> dict[str, DataFrame]:
+    """Link rows to append. Known links stay, so a derived work keeps its first discovery.
+
+    A derived work is linked only if its original is stored or part of this batch.
+    """
+    originals = stored["songs"].select("id").union(frames["songs"].select("id"))
+    derived = upserts.linked(frames["derived_works"], originals, "original_song_id", "id")
+    fresh = {
+        "song_artists": frames["song_artists"],
+        "song_tags": frames["song_tags"],
+        "derived_works": derived.withColumn("discovered_at", run_at),
+    }
+    return {name: upserts.new_rows(stored[name], df, KEYS[name]) for name, df in fresh.items()}
+
+
 def ingest_summary(frames: dict[str, DataFrame], songs_after: DataFrame) -> DataFrame:
     """One row of counts: rows per frame, derived links seen and linked."""
     names = ["songs", "artists", "tags", "song_artists", "song_tags"]

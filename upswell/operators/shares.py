@@ -54,12 +54,11 @@ def tag_week_counts(songs: DataFrame, song_tags: DataFrame, tags: DataFrame, wee
 
 def all_tag_shares(songs: DataFrame, song_tags: DataFrame, tags: DataFrame, week: dt.date | str) -> DataFrame:
     """Share this week and change against last week for every tag used this week."""
-    totals = week_totals(songs, week)
-    total_this = totals.select("total_this").scalar()
-    total_prev = totals.select("total_prev").scalar()
+    # One subquery for both totals.
+    totals = week_totals(songs, week).select(F.struct("total_this", "total_prev")).scalar()
     counts = tag_week_counts(songs, song_tags, tags, week).where(F.col("n_this") > 0)
-    this = tag_share(F.col("n_this"), total_this)
-    prev = tag_share(F.col("n_prev"), total_prev)
+    this = tag_share(F.col("n_this"), totals["total_this"])
+    prev = tag_share(F.col("n_prev"), totals["total_prev"])
     return counts.select(
         "canon",
         F.bround(this, 1).alias("share_pct"),

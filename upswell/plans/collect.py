@@ -12,28 +12,30 @@ from upswell.operators import catalogue, upserts
 from upswell.session import materialize
 from upswell.sources import landed, tables
 
-CATALOGUE = ("songs", "artists", "tags", "song_artists", "song_tags", "derived_works")
+ENTITIES = ("songs", "artists", "tags")
+LINKS = ("song_artists", "song_tags", "derived_works")
 
 
 def seed(spark: SparkSession, root: str, pages: str, whole_files: bool = False) -> dict[str, int]:
     """Merges landed song pages into the catalogue tables; returns the counts.
 
-    The merged tables are stored before any table folder is rewritten.
+    Entities are merged within the id ranges of the batch, and of links only the new
+    ones are appended, so the work follows the batch and not the tables. Entities are
+    written first: a run that fails in between is completed by running it again.
     """
-    items = landed.read_song_pages(spark, pages, whole_files)
-    bundled = materialize(catalogue.bundles(items))
-    frames = catalogue.catalogue_frames(bundled, F.col("seq"))
-    stored = {name: tables.scan(spark, root, name) for name in CATALOGUE}
-    run_at = F.lit(dt.datetime.now(dt.timezone.utc))
-    merged = {
+    bundled = materialize(catalogue.bundles(landed.read_song_pages(spark, pages, whole_files)))
+    frames = {
         name: materialize(frame)
-        for name, frame in catalogue.merge_catalogue(stored, frames, run_at).items()
+        for name, frame in catalogue.catalogue_frames(bundled, F.col("seq")).items()
     }
-    summary = catalogue.ingest_summary(frames, merged["songs"]).first().asDict()
-    for name, frame in merged.items():
+    run_at = F.lit(dt.datetime.now(dt.timezone.utc))
+    part = {name: tables.touched(spark, root, name, frames[name]) for name in ENTITIES}
+    for name, frame in catalogue.merge_entities(part, frames, run_at).items():
         tables.write_table(frame, root, name)
-        spark.catalog.refreshByPath(f"{root}/{name}")
-    return summary
+    stored = {name: tables.scan(spark, root, name) for name in ("songs", *LINKS)}
+    for name, frame in catalogue.new_links(stored, frames, run_at).items():
+        tables.append_table(frame, root, name)
+    return catalogue.ingest_summary(frames, stored["songs"]).first().asDict()
 
 
 def collect_daily(
@@ -55,9 +57,7 @@ def collect_daily(
 
 def upsert_day(spark: SparkSession, root: str, fresh: DataFrame) -> None:
     """Merges readings into the days they belong to; other days are not touched."""
-    # The few distinct dates become a literal filter, so other partitions are not listed.
-    days = [row[0] for row in fresh.select("metric_date").distinct().collect()]
-    stored = tables.scan(spark, root, "metrics_daily").where(F.col("metric_date").isin(days))
+    stored = tables.touched(spark, root, "metrics_daily", fresh)
     merged = upserts.update_all(
         stored.select(*fresh.columns), fresh, ["song_id", "metric_date", "source"]
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upswell.fixed_values import TEXT_BATCH
 from upswell.operators import similarity, upserts
 from upswell.session import materialize
+from upswell.sources import tables
 
 #: Called in a task with up to one batch of texts; returns one vector per text, in order.
 EmbedCall = Callable[[list[str]], "list[list[float]]"]
@@ -74,3 +75,19 @@ def embed_summary(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.agg(
         F.count(F.lit(1)).alias("stale"), F.count("embedding").alias("embedded")
     ).select(songs.alias("songs"), "stale", "embedded")
+
+
+def refresh_embeddings(
+    spark: SparkSession, root: str, embed: EmbedCall, model: str, run_at: Column, size: int = TEXT_BATCH
+) -> DataFrame:
+    """``run_embed`` over stored tables; rewrites only the id ranges with new vectors."""
+    at = tables.scan_tables(spark, root)
+    rows = similarity.source_rows(
+        at["songs"], at["song_artists"], at["artists"], at["song_tags"], at["tags"]
+    )
+    stale = similarity.select_stale(rows, at["song_embeddings"], model)
+    vectors = embed_texts(stale, embed, size)
+    fresh = embedding_rows(vectors, model, run_at)
+    part = tables.touched(spark, root, "song_embeddings", fresh)
+    tables.write_table(upserts.update_all(part, fresh, ["song_id"]), root, "song_embeddings")
+    return embed_summary(rows, vectors)

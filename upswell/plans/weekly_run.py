@@ -44,11 +44,16 @@ def materialize_trend(
             cluster_min_songs,
         ).withColumn("computed_at", F.current_timestamp())
     )
-    this_week = stored["trend_scores"].where(F.col("week") == F.lit(start))
-    tables.write_table(upserts.update_all(this_week, rows, ["song_id", "week"]), root, "trend_scores")
+    _merge_scores(spark, root, rows)
     return weekly.trend_summary(rows)
 
 
+def _merge_scores(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    """Upserts scores within the weeks they belong to."""
+    stored = tables.touched(spark, root, "trend_scores", rows)
+    tables.write_table(upserts.update_all(stored, rows, ["song_id", "week"]), root, "trend_scores")
+
+
 def run_weekly(
     spark: SparkSession,
     root: str,
@@ -73,9 +78,8 @@ def run_weekly(
         queue = canon.work_queue(stored["tags"], stored["song_tags"])
         results, _ = normalize(queue, canon.vocabulary(stored["tags"]), model_call)
         state["canon"] = rollups.run_summary(results).first().asDict()
-        # The table is rewritten from a stored copy: its folder must not be read meanwhile.
-        tables.write_table(materialize(upserts.canon_apply(stored["tags"], results)), root, "tags")
-        spark.catalog.refreshByPath(f"{root}/tags")
+        part = tables.touched(spark, root, "tags", results)
+        tables.write_table(upserts.canon_apply(part, results), root, "tags")
     state["trend"] = materialize_trend(spark, root, start).drop("week").first()
     state["trend"] = state["trend"].asDict() if state["trend"] else {}
     stored = tables.scan_tables(spark, root)
@@ -109,5 +113,4 @@ def backfill(
             last,
         ).withColumn("computed_at", F.current_timestamp())
     )
-    touched = stored["trend_scores"].where(F.col("week").between(F.lit(first), F.lit(last)))
-    tables.write_table(upserts.update_all(touched, rows, ["song_id", "week"]), root, "trend_scores")
+    _merge_scores(spark, root, rows)

@@ -63,12 +63,22 @@ KEYS: dict[str, list[str]] = {
     "song_embeddings": ["song_id"],
 }
 
-#: Columns the stored tables are laid out by, so that weekly and daily reads prune.
-PARTITIONED_BY: dict[str, list[str]] = {
-    "metrics_daily": ["metric_date"],
-    "trend_scores": ["week"],
-    "weekly_reports": ["week"],
+#: Date columns the weekly and daily tables are laid out by, so that reads prune.
+DATED_BY: dict[str, str] = {
+    "metrics_daily": "metric_date",
+    "trend_scores": "week",
+    "weekly_reports": "week",
+}
+
+#: Entity tables are laid out by ranges of their id, so that a merge reads and rewrites
+#: only the ranges its updates fall in; new entities have the highest ids.
+RANGED_BY: dict[str, str] = {
+    "songs": "id",
+    "artists": "id",
+    "tags": "id",
+    "song_embeddings": "song_id",
 }
+ID_RANGE = 1_000_000
 
 SONG_ITEM = _row(
     id=LONG, name=TEXT, publishDate=TEXT, songType=TEXT, originalVersionId=LONG,

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from upswell.schemas import PARTITIONED_BY, TABLES
+from upswell.schemas import DATED_BY, ID_RANGE, RANGED_BY, TABLES
 
 
-def scan(spark: SparkSession, root: str, table: str) -> DataFrame:
+def _layout(table: str) -> tuple[str, Column] | None:
+    """Partition column of a table and how it follows from a row, if it has one."""
+    if table in DATED_BY:
+        return DATED_BY[table], F.col(DATED_BY[table])
+    if table in RANGED_BY:
+        return "id_range", F.expr(f"{RANGED_BY[table]} div {ID_RANGE}")
+    return None
+
+
+def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
     """One stored table with its declared schema; no inference, so no extra read."""
-    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
+    schema = TABLES[table]
+    if table in RANGED_BY:
+        schema = T.StructType([*schema.fields, T.StructField("id_range", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{root}/{table}")
+
+
+def scan(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """One stored table."""
+    return _stored(spark, root, table).select(*TABLES[table].names)
 
 
 def scan_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -17,33 +36,56 @@ def scan_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {table: scan(spark, root, table) for table in TABLES}
 
 
+def touched(spark: SparkSession, root: str, table: str, updates: DataFrame) -> DataFrame:
+    """Stored rows of the days, weeks or id ranges that ``updates`` falls in.
+
+    The partition values, of which a batch of updates has few, become a literal
+    filter: other partitions are neither listed nor read.
+    """
+    column, value = _layout(table)
+    parts = [row[0] for row in updates.select(value.alias("part")).distinct().collect()]
+    return _stored(spark, root, table).where(F.col(column).isin(parts)).select(*TABLES[table].names)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces the partitions present in ``df`` and leaves the others alone.
 
-    Rows are spread by the partition columns, so each day or week is written by
-    few tasks; adaptive execution splits a day that is too large for one.
+    ``df`` may read the same partitions: they are replaced when the job commits.
+    Rows are spread by the partition columns, so each partition is written by few
+    tasks; adaptive execution splits one that is too large for a task.
     """
     spread = df.hint("rebalance", *by)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _typed(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[table]])
+
+
 def write_table(df: DataFrame, root: str, table: str) -> None:
-    """Stores a table: by partition where it has one, else whole.
+    """Stores rows: the partitions they fall in are replaced, or the whole table if it has none."""
+    path, layout = f"{root}/{table}", _layout(table)
+    if layout is None:
+        _typed(df, table).write.mode("overwrite").parquet(path)
+    else:
+        column, value = layout
+        write_partitioned(_typed(df, table).withColumn(column, value), path, [column])
+    df.sparkSession.catalog.refreshByPath(path)
 
-    A whole write must not go to the folder ``df`` is read from; write the next
-    version beside it and switch readers over.
-    """
+
+def append_table(df: DataFrame, root: str, table: str) -> None:
+    """Adds rows to a table without partitions; stored files stay as they are."""
     path = f"{root}/{table}"
-    typed = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[table]])
-    if table in PARTITIONED_BY:
-        write_partitioned(typed, path, PARTITIONED_BY[table])
-    else:
-        typed.write.mode("overwrite").parquet(path)
+    _typed(df, table).write.mode("append").parquet(path)
+    df.sparkSession.catalog.refreshByPath(path)
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
     """Makes the folders of tables that do not exist yet, with no rows."""
     for table in TABLES:
-        empty = spark.createDataFrame([], TABLES[table])
-        by = PARTITIONED_BY.get(table, [])
-        empty.write.mode("append").partitionBy(*by).parquet(f"{root}/{table}")
+        empty, layout = spark.createDataFrame([], TABLES[table]), _layout(table)
+        writer = empty.write
+        if layout is not None:
+            column, value = layout
+            writer = empty.withColumn(column, value).write.partitionBy(column)
+        writer.mode("append").parquet(f"{root}/{table}")

@@ -33,7 +33,9 @@ def stream_metrics(
         upsert_day(batch.sparkSession, root, rows)
         rows.unpersist()
 
-    arriving = spark.readStream.schema(METRIC_PAGE).json(pages)
+    arriving = spark.readStream.schema(METRIC_PAGE).option("mode", "FAILFAST").json(pages)
+    # Within one micro-batch the later file wins.
+    arriving = arriving.withColumn("page_file", F.col("_metadata.file_path"))
     return (
         arriving.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
