@@ -193,7 +193,7 @@ def _(v):
     select batch_no, 2, 21 - pos, id, nullif(canonical, ' '), 0.95::double, is_new
     from {sized} where batch_no % 5 <> 0""", **STEPS,
     sized="""
-    select i.* replace (20 - n + pos as pos) from {item} i
+    select i.* replace (cast(20 - n + pos as int) as pos) from {item} i
     join (select batch_no, count(*) as n from {work} group by batch_no) b using (batch_no)""")
 def _(v):
     parsed = routing.parse_replies(_lite(v, _work(v)))
