@@ -61,6 +61,9 @@ def test_ann_recall(spark):
         near = [r.song_id for r in similarity.ann_topk(model, emb, songs, song).collect()]
         assert len(set(exact) & set(near)) >= 9
     assert similarity.ann_topk(model, emb, songs, -1).collect() == []
+    # Buckets this narrow hold almost nothing: the exact search has to answer.
+    narrow = similarity.lsh_model(emb, bucket_length=1e-6, tables=1)
+    assert similarity.ann_topk(narrow, emb, songs, 0).collect() == similarity.cosine_topk(emb, songs, 0).collect()
 
 
 def test_source_rows_and_stale(spark):

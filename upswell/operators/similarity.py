@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from upswell.functions.documents import source_text
 from upswell.functions.scores import effective_tag
+from upswell.session import materialize
 
 
 def collect_artists(song_artists: DataFrame, artists: DataFrame) -> DataFrame:
@@ -206,8 +207,8 @@ def ann_topk(
 ) -> DataFrame:
     """Approximate form of ``cosine_topk``: only songs sharing a hash bucket compete.
 
-    Wider buckets and more tables raise recall and cost. Where fewer than ``k``
-    songs share a bucket the result is shorter.
+    Wider buckets and more tables raise recall and cost. Where fewer than ``k`` songs
+    share a bucket the exact search answers, so the result is never short.
     """
     units = unit_vectors(embeddings)
     # One vector comes to the driver: the model takes its query as a value.
@@ -215,9 +216,11 @@ def ann_topk(
     if query is None:
         return cosine_topk(embeddings, songs, song_id, k).limit(0)
     near = model.approxNearestNeighbors(units, query[0], k + 1, distCol="_euclid")
-    titled = near.where(F.col("song_id") != song_id).join(
-        songs.select(F.col("id").alias("song_id"), "title"), "song_id"
-    )
+    # At most k + 1 rows, stored because they are counted and then used.
+    found = materialize(near.where(F.col("song_id") != song_id).select("song_id", "_euclid"))
+    titled = found.join(songs.select(F.col("id").alias("song_id"), "title"), "song_id")
+    if titled.count() < k:
+        return cosine_topk(embeddings, songs, song_id, k)
     # On unit vectors the cosine distance is half the squared Euclidean one.
     dist = F.col("_euclid") * F.col("_euclid") / 2
     return titled.select("song_id", "title", dist.alias("dist")).orderBy(*_nearest()).limit(k)
