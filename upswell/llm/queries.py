@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import exact
+from upswell.llm import exact, hosts, mixing, sharding
 from upswell.session import apply_conf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,133 @@ def query(name: str, sql: str | None = None):
 )
 def exact_dedup(read) -> DataFrame:
     return exact.exact_groups(read("documents"))
+
+
+#: Rules written by hand: longest fitting one first, before any reputation.
+RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+_SUFFIX = r"(?:(?:com|co|org|net|gov|edu|ac)\.[a-z]{2}|[^.]+)"
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _level(name: str, rows: str) -> str:
+    """One level of the beta-binomial tree: ``rows`` has n, k and the prior mean m."""
+    return f"""
+    {name}_rows as ({rows}),
+    {name}_fit as (
+        select least(greatest(
+            coalesce((sum(n * pow(k / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.5),
+            0.001), 0.9) as r
+        from {name}_rows where n > 0),
+    {name} as (
+        select x.*, (1 - r) / r as c, (k + (1 - r) / r * m) / (n + (1 - r) / r) as mean
+        from {name}_rows x, {name}_fit)"""
+
+
+@query(
+    "op2_host_reputation",
+    rf"""
+    with rest as (
+        select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r
+        from pages),
+    parts as (
+        select page_id, translate(regexp_extract(r, '^[^/?#]*'), {_LETTERS}) as host,
+               regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path
+        from (select page_id, coalesce(r, '') as r from rest)),
+    fits as (
+        select *, case
+            when (host = 'www.example.com' or suffix(host, '.www.example.com')) and prefix(path, '/en/') then 'www.example.com/en/'
+            when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/') then 'example.com/en/'
+            when (host = 'net' or suffix(host, '.net')) and prefix(path, '/es/') then 'net/es/'
+            when (host = 'net' or suffix(host, '.net')) and prefix(path, '/fr/') then 'net/fr/'
+            when (host = 'com' or suffix(host, '.com')) and prefix(path, '/') then 'com/' end as rule
+        from parts),
+    per_host as (
+        select host, count(l.doc_id) as n, count(case when quality = 1 and toxic = 0 then 1 end) as k
+        from parts left join labels l on page_id = l.doc_id group by host),
+    names as (select *, regexp_replace(host, ':[0-9]*$', '') as name from per_host),
+    tree as (
+        select host, n::double as n, k::double as k,
+               case when name ~ '^[0-9.]+$' or prefix(name, '[') then '' else regexp_extract(name, '(?:^|\.)({_SUFFIX})$', 1) end as sfx,
+               case when name ~ '^[0-9.]+$' or prefix(name, '[') or regexp_extract(name, '([^.]+\.{_SUFFIX})$', 1) = ''
+                    then name else regexp_extract(name, '([^.]+\.{_SUFFIX})$', 1) end as domain
+        from names),
+    {_level("s", "select sfx, sum(n) as n, sum(k) as k, (select sum(k) / sum(n) from tree) as m from tree group by sfx")},
+    {_level("d", "select t.sfx, domain, sum(t.n) as n, sum(t.k) as k, any_value(s.mean) as m from tree t join s using (sfx) group by t.sfx, domain")},
+    {_level("h", "select t.host, t.n, t.k, d.mean as m from tree t join d using (sfx, domain)")}
+    select page_id, host, path, rule,
+           case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
+                when mean + 1.64 * sqrt(mean * (1 - mean) / (n + c + 1)) < 0.5 then 'block' else 'allow' end as verdict,
+           round(mean, 6) as reputation
+    from fits join h using (host)
+    """,
+)
+def host_reputation(read) -> DataFrame:
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    labels = read("labels").select(F.col("doc_id").alias("page_id"), good)
+    return hosts.judge_urls(read("pages"), labels, RULES)
+
+
+@query(
+    "op9_mix_sources",
+    """
+    with d as (
+        select doc_id, source,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+               md5('0:' || md5(coalesce('0' || doc_id, '1') || ':' || md5(coalesce(text, '')) || ':'
+                   || coalesce('0' || source, '1'))) as mixed
+        from documents),
+    s as (
+        select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth
+        from d group by source),
+    w as (
+        select *, [5, 2, 1][(nth - 1) % 3 + 1] as weight, 2 * source_size::double as cap,
+               sum(source_size) over ()::double as everything
+        from s),
+    held as (
+        select *,
+               coalesce(sum(cap) over (order by cap / weight, nth rows between unbounded preceding and 1 preceding), 0) as held,
+               sum(weight) over (order by cap / weight, nth rows between current row and unbounded following)::double as open
+        from w),
+    level as (
+        select (1.5::double * everything - held) / open as level from held
+        where weight * ((1.5::double * everything - held) / open) <= cap order by cap / weight, nth limit 1),
+    t as (select w.*, least(weight * level, cap) as target from w, level),
+    q as (
+        select d.*, source_size, target, everything,
+               sum(size) over (partition by d.source order by mixed rows unbounded preceding)::bigint as until
+        from d join t on d.source is not distinct from t.source),
+    c as (
+        select q.*, turn,
+               case when target > 0 then (until + turn * source_size)::double / target else 0::double end as finish
+        from q, (values (0), (1)) as turns(turn)),
+    p as (
+        select *, sum(size) over (order by finish, mixed, turn rows unbounded preceding) <= 1.5::double * everything as taken
+        from c)
+    select doc_id, size, source_size, target, (size * count(case when taken then 1 end))::bigint as taken
+    from p group by doc_id, mixed, size, source_size, target
+    """,
+)
+def mix_sources(read) -> DataFrame:
+    return mixing.mix(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_shards")
+def shards(read) -> DataFrame:
+    """Law ``rows``: the counts of the shards differ by one at most."""
+    placed = sharding.shuffled_shards(read("documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id",
+        sharding.record_bytes().alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
