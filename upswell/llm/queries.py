@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import exact, hosts, mixing, sharding
-from upswell.session import apply_conf
+from upswell.llm import decontaminate, exact, hosts, mixing, sharding, warc
+from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +176,63 @@ def shards(read) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op5_decontaminate",
+    f"""
+    with i as (select item_id, {_WORDS} as w from benchmark),
+    iw as (
+        select distinct item_id, least(len(w), 13) as width, array_to_string(w[p:p + 12], ' ') as win
+        from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as p from i where len(w) > 0)),
+    d as (select doc_id, {_WORDS} as w from documents),
+    widths as (select distinct width from iw),
+    dw as (
+        select doc_id, width, p, array_to_string(w[p:p + width - 1], ' ') as win
+        from (select doc_id, w, width, unnest(range(1, len(w) - width + 2)) as p from d, widths where len(w) >= width)),
+    m as (select doc_id, width, p, item_id from dw join iw using (width, win)),
+    hits as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + width)) as q from m) group by doc_id),
+    items as (
+        select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+        from (select distinct doc_id, item_id::varchar as item_id from m) group by doc_id)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+           coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join hits using (doc_id) left join items using (doc_id)
+    """,
+)
+def decontaminated(read) -> DataFrame:
+    found = decontaminate.scan(read("documents").select("doc_id", "text"), read("benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+@query(
+    "op6_warc_revisits",
+    """
+    with p as (
+        select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+        from pages),
+    f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+    select page_id, payload_bytes, payload_digest,
+           case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+    from f
+    """,
+)
+def warc_revisits(read) -> DataFrame:
+    pages = read("pages")
+    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    return warc.resolved(warc.read_archives(pages.sparkSession, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
