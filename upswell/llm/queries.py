@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import decontaminate, exact, hosts, mixing, sharding, warc
+from upswell.llm import decontaminate, exact, hosts, mixing, sharding, simhash, warc
 from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,10 @@ def warc_revisits(read) -> DataFrame:
     return warc.resolved(warc.read_archives(pages.sparkSession, path)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op7_simhash")
+def simhash_groups(read) -> DataFrame:
+    return simhash.near_groups(read("documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
