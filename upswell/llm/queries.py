@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import decontaminate, exact, hosts, mixing, sharding, simhash, warc
+from upswell.llm import decontaminate, exact, hosts, mixing, quality, sharding, simhash, warc
 from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,12 @@ def simhash_groups(read) -> DataFrame:
     return simhash.near_groups(read("documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op8_ordinal_quality")
+def ordinal_quality(read) -> DataFrame:
+    docs = read("documents").select("doc_id", "text")
+    model = quality.train(docs, quality.graded(read("labels")))
+    return quality.rate(docs, model).select(
+        "doc_id", "expected_grade", "tail", quality.selected().alias("kept")
+    )
