@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import decontaminate, exact, hosts, mixing, quality, sharding, simhash, warc
+from upswell.llm import decontaminate, exact, hosts, mixing, quality, sharding, simhash, templates, warc
 from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +252,44 @@ def ordinal_quality(read) -> DataFrame:
     return quality.rate(docs, model).select(
         "doc_id", "expected_grade", "tail", quality.selected().alias("kept")
     )
+
+
+_TOKENS = "list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end)"
+
+
+@query(
+    "op1_line_templates",
+    f"""
+    with split as (
+        select doc_id, text, md5(coalesce(text, '')) as text_key,
+               case when text is null then [] else string_split(text, chr(10)) end as ls
+        from documents),
+    line as (select doc_id, text_key, unnest(ls) as l, generate_subscripts(ls, 1) as nth from split),
+    tokened as (select * exclude (l), {_TOKENS} as t from line),
+    every as (
+        select *, array_to_string(t, ' ') as line, len(t) || ' ' || array_to_string(t[1:2], ' ') as leaf
+        from tokened where len(t) > 0),
+    found as (
+        select * from every where leaf in (select leaf from every group by leaf having count(distinct text_key) >= 5)),
+    weight as (select leaf, line, any_value(t) as t, count(distinct text_key) as w from found group by leaf, line),
+    token as (select leaf, line, w, unnest(t) as token, generate_subscripts(t, 1) as place from weight),
+    part as (
+        select *, token <> '<*>' and sum(w) over (partition by leaf, place, token) >= 5 as constant from token),
+    template as (
+        select line, string_agg(case when constant then token else '<*>' end, ' ' order by place) as template
+        from part group by line having count(case when constant then 1 end) >= 0.5 * count(*)),
+    matched as (select found.*, template from found join template using (line)),
+    gone as (
+        select distinct doc_id, text_key, nth from matched
+        where template in (select template from matched group by template having count(distinct text_key) >= 5)),
+    per_doc as (select doc_id, text_key, list(nth) as nths from gone group by doc_id, text_key)
+    select doc_id, len(ls)::bigint as n_lines, coalesce(len(nths), 0)::bigint as n_dropped,
+           sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(coalesce(nths, []), i)), chr(10)), ''))
+               as kept_sha256
+    from split left join per_doc using (doc_id, text_key)
+    """,
+)
+def line_templates(read) -> DataFrame:
+    cleaned = templates.drop_recurring_lines(read("documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
+    return cleaned.select("doc_id", "n_lines", "n_dropped", digest)
