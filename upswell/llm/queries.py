@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import decontaminate, exact, hosts, mixing, quality, sharding, simhash, templates, warc
+from upswell.llm import decontaminate, exact, hosts, mixing, quality, repeats, sharding, simhash, templates, warc
 from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,3 +293,10 @@ def line_templates(read) -> DataFrame:
     cleaned = templates.drop_recurring_lines(read("documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
     return cleaned.select("doc_id", "n_lines", "n_dropped", digest)
+
+
+@query("op3_suffix_repeats")
+def suffix_repeats(read) -> DataFrame:
+    return repeats.repeated_spans(read("documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
