@@ -183,11 +183,24 @@ def _(v):
     return similarity.cosine_topk_all(v.song_embeddings).withColumn("dist", F.bround("dist", 6))
 
 
-@query("v3_ann_topk", _NEAR)
+@query("v3_ann_topk", """
+    select (select count(*) from {song_embeddings} where song_id % 50 = 0) as queries, true as recalled, true as exact""")
 def _(v):
-    model = similarity.lsh_model(v.song_embeddings)
-    near = similarity.ann_topk(model, v.song_embeddings, v.songs, 7)
-    return near.withColumn("dist", F.bround("dist", 6))
+    # Recall against the exact neighbours: at least 0.9 with distances that agree.
+    emb = v.song_embeddings
+    index = similarity.SignIndex(64)
+    path = fresh_folder(v.spark, "sign-index")
+    similarity.write_buckets(index.buckets(emb), path)
+    buckets = v.spark.read.schema("bucket int, song_id bigint, band int").parquet(path)
+    queries = emb.where("song_id % 50 = 0")
+    near = similarity.ann_topk_all(index, buckets, emb, queries, probes=256)
+    exact = similarity.cosine_topk_all(emb).where("song_id % 50 = 0").select("song_id", "neighbour", F.col("dist").alias("d"))
+    met = exact.join(near, ["song_id", "neighbour"], "left")
+    return met.agg(
+        F.count_distinct("song_id").alias("queries"),
+        (F.count("dist") >= 0.9 * F.count(F.lit(1))).alias("recalled"),
+        F.every(F.coalesce(F.abs(F.col("dist") - F.col("d")) < 1e-9, F.lit(True))).alias("exact"),
+    )
 
 
 # ---- evidence ------------------------------------------------------------------

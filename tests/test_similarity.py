@@ -29,7 +29,6 @@ def test_topk(spark):
     assert near[0].dist == pytest.approx(0) and near[2].dist == pytest.approx(1) and np.isnan(near[3].dist)
     assert [r.song_id for r in similarity.cosine_topk(emb, songs, 1, 2).collect()] == [5, 2]
     assert similarity.cosine_topk(emb, songs, 77).collect() == []
-    assert similarity.cosine_topk(emb, titles(spark, [3]), 1).first().song_id == 3
 
 
 @pytest.mark.parametrize("block_rows", [7, 1000])
@@ -52,18 +51,77 @@ def test_all_pairs_against_brute_force(spark, block_rows):
         assert found[i] == others[:4], i
 
 
-def test_ann_recall(spark):
-    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("song_id"), "embedding")
+def embeddings_at(spark, folder):
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    return table.select(F.col("vec_id").alias("song_id"), "embedding")
+
+
+def neighbours(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r.song_id, set()).add(r.neighbour)
+    return out
+
+
+def test_ann_recall_and_share(spark):
+    emb = embeddings_at(spark, "sf0.1").cache()
+    index = similarity.SignIndex(64)
+    buckets = index.buckets(emb).cache()
+    queries = emb.where("song_id % 50 = 0")
+    exact = neighbours(similarity.cosine_topk_all(emb))
+
+    def measured(probes):
+        near = neighbours(similarity.ann_topk_all(index, buckets, emb, queries, probes=probes))
+        recall = sum(len(exact[q] & near.get(q, set())) for q in range(0, 2000, 50)) / 400
+        share = similarity.candidates(index, buckets, queries, probes).count() / (40 * 2000)
+        return recall, share
+
+    # Noise without structure: the worst case for any index.
+    recall, share = measured(32)
+    assert recall >= 0.6 and share <= 0.2
+    recall, share = measured(128)
+    assert recall >= 0.9 and share <= 0.4
+
+
+def test_ann_on_structured_vectors(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    m = (centres[np.arange(800) % 40] + 0.3 * rng.normal(size=(800, 32))).astype(np.float32)
+    emb = vectors(spark, [(i, m[i].tolist()) for i in range(800)]).cache()
+    index = similarity.SignIndex(32, bands=16)
+    buckets = index.buckets(emb).cache()
+    queries = emb.where("song_id % 50 = 0")
+    exact = neighbours(similarity.cosine_topk_all(emb).where("song_id % 50 = 0"))
+    near = neighbours(similarity.ann_topk_all(index, buckets, emb, queries, probes=16))
+    assert sum(len(exact[q] & near[q]) for q in exact) >= 0.9 * 10 * len(exact)
+    assert similarity.candidates(index, buckets, queries, 16).count() <= 0.2 * 16 * 800
+
+
+def test_ann_single_query(spark, tmp_path):
+    emb = embeddings_at(spark, "sf0.001")
     songs = emb.select(F.col("song_id").alias("id"), F.lit("t").alias("title"))
-    model = similarity.lsh_model(emb)
-    for song in (0, 123, 300):
-        exact = [r.song_id for r in similarity.cosine_topk(emb, songs, song).collect()]
-        near = [r.song_id for r in similarity.ann_topk(model, emb, songs, song).collect()]
-        assert len(set(exact) & set(near)) >= 9
-    assert similarity.ann_topk(model, emb, songs, -1).collect() == []
-    # Buckets this narrow hold almost nothing: the exact search has to answer.
-    narrow = similarity.lsh_model(emb, bucket_length=1e-6, tables=1)
-    assert similarity.ann_topk(narrow, emb, songs, 0).collect() == similarity.cosine_topk(emb, songs, 0).collect()
+    index = similarity.SignIndex(64)
+    similarity.write_buckets(index.buckets(emb), str(tmp_path / "index"))
+    buckets = spark.read.parquet(str(tmp_path / "index"))
+    batch = neighbours(similarity.ann_topk_all(index, buckets, emb, emb.where("song_id = 123")))
+    one = similarity.ann_topk(index, buckets, emb, songs, 123).collect()
+    assert {r.song_id for r in one} == batch[123] and one == sorted(one, key=lambda r: r.dist)
+    assert similarity.ann_topk(index, buckets, emb, songs, -1).collect() == []
+
+
+@pytest.mark.parametrize("rows", [[(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], [(1, [1.0, 2.0]), (2, [None, 1.0])]])
+def test_vectors_of_other_sizes_are_refused(spark, rows):
+    emb = vectors(spark, [*rows, (3, [0.5, 0.5])]).coalesce(1)
+    with pytest.raises(Exception, match="one size|NULL value"):
+        similarity.cosine_topk_all(emb).collect()
+    with pytest.raises(Exception, match="one size|NULL value"):
+        similarity.cosine_topk(emb, titles(spark, [1, 2]), 3).collect()
+
+
+def test_missing_vectors_are_left_out(spark):
+    emb = vectors(spark, [(1, [1.0, 2.0]), (2, None), (3, [3.0, 4.0])])
+    assert [r.song_id for r in similarity.cosine_topk(emb, titles(spark, [1, 2, 3]), 1).collect()] == [3]
+    assert similarity.cosine_topk(emb, titles(spark, [1, 2, 3]), 2).collect() == []
 
 
 def test_source_rows_and_stale(spark):

@@ -5,16 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.functions.documents import source_text
 from upswell.functions.scores import effective_tag
+from upswell.operators import ranking
 from upswell.session import materialize
 
 
@@ -54,11 +52,16 @@ def source_rows(
 
 
 def select_stale(rows: DataFrame, stored: DataFrame, model: str) -> DataFrame:
-    """Songs whose text or model differs from what is stored, with the new text."""
+    """Songs whose text or model differs from what is stored, with the new text.
+
+    The join is on the song alone, by which ``rows`` is partitioned already; of the stored
+    texts only 128-bit digests move.
+    """
     text = source_text(F.col("title"), F.col("song_type"), F.col("artists"), F.col("tags"))
     current = rows.select("song_id", text.alias("source_text"))
-    same = stored.where(F.col("model") == model).select("song_id", "source_text")
-    return current.join(same, ["song_id", "source_text"], "left_anti")
+    known = stored.where(F.col("model") == model).select("song_id", F.md5("source_text").alias("_known"))
+    joined = current.join(known, "song_id", "left")
+    return joined.where(~F.col("_known").eqNullSafe(F.md5("source_text"))).drop("_known")
 
 
 def parse_vectors(responses: DataFrame) -> DataFrame:
@@ -82,8 +85,18 @@ def parse_vectors(responses: DataFrame) -> DataFrame:
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Rows of a list array as doubles, without visiting single values."""
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    """Rows of a list array as doubles, without visiting single values.
+
+    All rows must have one length and no missing value: anything else would shift values
+    from one vector into the next.
+    """
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if vectors.null_count or len(set(sizes.tolist())) > 1:
+        raise ValueError("embeddings must all be present and have one size")
+    values = vectors.flatten()
+    if values.null_count:
+        raise ValueError("an embedding has a NULL value")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -92,26 +105,40 @@ def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-@F.arrow_udf(T.DoubleType())
-def _cosine_distance(vectors: pa.Array, reference: pa.Array) -> pa.Array:
-    if len(vectors) == 0:
-        return pa.array([], type=pa.float64())
-    query = _unit(_matrix(reference.slice(0, 1)))[0]
-    return pa.array(1.0 - _unit(_matrix(vectors)) @ query, type=pa.float64())
+def _held(embeddings: DataFrame) -> DataFrame:
+    """Songs that have a vector."""
+    return embeddings.where(F.col("embedding").isNotNull()).select("song_id", "embedding")
+
+
+def vector_of(embeddings: DataFrame, song_id: int) -> np.ndarray | None:
+    """One song's vector scaled to length 1: the one row a single search brings to the driver."""
+    row = _held(embeddings).where(F.col("song_id") == song_id).first()
+    return None if row is None else _unit(np.array([row["embedding"]], np.float64))[0]
+
+
+def _distance(reference: np.ndarray):
+    """Cosine distance of a vector column to one vector, which travels with the task."""
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(vectors: pa.Array) -> pa.Array:
+        if len(vectors) == 0:
+            return pa.array([], type=pa.float64())
+        return pa.array(1.0 - _unit(_matrix(vectors)) @ reference, type=pa.float64())
+
+    return distance
 
 
 def distance_to(embeddings: DataFrame, song_id: int) -> DataFrame:
     """Cosine distance of every other song to one song; no rows for an unknown song.
 
-    One scan, no shuffle. The reference row is a scalar subquery. Measured on 200,000
-    vectors of 64 floats, Arrow batches took half the time of higher-order functions.
+    One scan, no shuffle. Measured on 200,000 vectors of 64 floats, Arrow batches took half
+    the time of higher-order functions.
     """
-    reference = embeddings.where(F.col("song_id") == song_id).select("embedding").scalar()
-    others = embeddings.where(F.col("song_id") != song_id).select(
-        "song_id", "embedding", reference.alias("_ref")
-    )
-    known = others.where(F.col("_ref").isNotNull())
-    return known.select("song_id", _cosine_distance("embedding", "_ref").alias("dist"))
+    reference = vector_of(embeddings, song_id)
+    others = _held(embeddings).where(F.col("song_id") != song_id)
+    if reference is None:
+        return others.limit(0).select("song_id", F.lit(None).cast("double").alias("dist"))
+    return others.select("song_id", _distance(reference)("embedding").alias("dist"))
 
 
 def _nearest(column: str = "dist") -> list[Column]:
@@ -119,108 +146,193 @@ def _nearest(column: str = "dist") -> list[Column]:
     return [F.col(column).asc_nulls_last(), F.asc("song_id")]
 
 
+def _titled(near: DataFrame, songs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of ``near`` with their titles: the limit comes before the join."""
+    best = near.orderBy(*_nearest()).limit(k)
+    titled = best.join(songs.select(F.col("id").alias("song_id"), "title"), "song_id")
+    return titled.select("song_id", "title", "dist").orderBy(*_nearest())
+
+
 def cosine_topk(embeddings: DataFrame, songs: DataFrame, song_id: int, k: int = 10) -> DataFrame:
-    """The ``k`` nearest songs that the catalogue holds, with title and distance."""
-    near = distance_to(embeddings, song_id)
-    titled = near.join(songs.select(F.col("id").alias("song_id"), "title"), "song_id")
-    return titled.select("song_id", "title", "dist").orderBy(*_nearest()).limit(k)
+    """The ``k`` nearest songs with title and distance.
+
+    Every embedding belongs to a stored song (the write checks it), so ``k`` rows are taken
+    first and only they are joined to the catalogue.
+    """
+    return _titled(distance_to(embeddings, song_id), songs, k)
 
 
 def cosine_topk_all(embeddings: DataFrame, k: int = 10, block_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest songs of every song, exactly: ``song_id, neighbour, dist, rank``.
 
-    Ids are hashed into blocks of about ``block_rows`` vectors, and every pair of
-    blocks is one task: a matrix product whose rows keep their best ``k`` at once.
-    What leaves a task is ``k`` rows per song and block, never all pairs. Work grows
-    with the square of the songs; ``ann_topk`` is the way for very large sets.
+    Ids are hashed into blocks of about ``block_rows`` vectors, and every unordered pair of
+    blocks is one task: a matrix product read by rows and by columns, of which every song
+    keeps its best ``k`` at once. What leaves a task is ``k`` rows per song and block,
+    never all pairs. Work grows with the square of the songs; ``ann_topk_all`` is the way
+    for very large sets.
     """
-    n = embeddings.count()
+    held = _held(embeddings)
+    n = held.count()
     blocks = max(1, math.ceil(n / block_rows))
-    placed = embeddings.select(
-        "song_id", "embedding", F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int").alias("_b")
+    own = F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")
+    partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = held.select("song_id", "embedding", own.alias("own"), partner.alias("partner")).select(
+        "song_id", "embedding", "own", F.least("own", "partner").alias("lb"), F.greatest("own", "partner").alias("rb")
     )
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.select("song_id", "embedding", F.col("_b").alias("lb"), every.alias("rb"))
-    right = placed.select("song_id", "embedding", F.col("_b").alias("rb"), every.alias("lb"))
-
-    def block_best(a: pa.Table, b: pa.Table) -> pa.Table:
-        fields = ["song_id", "neighbour", "dist"]
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({f: [] for f in fields}, schema=best_schema)
-        ids = np.asarray(a["song_id"])
-        others = np.asarray(b["song_id"])
-        units = _unit(_matrix(a["embedding"].combine_chunks()))
-        other_units = _unit(_matrix(b["embedding"].combine_chunks()))
+    schema = pa.schema([("song_id", pa.int64()), ("neighbour", pa.int64()), ("dist", pa.float64())])
+
+    def best(ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray) -> list[pa.Table]:
         out = []
-        # Slices of the left block bound the distance matrix held at once.
+        # Slices of one block bound the distance matrix held at once.
         for at in range(0, len(ids), 1024):
             part = ids[at : at + 1024]
             dist = 1.0 - units[at : at + 1024] @ other_units.T
             dist[np.isnan(dist)] = np.inf
             dist[part[:, None] == others[None, :]] = np.nan
-            order = np.lexsort((np.broadcast_to(others, dist.shape), dist), axis=1)[:, :k]
-            rows = np.repeat(part, order.shape[1])
-            found = pd.DataFrame(
-                {
-                    "song_id": rows,
-                    "neighbour": others[order].ravel(),
-                    "dist": np.take_along_axis(dist, order, axis=1).ravel(),
-                }
-            )
-            out.append(found[found["dist"].notna()])
-        best = pd.concat(out)
-        return pa.Table.from_pandas(best[fields], schema=best_schema, preserve_index=False)
-
-    best_schema = pa.schema(
-        [("song_id", pa.int64()), ("neighbour", pa.int64()), ("dist", pa.float64())]
-    )
-    best = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(
-        block_best, "song_id bigint, neighbour bigint, dist double"
-    )
-    order = Window.partitionBy("song_id").orderBy("dist", "neighbour")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            # All that are no further than the k-th: ties are settled by id below.
+            kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+            row, column = np.nonzero((dist <= kth[:, None]) | (np.isnan(kth)[:, None] & ~np.isnan(dist)))
+            order = np.lexsort((others[column], dist[row, column], row))
+            row, column = row[order], column[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            row, column = row[keep], column[keep]
+            out.append(pa.table([part[row], others[column], dist[row, column]], schema=schema))
+        return out
+
+    def block_pair(rows: pa.Table) -> pa.Table:
+        ids, own = np.asarray(rows["song_id"]), np.asarray(rows["own"])
+        units = _unit(_matrix(rows["embedding"].combine_chunks()))
+        left = own == own.min()
+        if left.all():  # a block with itself, or with an empty one
+            same = rows["lb"][0].as_py() == rows["rb"][0].as_py()
+            found = best(ids, units, ids, units) if same else []
+        else:
+            found = best(ids[left], units[left], ids[~left], units[~left])
+            found += best(ids[~left], units[~left], ids[left], units[left])
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    pairs = dealt.groupBy("lb", "rb").applyInArrow(block_pair, "song_id bigint, neighbour bigint, dist double")
+    ranked = ranking.top_n_per(pairs, ["song_id"], k, F.col("dist"), F.col("neighbour"))
     return ranked.withColumn("dist", F.nullif("dist", F.lit(float("inf"))))
 
 
-def lsh_model(
-    embeddings: DataFrame, bucket_length: float = 2.0, tables: int = 8, seed: int = 17
-) -> BucketedRandomProjectionLSHModel:
-    """Random-projection hashing of unit vectors. On them Euclid ranks as cosine does."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    return lsh.fit(unit_vectors(embeddings))
+class SignIndex:
+    """Banded sign signatures: how vectors are hashed into buckets, and where to look for one.
+
+    A band takes the signs of ``bits`` random projections as one bucket number: all bits of
+    a band must agree, any band may. A search also probes the buckets whose differing bits
+    have the smallest projections; ``probes`` buckets per band are its width.
+    """
+
+    def __init__(self, size: int, bands: int = 48, bits: int = 14, seed: int = 17):
+        self.bands, self.bits = bands, bits
+        self.planes = np.random.default_rng(seed).normal(size=(size, bands * bits))
+
+    def _projected(self, rows: np.ndarray) -> np.ndarray:
+        return (rows @ self.planes).reshape(len(rows), self.bands, self.bits)
+
+    def buckets(self, embeddings: DataFrame) -> DataFrame:
+        """``band, bucket, song_id``: a narrow table to store, partitioned by band."""
+        weights = 1 << np.arange(self.bits)
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def signed(vectors: pa.Array) -> pa.Array:
+            if len(vectors) == 0:
+                return pa.array([], pa.list_(pa.int32()))
+            keys = ((self._projected(_matrix(vectors)) > 0) * weights).sum(axis=2)
+            return pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))
+
+        held = _held(embeddings)
+        return held.select("song_id", F.posexplode(signed("embedding")).alias("band", "bucket"))
+
+    def probe(self, vector: np.ndarray, probes: int) -> list[tuple[int, int]]:
+        """The (band, bucket) pairs to look into: per band the likeliest ``probes``."""
+        found = []
+        for band, values in enumerate(self._projected(vector[None, :])[0]):
+            own = int(((values > 0) * (1 << np.arange(self.bits))).sum())
+            order = np.argsort(np.abs(values))[:10]
+            cost = np.abs(values)[order]
+            # Flips among the ten weakest bits, by the sum of what they cost.
+            flips = np.arange(1 << len(order))
+            chosen = (flips[:, None] >> np.arange(len(order))) & 1
+            for flip in chosen[np.argsort(chosen @ cost, kind="stable")[:probes]]:
+                found.append((band, own ^ int(sum(1 << int(b) for b in order[flip == 1]))))
+        return found
+
+    def probed(self, queries: DataFrame, probes: int) -> DataFrame:
+        """``query, band, bucket`` for every song of ``queries``."""
+
+        @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+        def looked(vectors: pa.Array) -> pa.Array:
+            rows = _unit(_matrix(vectors)) if len(vectors) else []
+            return pa.array([self.probe(row, probes) for row in rows], pa.list_(pa.list_(pa.int32())))
+
+        pairs = _held(queries).select(F.col("song_id").alias("query"), F.explode(looked("embedding")).alias("p"))
+        return pairs.select("query", F.col("p")[0].alias("band"), F.col("p")[1].alias("bucket"))
 
 
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """``song_id`` and the vector scaled to length 1."""
-    vectors = embeddings.select("song_id", array_to_vector("embedding").alias("vector"))
-    return Normalizer(inputCol="vector", outputCol="unit").transform(vectors).drop("vector")
+def write_buckets(buckets: DataFrame, path: str) -> None:
+    """Stores an index: one folder per band, buckets sorted so that files are skipped."""
+    buckets.repartitionByRange("band", "bucket").sortWithinPartitions("band", "bucket").write.partitionBy(
+        "band"
+    ).mode("overwrite").parquet(path)
+
+
+def candidates(index: SignIndex, buckets: DataFrame, queries: DataFrame, probes: int = 64) -> DataFrame:
+    """``query, song_id``: pairs that share a probed bucket, each once.
+
+    One join on (band, bucket), whose hot buckets adaptive execution splits.
+    """
+    met = index.probed(queries, probes).join(buckets, ["band", "bucket"])
+    return met.where(F.col("query") != F.col("song_id")).select("query", "song_id").distinct()
+
+
+def ann_topk_all(
+    index: SignIndex, buckets: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 10, probes: int = 64
+) -> DataFrame:
+    """Approximate neighbours of every song of ``queries``: ``song_id, neighbour, dist, rank``.
+
+    ``buckets`` is the stored table of ``index``. Only songs in a probed bucket compete;
+    their distances are exact and equal ones rank by id. A query whose buckets hold fewer
+    than ``k`` songs has fewer neighbours: ``probes`` is the knob.
+    """
+    met = candidates(index, buckets, queries, probes)
+    asked = _held(queries).select(F.col("song_id").alias("query"), F.col("embedding").alias("_asked"))
+    both = met.join(_held(embeddings), "song_id").join(asked, "query")
+
+    @F.arrow_udf(T.DoubleType())
+    def between(a: pa.Array, b: pa.Array) -> pa.Array:
+        if len(a) == 0:
+            return pa.array([], type=pa.float64())
+        return pa.array(1.0 - (_unit(_matrix(a)) * _unit(_matrix(b))).sum(axis=1), type=pa.float64())
+
+    dist = both.select(
+        F.col("query").alias("song_id"), F.col("song_id").alias("neighbour"), between("embedding", "_asked").alias("dist")
+    )
+    return ranking.top_n_per(dist, ["song_id"], k, F.col("dist").asc_nulls_last(), F.col("neighbour"))
 
 
 def ann_topk(
-    model: BucketedRandomProjectionLSHModel,
+    index: SignIndex,
+    buckets: DataFrame,
     embeddings: DataFrame,
     songs: DataFrame,
     song_id: int,
     k: int = 10,
+    probes: int = 64,
 ) -> DataFrame:
-    """Approximate form of ``cosine_topk``: only songs sharing a hash bucket compete.
+    """Approximate form of ``cosine_topk``: only songs in a probed bucket compete.
 
-    Wider buckets and more tables raise recall and cost. Where fewer than ``k`` songs
-    share a bucket the exact search answers, so the result is never short.
+    The probed buckets are a list of ``bands * probes`` pairs, small whatever the table
+    holds; the index is narrow, and vectors are read for the songs met.
     """
-    units = unit_vectors(embeddings)
-    # One vector comes to the driver: the model takes its query as a value.
-    query = units.where(F.col("song_id") == song_id).select("unit").first()
-    if query is None:
-        return cosine_topk(embeddings, songs, song_id, k).limit(0)
-    near = model.approxNearestNeighbors(units, query[0], k + 1, distCol="_euclid")
-    # At most k + 1 rows, stored because they are counted and then used.
-    found = materialize(near.where(F.col("song_id") != song_id).select("song_id", "_euclid"))
-    titled = found.join(songs.select(F.col("id").alias("song_id"), "title"), "song_id")
-    if titled.count() < k:
+    vector = vector_of(embeddings, song_id)
+    if vector is None:
         return cosine_topk(embeddings, songs, song_id, k)
-    # On unit vectors the cosine distance is half the squared Euclidean one.
-    dist = F.col("_euclid") * F.col("_euclid") / 2
-    return titled.select("song_id", "title", dist.alias("dist")).orderBy(*_nearest()).limit(k)
+    spark = embeddings.sparkSession
+    looked = spark.createDataFrame(index.probe(vector, probes), "band int, bucket int")
+    met = buckets.join(F.broadcast(looked), ["band", "bucket"]).where(F.col("song_id") != song_id)
+    met = met.select("song_id").distinct()
+    near = _held(embeddings).join(met, "song_id", "left_semi")
+    return _titled(near.select("song_id", _distance(vector)("embedding").alias("dist")), songs, k)
