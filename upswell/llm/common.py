@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,28 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def set_aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """``df`` with its columns of the ``taken`` names renamed, and their old names again.
+
+    An operator that keeps all columns adds some of its own for a while; a column of the
+    same name in the input must neither be lost nor be taken for the operator's.
+    """
+    own = {c.lower() for c in df.columns}
+    used = {c.lower() for c in taken}
+    names = {}
+    for c in df.columns:
+        new = c
+        while new.lower() in used or (new != c and new.lower() in own):
+            new += "_"
+        names[c] = new
+        own.add(new.lower())
+
+    def back(result: DataFrame) -> list[Column]:
+        return [result[f"`{new}`"].alias(old) for old, new in names.items()]
+
+    return df.toDF(*names.values()), back
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from upswell.llm.common import set_aside
+
 #: Words of an unfolded text: ASCII digits and letters and all characters beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Byte by byte: A-Z folded, ASCII characters of no word to spaces, the rest as it is.
@@ -92,12 +94,12 @@ def scan(
             T.StructField("_words", T.BinaryType()),
         ]
     )
-    kept = docs.drop(*added.names)
+    kept, back = set_aside(docs.drop(*added.names[:-1]), ["_words"])
     schema = T.StructType([*kept.schema.fields, *added.fields])
     found = kept
     for items in blocks(benchmark, block_bytes):
         found = found.mapInArrow(_scanner(items, width, added.names), schema)
-    return found.select(*kept.columns, *added.names[:-1])
+    return found.select(*back(found), *added.names[:-1])
 
 
 def _scanner(items: list[tuple[object, str | None]], width: int, names: list[str]) -> Callable:
@@ -163,4 +165,6 @@ def contaminated(share: int = 20) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    return scan(docs, benchmark, width).where(~contaminated()).select(*docs.columns)
+    aside, back = set_aside(docs, ["n_words", "n_hit", "n_items", "items", "spans"])
+    clean = scan(aside, benchmark, width).where(~contaminated())
+    return clean.select(*back(clean))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upswell.llm.common import set_aside
 from upswell.session import materialize
 
 
@@ -102,4 +103,6 @@ def drop_copies(docs: DataFrame, **how: int) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col("_gone_text")
     )
-    return docs.join(gone, same, "left_anti")
+    aside, back = set_aside(docs, gone.columns)
+    left = aside.join(gone, same, "left_anti")
+    return left.select(*back(left))

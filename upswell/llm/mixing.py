@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upswell.llm.common import WORD, null_last, running_total
+from upswell.llm.common import WORD, null_last, running_total, set_aside
 from upswell.operators.ranking import global_rank
 from upswell.session import materialize
 
@@ -116,9 +116,9 @@ def take(docs: DataFrame, **how) -> DataFrame:
     Of rows that repeat doc_id, source and text one is used. Documents without words are
     not part of a mix.
     """
-    copies = mix(docs, **how).where("taken > 0").select(F.col("doc_key").alias("_key"), "copies")
-    once = docs.withColumn("_key", document_key()).dropDuplicates(["_key"])
-    return once.join(copies.withColumnRenamed("copies", "_copies"), "_key").select(
-        *[once[c] for c in docs.columns],
-        F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n"),
-    ).drop("_n")
+    copies = mix(docs, **how).where("taken > 0").select(F.col("doc_key").alias("_key"), F.col("copies").alias("_copies"))
+    aside, back = set_aside(docs, ["_key", "_copies", "_n"])
+    once = aside.withColumn("_key", document_key()).dropDuplicates(["_key"])
+    turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    taken = once.join(copies, "_key").withColumn("_n", turns)
+    return taken.select(*back(taken))

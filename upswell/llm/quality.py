@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from upswell.llm.common import set_aside
+
 #: Features are hashed into this many weights.
 BUCKETS = 1 << 17
 #: Labelled documents used for the fit, at most: the ones with the smallest seeded hashes.
@@ -118,7 +120,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, decay: flo
     Weights are shared by all thresholds; thresholds stay in order as a first value and
     positive gaps. Of a document all distinct buckets count once.
     """
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], np.int64)
     index = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
     count = len(rows)
@@ -237,4 +239,6 @@ def selected(least_tail: float = 0.5) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose best grade is likely enough."""
     model = train(docs, graded(labels), sample)
-    return rate(docs, model).where(selected(least_tail)).select(*docs.columns)
+    aside, back = set_aside(docs, ["expected_grade", "tail"])
+    good = rate(aside, model).where(selected(least_tail))
+    return good.select(*back(good))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upswell.llm.common import partitions_for, shuffle_width
+from upswell.llm.common import partitions_for, set_aside, shuffle_width
 from upswell.session import materialize
 
 #: Rows that repeat a key more often than this are dealt over several buckets.
@@ -40,25 +40,27 @@ def shuffled_shards(
     All columns stay; shard and slot replace columns of these names. An empty table gives
     no rows. A single text may be larger than ``bucket_bytes``; it then is a bucket's bulk.
     """
-    kept = docs.drop("shard", "slot")
+    own = ["shard", "slot", "_hot", "_times", "_bucket", "_rows", "_start", "_all", "_at", "_place"]
+    kept, back = set_aside(docs.drop("shard", "slot"), own)
     total = kept.agg(F.sum(record_bytes())).first()[0]
     buckets = partitions_for(total, bucket_bytes, shuffle_width(docs))
 
     repeated = materialize(
-        kept.groupBy(F.col("doc_id").alias("_hot")).count().where(F.col("count") > HOT_ROWS)
+        kept.groupBy(F.col("doc_id").alias("_hot"))
+        .agg(F.count(F.lit(1)).alias("_times"))
+        .where(F.col("_times") > HOT_ROWS)
     )
     keyed = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_hot")), "left")
     # Texts tell apart the rows of a hot doc_id; equal ones are told apart by chance alone.
     salt = F.when(
-        F.col("_hot").isNotNull() | F.col("count").isNotNull(),
-        F.xxhash64("text", F.monotonically_increasing_id()),
+        F.col("_times").isNotNull(), F.xxhash64("text", F.monotonically_increasing_id())
     ).otherwise(F.lit(0))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", salt), F.lit(buckets)).cast("int")
-    scattered = materialize(keyed.withColumn("_bucket", bucket).drop("_hot", "count"))
+    scattered = materialize(keyed.withColumn("_bucket", bucket).drop("_hot", "_times"))
 
+    # One row per bucket: as many as there are tasks.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per bucket: as many as there are tasks.
     starts = counts.select(
         "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
@@ -67,24 +69,15 @@ def shuffled_shards(
     permuted = scattered.groupBy("_bucket").applyInArrow(
         _fisher_yates(seed), T.StructType([*scattered.schema.fields, T.StructField("_at", T.LongType())])
     )
-    place = F.col("_start") + F.col("_at")
-    small, larger = F.expr(f"_all div {shards}"), F.expr(f"_all % {shards}")
-    edge = larger * (small + 1)
-    return (
-        permuted.join(starts, "_bucket")
-        .withColumn("_place", place)
-        .withColumn(
-            "shard",
-            F.when(F.col("_place") < edge, F.expr(f"_place div (_all div {shards} + 1)"))
-            .otherwise(larger + F.expr(f"(_place - (_all % {shards}) * (_all div {shards} + 1)) div (_all div {shards})"))
-            .cast("int"),
-        )
-        .withColumn(
-            "slot",
-            F.col("_place") - F.col("shard") * small - F.least(F.col("shard").cast("long"), larger),
-        )
-        .select(*kept.columns, "shard", "slot")
-    )
+    # The first ``larger`` shards have one row more than the others.
+    placed = permuted.join(starts, "_bucket").withColumn("_place", F.col("_start") + F.col("_at"))
+    rows, larger = F.expr(f"_all div {shards}"), F.expr(f"_all % {shards}")
+    shard = F.when(
+        F.col("_place") < larger * (rows + 1), F.expr(f"_place div (_all div {shards} + 1)")
+    ).otherwise(F.expr(f"(_place - _all % {shards}) div (_all div {shards})"))
+    dealt = placed.withColumn("shard", shard.cast("int"))
+    slot = F.col("_place") - F.col("shard") * rows - F.least(F.col("shard").cast("long"), larger)
+    return dealt.select(*back(dealt), "shard", slot.alias("slot"))
 
 
 def _fisher_yates(seed: int):

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from upswell.llm.common import set_aside
 from upswell.llm.components import components
 from upswell.session import materialize
 
@@ -123,4 +124,6 @@ def keep_first(docs: DataFrame, size: int = 3, most_bits: int = 2) -> DataFrame:
     """
     gone = near_groups(docs, size, most_bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    aside, back = set_aside(docs, gone.columns)
+    left = aside.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return left.select(*back(left))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from upswell.llm.common import set_aside
 from upswell.session import materialize
 
 #: What stands for a variable field.
@@ -132,13 +133,15 @@ def drop_recurring_lines(docs: DataFrame, **how) -> DataFrame:
     )
     text_key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key == F.col("_text"))
-    kept = docs.drop("n_lines", "n_dropped")
+    kept, back = set_aside(docs.drop("n_lines", "n_dropped"), gone.columns)
     split = F.split("text", "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stays, lambda i: F.get(split, i)), "\n")
-    return kept.join(gone, same, "left").select(
-        *[F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else kept[c]
-          for c in kept.columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    counted = kept.join(gone, same, "left").withColumns(
+        {
+            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"),
+            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        }
+    )
+    cut = counted.withColumn("text", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")))
+    return cut.select(*back(cut), "n_lines", "n_dropped")
