@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upswell.llm.common import partitions_for, shuffle_width
+from upswell.llm.common import null_last, partitions_for, shuffle_width
 from upswell.session import materialize
 
 CRLF = "\r\n"
@@ -73,6 +73,11 @@ def resolve(found: DataFrame, least_bytes: int = 100) -> DataFrame:
     )
 
 
+def _record_key(digest: str) -> Column:
+    """One value for a page and its payload; a NULL page_id counts as a value."""
+    return F.md5(F.concat_ws(":", null_last(F.col("page_id")), F.col(digest)))
+
+
 def record_id(page_id: Column, digest: Column) -> Column:
     """A UUID made of the page and its payload: the same for the same record."""
     h = F.md5(F.concat_ws(":", page_id.cast("string"), digest))
@@ -153,18 +158,16 @@ def write_archives(
     found = headers(pages)
     total = found.agg(F.sum(F.col("payload_bytes") + 600)).first()[0]
     files = partitions_for(total, file_bytes, shuffle_width(pages))
-    decided = materialize(resolve(found, least_bytes))
-    keyed = (
+    decided = resolve(found, least_bytes).withColumn("_key", _record_key("payload_digest"))
+    payloads = (
         pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_digest"))
-        .withColumn("_key", F.xxhash64("page_id", "_digest"))
+        .withColumn("_key", _record_key("_digest"))
+        .drop("page_id", "_digest")
         .repartition(files, "_key")
-        .dropDuplicates(["_key", "page_id", "_digest"])
-    )
-    right = decided.withColumnRenamed("page_id", "_page").withColumn(
-        "_key", F.xxhash64("_page", "payload_digest")
+        .dropDuplicates(["_key"])
     )
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("payload_digest"))
-    joined = keyed.join(right.repartition(files, "_key"), "_key").where(same)
+    # Both sides are dealt by the one join key, so payloads move once.
+    joined = payloads.join(decided.repartition(files, "_key"), "_key")
     records = joined.select(record_text(date).alias("value"))
     records.write.option("lineSep", GAP).text(path, compression=compression)
 
