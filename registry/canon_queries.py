@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registry.base import query
 from upswell.operators import canon, rollups, routing, upserts
-from upswell.plans.canon_run import score_batches
+from upswell.plans.canon_run import normalize, score_batches
 
 WEEK = dt.date(2024, 1, 15)
 CAP = 300
@@ -283,11 +283,25 @@ def _(v):
     return routing.escalation_log(_results(v), F.lit("run-1"))
 
 
-@query("t10_vocab_growth", f"""
-    select term from {{known}} union select unnest([{_SEED}]) union
-    select canon_name from {{result}} where registers_vocab""", **STEPS)
+def _coins(model: str, payload: str, vocab: str) -> str:
+    """A stand-in for the model: one of seven terms, new unless the vocabulary has it."""
+    known = set(json.loads(vocab))
+    items = []
+    for item in json.loads(payload):
+        term = f"coined {item['id'] % 7}"
+        items.append({"id": item["id"], "canonical": term, "confidence": 0.9, "is_new": term not in known})
+    return json.dumps({"items": items})
+
+
+@query("t10_vocab_growth", """
+    select id, batch_no, concat('coined ', id % 7) as canon_name,
+           case when batch_no = min(batch_no) over (partition by id % 7) then 'canon_flash' else 'canon_lite' end as status
+    from {work} where batch_no < 3""", **STEPS)
 def _(v):
-    return canon.vocabulary(v.tags).union(routing.new_terms(_results(v))).distinct()
+    # Batch by batch: a term that the second tier confirmed is known to the next batch.
+    work = _work(v).where("batch_no < 3")
+    results, _ = normalize(work, canon.vocabulary(v.tags), _coins)
+    return results.select("id", "batch_no", "canon_name", "status")
 
 
 @query("t11_defer_outage", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -100,9 +101,10 @@ def _(v):
     return similarity.select_stale(_rows(v), _stored(v), "m1")
 
 
-def _measure(texts: list[str]) -> list[list[float]]:
-    """A stand-in for the embedding service: two counts per text."""
-    return [[float(len(t)), float(t.count("a"))] for t in texts]
+def _measure(texts: list[str]) -> str:
+    """A stand-in for the embedding service: two counts per text, in reverse order."""
+    data = [{"index": i, "embedding": [len(t), t.count("a")]} for i, t in enumerate(texts)]
+    return json.dumps({"data": data[::-1]})
 
 
 @query("v6_run_embed", """
@@ -273,16 +275,18 @@ def _(v):
     return found.select("cluster_id", F.array_join("titles", "|").alias("titles"))
 
 
-@query("r2_evidence", """
+_PARTS = """
     select 'top' as part, rank as at, title as label, view_velocity as a, deriv_velocity as b, cluster_id as c from {best}
     union all
     select 'delta', cast(row_number() over (order by delta_pp desc, canon) as int), canon, share_pct, delta_pp, null from {edeltas}
     union all
     select 'cluster', cast(row_number() over (order by cluster_id) as int), titles, null, null, cluster_id from {members}
     union all
-    select 'watch', rank, title, null, null, null from {cold}""", **EV)
-def _(v):
-    snap = _snapshot(v)
+    select 'watch', rank, title, null, null, null from {cold}"""
+
+
+def _parts(snap):
+    """Every list of an evidence snapshot as rows."""
 
     def part(name, array, label, a, b, c):
         rows = snap.select(F.posexplode(array).alias("at", "x"))
@@ -302,20 +306,26 @@ def _(v):
     )
 
 
-_SIZES = """
-    select date '2024-01-15' as week, (select count(*) from {best})::int as top_songs,
-           (select count(*) from {edeltas})::int as tag_deltas, (select count(*) from {members})::int as clusters,
-           (select count(*) from {cold})::int as watchlist"""
+_EVIDENCE = (
+    "week date, top_songs array<struct<song_id:bigint,title:string,view_velocity:double,deriv_velocity:double,"
+    "cluster_id:int>>, tag_deltas array<struct<canon:string,share_pct:double,delta_pp:double>>,"
+    " clusters array<struct<cluster_id:int,titles:array<string>>>, watchlist array<struct<song_id:bigint,title:string>>"
+)
+
+
+_FIELDS = _EVIDENCE.replace("week date", "week:date").replace(" array<", ":array<")
+
+
+@query("r2_evidence", _PARTS, **EV)
+def _(v):
+    return _parts(_snapshot(v))
 
 
-@query("j7_evidence_json", _SIZES, **EV)
+@query("j7_evidence_json", _PARTS, **EV)
 def _(v):
+    # Read back from the JSON text, value by value.
     text = evidence.evidence_json(_snapshot(v))
-    size = {
-        c: F.json_array_length(F.get_json_object("evidence", f"$.{c}"))
-        for c in ("top_songs", "tag_deltas", "clusters", "watchlist")
-    }
-    return text.select("week", *[e.alias(c) for c, e in size.items()])
+    return _parts(text.select(F.from_json("evidence", _EVIDENCE, {"mode": "FAILFAST"}).alias("e")).select("e.*"))
 
 
 # ---- upserts of weekly tables ----------------------------------------------------
@@ -372,43 +382,65 @@ def _narrate(text: str) -> str:
     return f"{len(text) > 0}"
 
 
+def _settle(model: str, payload: str, vocab: str) -> str:
+    """A stand-in for the model: the second tier is sure of every third tag, as a new term."""
+    items = [
+        {"id": i["id"], "canonical": f"term {i['id'] % 4}", "confidence": 0.9 if i["id"] % 3 == 0 else 0.1, "is_new": True}
+        for i in json.loads(payload)
+    ]
+    return json.dumps({"items": items})
+
+
 @query("r3_weekly_run", """
-    select week, (select count(*) from {esongs}) as songs,
-           count(*) filter (where not is_coldstart) as scored, count(*) filter (where is_coldstart) as coldstart,
-           count(cluster_id) as clustered, (select count(*) from {best}) as top_songs,
-           (select count(*) from {edeltas}) as tag_deltas
-    from {trend} group by week""", **EV)
+    select 'score' as kind, song_id as id, round_even(view_velocity::float::double, 3) as a, is_coldstart as flag, cluster_id as c, null as name
+    from {trend}
+    union all
+    select 'tag', id, null, null, null, status || coalesce(' ' || term, '') from (
+        select id, case when n > 40 then canon_status when id % 3 = 0 then 'canon_flash' else 'demoted' end as status,
+               case when n <= 40 and id % 3 = 0 then concat('term ', id % 4) end as term
+        from (select t.*, row_number() over (order by coalesce(uses, 0) desc, id) as n
+              from {etags} t left join (select tag_id, count(*) as uses from {esong_tags} group by tag_id) u on u.tag_id = t.id
+              where canon_status in ('pending', 'demoted')))
+    union all
+    select 'log', id, null, null, null, case when id % 3 = 0 then 'canon_flash' else 'demoted' end from (
+        select id from {etags} t left join (select tag_id, count(*) as uses from {esong_tags} group by tag_id) u on u.tag_id = t.id
+        where canon_status in ('pending', 'demoted') order by coalesce(uses, 0) desc, id limit 40)""", **EV)
 def _(v):
+    # The whole queue in one round with a budget of 40, then the stored tables.
     root = _stored_week(v)
-    state = weekly_run.run_weekly(v.spark, root, WEEK, f"{root}/published", _narrate)
-    row = v.spark.range(1)
-    return row.select(
-        F.lit(state["week"]).alias("week"),
-        F.lit(state["fetch"]["songs"]).cast("bigint").alias("songs"),
-        *[F.lit(state["trend"][c]).cast("bigint").alias(c) for c in ("scored", "coldstart", "clustered")],
-        *[F.lit(state["report"][c]).cast("bigint").alias(c) for c in ("top_songs", "tag_deltas")],
+    before = v.etags.where("canon_status in ('pending', 'demoted')").select("id")
+    weekly_run.run_weekly(
+        v.spark, root, WEEK, f"{root}/published", _narrate, _settle, limit=None, cap=40, batches_per_round=1000
     )
+    none = {"a": F.lit(None).cast("double"), "flag": F.lit(None).cast("boolean"), "c": F.lit(None).cast("int")}
+    name = F.lit(None).cast("string").alias("name")
+    scores = tables.scan(v.spark, root, "trend_scores").select(
+        F.lit("score").alias("kind"), F.col("song_id").alias("id"), F.bround(F.col("view_velocity").cast("double"), 3).alias("a"),
+        F.col("is_coldstart").alias("flag"), F.col("cluster_id").alias("c"), name,
+    )
+    tags = tables.scan(v.spark, root, "tags").join(before, "id").select(
+        F.lit("tag").alias("kind"), "id", *[c.alias(n) for n, c in none.items()],
+        F.concat_ws(" ", "canon_status", F.when(F.col("canon_status") == "canon_flash", F.col("canon_name"))).alias("name"),
+    )
+    log = tables.scan(v.spark, root, "escalation_log").select(
+        F.lit("log").alias("kind"), "id", *[c.alias(n) for n, c in none.items()], F.col("status").alias("name")
+    )
+    return scores.unionByName(tags).unionByName(log)
 
 
 @query("s6_write_report_json", """
-    select file, week, 'words' as narrative, top_songs, tag_deltas, clusters, watchlist
-    from {sizes}, (select unnest(['report-2024-01-15.json', 'latest.json']) as file) f""",
-    **EV, sizes=_SIZES)
+    select file, date '2024-01-15' as week, 'words' as narrative, p.*
+    from {parts} p, (select unnest(['report-2024-01-15.json', 'latest.json']) as file) f""",
+    **EV, parts=_PARTS)
 def _(v):
     reports = evidence.report_rows(_snapshot(v), F.lit("words"), "tier-2", F.lit(RUN_AT))
     written = report_files.write_report_json(reports, WEEK, fresh_folder(v.spark, "published"))
     out = None
     for path in written:
-        size = {
-            c: F.json_array_length(F.get_json_object("value", f"$.evidence.{c}"))
-            for c in ("top_songs", "tag_deltas", "clusters", "watchlist")
-        }
-        part = v.spark.read.text(path).select(
-            F.lit(path.rsplit("/", 1)[1]).alias("file"),
-            F.get_json_object("value", "$.week").cast("date").alias("week"),
-            F.get_json_object("value", "$.narrative").alias("narrative"),
-            *[e.alias(c) for c, e in size.items()],
-        )
+        document = v.spark.read.schema(f"week date, narrative string, evidence struct<{_FIELDS}>").json(path)
+        head = document.select(F.lit(path.rsplit("/", 1)[1]).alias("file"), "week", "narrative")
+        # One document per file, so the parts join its one row.
+        part = _parts(document.select("evidence.*")).withColumns({c: head.select(c).scalar() for c in head.columns})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -468,10 +500,9 @@ def _(v):
 @query("m3_stream_dedupe_links", "select distinct user_id, event_type from {ev}")
 def _(v):
     root = fresh_folder(v.spark, "links")
-    # One lateness longer than the data: every repeat is seen.
     stream = jobs.stream_dedupe_links(
         _derived_stream(v), ["user_id", "event_type"], "discovered_at",
-        f"{root}/links", f"{root}/_progress", lateness="60 days",
+        f"{root}/links", f"{root}/_progress",
     )
     stream.awaitTermination()
     return v.spark.read.parquet(f"{root}/links").select("user_id", "event_type")

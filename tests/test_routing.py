@@ -209,3 +209,10 @@ def test_queue_and_vocabulary(spark):
     assert "X" in terms and len(terms) == 98
     payload = canon.batch_payload(canon.work_queue(tags, links)).first().payload
     assert json.loads(payload)[0] == {"id": 3, "name": "c"}
+
+
+def test_a_repeated_key_counts_with_its_last_value(spark):
+    raw = '{"items":[{"id":1,"id":2,"canonical":"Rock","canonical":"Miku","confidence":0.9,"is_new":false}]}'
+    replies = spark.createDataFrame([(0, raw)], "batch_no bigint, raw string")
+    item = routing.parse_replies(replies).first()["items"][0]
+    assert (item.id, item.canonical, item.confidence) == (2, "Miku", 0.9)

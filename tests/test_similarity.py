@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from upswell.operators import similarity
 from upswell.plans import embed_run
+from upswell.plans.calls import ServiceUnavailable
+from upswell.sources import tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -159,20 +161,74 @@ def test_parse_vectors(spark):
 
 def embed(texts):
     if any("down" in t for t in texts):
-        raise RuntimeError("service")
-    return [[float(len(t))] for t in texts]
+        raise ServiceUnavailable
+    if any("odd" in t for t in texts):
+        return answer_for(texts[1:])
+    return answer_for(texts)
 
 
-def test_run_embed_resumes(spark):
-    ddl = "song_id bigint, embedding array<float>, source_text string, model string, updated_at timestamp"
+def answer_for(texts):
+    return json.dumps({"data": [{"index": i, "embedding": [len(t)]} for i, t in enumerate(texts)][::-1]})
+
+
+def to_embed(spark, titles):
     none = "cast(array() as array<string>) as artists", "cast(array() as array<string>) as tags"
-    rows = spark.createDataFrame([(i, f"t{i}") for i in range(9)] + [(9, "down")], "song_id bigint, title string").selectExpr(
+    return spark.createDataFrame(list(enumerate(titles)), "song_id bigint, title string").selectExpr(
         "song_id", "title", "cast(null as string) as song_type", *none
     ).repartition(1)
-    stored = spark.createDataFrame([], ddl)
-    at = F.lit(dt.datetime(2026, 7, 20))
-    table, summary = embed_run.run_embed(rows, stored, embed, "m", at, size=2, calls_at_once=1)
-    assert tuple(summary.first()) == (10, 10, 8)
-    again, summary = embed_run.run_embed(rows, table, embed, "m", at, size=1, calls_at_once=1)
-    assert tuple(summary.first()) == (10, 2, 1) and again.count() == 9
-    assert embed_run.run_embed(rows, again, embed, "m2", at)[1].first().stale == 10
+
+
+EMBEDDED = "song_id bigint, embedding array<float>, source_text string, model string, updated_at timestamp"
+AT = dt.datetime(2026, 7, 20)
+
+
+def test_run_embed_resumes(spark):
+    rows = to_embed(spark, [f"t{i}" for i in range(9)] + ["down"])
+    stored = spark.createDataFrame([], EMBEDDED)
+    table, summary = embed_run.run_embed(rows, stored, embed, "m", F.lit(AT), size=2, calls_at_once=1)
+    # After the outage the task calls no more; what came before is kept.
+    found = summary.first()
+    assert (found.songs, found.stale) == (10, 10) and found.embedded % 2 == 0 and found.embedded < 10
+    again, summary = embed_run.run_embed(rows.where("title <> 'down'"), table, embed, "m", F.lit(AT), size=1, calls_at_once=1)
+    assert again.count() == 9 and summary.first().stale == 9 - found.embedded
+    assert embed_run.run_embed(rows, again, embed, "m2", F.lit(AT))[1].first().stale == 10
+
+
+def test_a_reply_with_other_indexes_counts_for_nothing(spark):
+    rows = to_embed(spark, ["a", "odd", "b", "c"])
+    table, summary = embed_run.run_embed(rows, spark.createDataFrame([], EMBEDDED), embed, "m", F.lit(AT), size=2, calls_at_once=1)
+    assert summary.first().embedded == 2 and table.where("source_text like '%odd%'").count() == 0
+    for r in table.collect():
+        assert r.embedding == [len(r.source_text)]
+
+
+def test_other_errors_are_not_hidden(spark):
+    rows = to_embed(spark, ["a"])
+    with pytest.raises(Exception, match="division"):
+        embed_run.run_embed(rows, spark.createDataFrame([], EMBEDDED), lambda texts: 1 / 0, "m", F.lit(AT))
+
+
+def test_waves_are_stored_one_by_one(spark, tmp_path):
+    root = str(tmp_path / "db")
+    tables.create_tables(spark, root)
+    songs = spark.range(20).selectExpr("id", "concat('t', id) as title")
+    for f in tables.TABLES["songs"]:
+        if f.name not in songs.columns:
+            songs = songs.withColumn(f.name, F.lit(None).cast(f.dataType))
+    tables.write_table(songs, root, "songs")
+    calls = spark.sparkContext.accumulator(0)
+
+    def fails_later(texts):
+        calls.add(1)
+        if "t13" in texts[0]:
+            raise ZeroDivisionError("killed")
+        return answer_for(texts)
+
+    with pytest.raises(Exception, match="killed"):
+        embed_run.refresh_embeddings(spark, root, fails_later, "m", F.lit(AT), size=1, wave_texts=4)
+    kept = tables.scan(spark, root, "song_embeddings").count()
+    assert 0 < kept < 20
+    done = embed_run.refresh_embeddings(spark, root, answer_for, "m", F.lit(AT), vector_size=1)
+    assert done == {"songs": 20, "stale": 20 - kept, "embedded": 20 - kept}
+    with pytest.raises(Exception, match="vector of 1 values"):
+        embed_run.refresh_embeddings(spark, root, answer_for, "m2", F.lit(AT), vector_size=2)

@@ -56,7 +56,12 @@ def test_weekly_counts(spark, tmp_path):
 def test_links_once(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     at = dt.datetime(2026, 7, 20)
-    for rows in (((1, 10, at), (1, 10, at), (1, 11, at)), ((1, 10, at + dt.timedelta(hours=3)), (2, 10, at))):
+    # The last repeat comes long after any watermark.
+    for rows in (
+        ((1, 10, at), (1, 10, at), (1, 11, at)),
+        ((1, 10, at + dt.timedelta(hours=3)), (2, 10, at)),
+        ((1, 10, at + dt.timedelta(days=90)), (2, 10, at - dt.timedelta(days=90))),
+    ):
         arrive(spark, src, *rows)
         jobs.stream_dedupe_links(
             stream(spark, src), ["original_song_id", "derived_song_id"], "discovered_at", out, str(tmp_path / "progress")

@@ -79,7 +79,8 @@ def test_seed_twice(spark, tmp_path):
     )
     first = collect.seed(spark, root, str(pages))
     assert first == {
-        "songs": 3, "artists": 1, "tags": 1, "song_artists": 1, "song_tags": 1, "derived_linked": 1, "derived_seen": 2
+        "songs": 3, "artists": 1, "tags": 1, "song_artists": 1, "song_tags": 1, "derived_linked": 1, "derived_seen": 2,
+        "fetched": 3, "total_matching": 3, "complete": True,
     }
     before = {n: rows(tables.scan(spark, root, n)) for n in ("song_tags", "song_artists", "derived_works", "tags")}
     created = rows(tables.scan(spark, root, "songs").select("id", "created_at"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from upswell.operators import evidence
 from upswell.plans import weekly_run
+from upswell.session import shared_dir
 from upswell.sources import report_files, tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -67,7 +69,8 @@ def test_run_twice(spark, root, tmp_path):
     assert ev["watchlist"] == [{"song_id": 7, "title": "fresh"}]
     assert ev["tag_deltas"][0] == {"canon": "Pop", "share_pct": 100.0, "delta_pp": 100.0}
     assert len(state["published"]) == 2
-    latest = json.loads("".join(r.value for r in spark.read.text(state["published"][1]).collect()))
+    latest = json.loads(Path(state["published"][1]).read_text())
+    assert sorted(p.name for p in Path(out).iterdir() if not p.name.startswith(".")) == ["latest.json", "report-2026-07-20.json"]
     assert latest["narrative"] == "narrative" and latest["evidence"] == ev and latest["model"] == "gw-flash"
     assert latest["generated_at"].endswith("+00:00")
     scores = tables.scan(spark, root, "trend_scores").drop("computed_at")
@@ -83,6 +86,28 @@ def test_run_twice(spark, root, tmp_path):
     assert scores.count() == 14
 
 
+def unsure(model, payload, vocab):
+    items = [{"id": i["id"], "canonical": "Rock", "confidence": 0.9 if model == "gw-flash" else 0.1} for i in json.loads(payload)]
+    return json.dumps({"items": items})
+
+
+def test_limits_are_the_callers(spark, root, tmp_path):
+    more = spark.range(100, 700).selectExpr(
+        "id", "concat('t', id) as name", "'c' as category", "cast(null as string) as canon_name",
+        "cast(null as float) as canon_confidence", "'pending' as canon_status",
+    )
+    tables.append_table(more, root, "tags")
+    out = str(tmp_path / "published")
+    state = weekly_run.run_weekly(
+        spark, root, WEEK, out, str, unsure, limit=None, cap=1000, batches_per_round=100, top=3
+    )
+    assert state["canon"]["total"] == 601 and state["canon"]["canon_flash"] == 601
+    assert tables.scan(spark, root, "tags").where("canon_status = 'pending'").count() == 0
+    assert tables.scan(spark, root, "escalation_log").count() == 601
+    assert state["report"]["top_songs"] == 3
+    assert not [p for p in Path(shared_dir(spark)).glob("upswell-run-*")]
+
+
 def test_halts_and_defers(spark, root, tmp_path):
     out = str(tmp_path / "published")
     quiet = weekly_run.run_weekly(spark, root, WEEK + 70 * DAY, out, str)

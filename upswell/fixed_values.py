@@ -35,50 +35,32 @@ METRIC_SOURCE = "niconico"
 
 # The starting vocabulary of canonical terms.
 SEED_VOCAB = (
-    # genre
     "Rock", "Alternative Rock", "Metal", "Pop", "J-Pop", "K-Pop", "Electronic",
     "EDM", "House", "Trap Music", "Drum and Bass", "Breakcore", "Hyperpop",
     "Chiptune", "Jazz", "Hip Hop", "Ballad", "Ambient Music",
-    # mood
     "Cute", "Dark Mood", "Sad Mood", "Calm Mood", "Funny", "Creepy", "Cool",
-    # theme
     "Love Theme", "Death Theme", "Blood Theme", "Supernatural Theme",
     "Religion Theme", "Animal Theme", "Nature Theme", "Seasonal Theme",
-    # video form
     "2D Animation", "3D Animation", "Editor PV", "Official Art PV",
     "Live Action PV", "Music Visualization", "Pixel Art", "Kinetic Typography",
     "AI-Generated Art",
-    # colour
     "Color Theme",
-    # singing and synthesis
     "Cross-Lingual Synthesis", "Human Vocals", "Robotic Vocals", "Harsh Vocals",
     "Speech Vocals", "Vocal Range", "Rapping", "Choir Vocals", "A Cappella",
     "Tuning Quality", "Voice Genderswap",
-    # voicebank state
     "Beta Voicebank", "Unofficial Voicebank", "Imported Voicebank",
     "Voicebank Release", "Voicebank Demo", "Derived Voicebank",
     "Unconfirmed Vocalist",
-    # derivation
     "Derivative Work", "Cover", "Self-Cover", "Fan Work", "Parody", "Remix",
     "Changed Lyrics", "Changed Language", "Version Variant", "Debut Work",
-    # line-up
     "Duet", "Group Ensemble",
-    # language
     "Subtitled", "Multilingual", "Unsupported Language", "Instrumental",
-    # released material
     "Source Data Available", "Karaoke Available",
-    # instruments
     "Piano", "Electric Guitar", "Acoustic Guitar", "Sampling",
-    # software
     "Production Software",
-    # warnings
     "Flashing Lights Warning", "Explicit Content", "Content Warning",
-    # source works
     "Anime Original Song", "Video Game Theme", "Franchise Reference",
-    # characters
     "Vocalist Character", "MMD Model",
-    # era
     "Retro Style", "80s Style", "Japanese Traditional Style",
-    # meta
     "Experimental", "Meme",
 )

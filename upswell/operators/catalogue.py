@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +13,36 @@ from upswell.operators import upserts
 from upswell.schemas import KEYS
 
 
+def _filled(record: Column, *fields: str) -> Column:
+    """A record that is there and has anything in it."""
+    return reduce(lambda a, b: a | b, [record[f].isNotNull() for f in fields])
+
+
+def _required(value: Column, what: str) -> Column:
+    return F.coalesce(value, F.raise_error(F.lit(f"landed page: {what}")))
+
+
 def bundles(items: DataFrame, item: str = "item") -> DataFrame:
     """One row per song document: song columns, artist links, tag links, original.
 
-    All work is row-local. Credits without an artist record and tags without a
-    record are left out; an original id of 0 counts as none.
+    All work is row-local. Credits without an artist record and tags without a record,
+    or with an empty one, are left out; an original id of 0 counts as none. A document,
+    artist or tag without an id, or a document without a name, fails the read.
     """
     doc = F.col(item)
     artists = F.transform(
-        F.filter(doc["artists"], lambda a: a["artist"].isNotNull()),
+        F.filter(doc["artists"], lambda a: _filled(a["artist"], "id", "name", "artistType")),
         lambda a: F.struct(
-            a["artist"]["id"].alias("artist_id"),
+            _required(a["artist"]["id"], "an artist without id").alias("artist_id"),
             a["artist"]["name"].alias("name"),
             a["artist"]["artistType"].alias("artist_type"),
             artist_role(a["roles"], a["categories"]).alias("role"),
         ),
     )
     tags = F.transform(
-        F.filter(doc["tags"], lambda t: t["tag"].isNotNull()),
+        F.filter(doc["tags"], lambda t: _filled(t["tag"], "id", "name", "categoryName")),
         lambda t: F.struct(
-            t["tag"]["id"].alias("tag_id"),
+            _required(t["tag"]["id"], "a tag without id").alias("tag_id"),
             t["tag"]["name"].alias("name"),
             t["tag"]["categoryName"].alias("category"),
         ),
@@ -39,8 +51,8 @@ def bundles(items: DataFrame, item: str = "item") -> DataFrame:
     return items.select(
         *others,
         F.struct(
-            doc["id"].alias("id"),
-            doc["name"].alias("title"),
+            _required(doc["id"], "a song without id").alias("id"),
+            _required(doc["name"], "a song without name").alias("title"),
             parse_date(doc["publishDate"]).alias("publish_date"),
             doc["songType"].alias("song_type"),
             pick_pv(doc["pvs"], NICO_SERVICE).alias("nico_video_id"),

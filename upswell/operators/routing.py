@@ -156,8 +156,7 @@ def escalation_budget(cands: DataFrame, cap: int = ESCALATION_CAP) -> DataFrame:
 
 def cap_escalation(cands: DataFrame, cap: int = ESCALATION_CAP) -> DataFrame:
     """Adds ``escalated``: true within the budget, false beyond it, NULL if accepted."""
-    # At most ``cap`` rows, so the broadcast is bounded by the parameter.
-    budget = F.broadcast(escalation_budget(cands, cap))
+    budget = escalation_budget(cands, cap)
     within = F.col("place") <= F.coalesce("granted", F.lit(0))
     return cands.join(budget, "batch_no", "left").withColumn("escalated", within).drop("granted")
 

@@ -115,13 +115,15 @@ def top_velocity(scored: DataFrame, n: int = TOP_N) -> DataFrame:
 def tag_pairs(tagged: DataFrame, min_songs: int = 1) -> DataFrame:
     """Tag pairs on one song and how many songs carry them.
 
-    A pair can reach ``min_songs`` only if both tags do, so rarer tags leave first.
-    A song's remaining tags, which are distinct terms of the vocabulary, meet in one
-    row and are paired there: the links are shuffled once, not once per side.
+    A pair can reach ``min_songs`` only if both tags do, so rarer tags leave first: the
+    common ones, a part of the vocabulary, are one value. A song's remaining tags, which
+    are distinct terms, meet in one row and are paired there: the links are shuffled by
+    song only, and by tag only their counts.
     """
     common = tagged.groupBy("canon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_songs)
-    kept = tagged.join(common.select("canon"), "canon", "left_semi")
-    per_song = kept.groupBy("song_id").agg(F.array_sort(F.collect_list("canon")).alias("_all"))
+    terms = common.agg(F.collect_list("canon")).scalar()
+    listed = tagged.groupBy("song_id").agg(F.collect_list("canon").alias("_all"))
+    per_song = listed.select("song_id", F.sort_array(F.array_intersect("_all", terms)).alias("_all"))
     first = per_song.select("_all", F.posexplode("_all").alias("_at", "tag_a"))
     pairs = first.select(
         "tag_a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("tag_b")

@@ -7,6 +7,7 @@ follow the strict order; larger rounds send their batches in parallel.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,30 +23,36 @@ from upswell.fixed_values import (
     LITE_MODEL,
 )
 from upswell.operators import canon, routing
-from upswell.session import materialize
+from upswell.plans.calls import ServiceUnavailable, tasks_for
+from upswell.session import materialize, shared_dir
 
 #: Called in a task with (model, payload JSON, vocabulary JSON); returns the reply text.
 ModelCall = Callable[[str, str, str], "str | None"]
 
 
-class ServiceUnavailable(Exception):
-    """Raised by a model function when the service is down: defers, never escalates."""
-
-
 def score_batches(
-    batches: DataFrame, call: ModelCall, model: str, vocab: Column, attempt: int, calls_at_once: int = 8
+    batches: DataFrame,
+    call: ModelCall,
+    model: str,
+    vocab: Column | str,
+    attempt: int,
+    calls_at_once: int | None = None,
 ) -> DataFrame:
     """Sends every batch row's payload; the replies are stored before use.
 
     Result: ``batch_no, attempt, raw, outage``. A lost executor repeats the calls of
-    its unfinished tasks, no others. The batches are few bytes, which adaptive
-    execution would put into one task, so the number of tasks is given.
+    its unfinished tasks, no others. There are as many tasks as batches, up to
+    ``calls_at_once`` (by default the cluster's cores). The vocabulary, which fits a
+    prompt, is one value that travels with the tasks.
     """
+    spark = batches.sparkSession
+    terms = vocab if isinstance(vocab, str) else spark.range(1).select(vocab).first()[0]
+    sendable = batches.select("batch_no", "payload")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             raws, outages = [], []
-            for payload, terms in zip(frame["payload"], frame["vocab"]):
+            for payload in frame["payload"]:
                 try:
                     raws.append(call(model, payload, terms))
                     outages.append(False)
@@ -61,9 +68,7 @@ def score_batches(
                 }
             )
 
-    sent = batches.repartition(calls_at_once, "batch_no").select(
-        "batch_no", "payload", vocab.alias("vocab")
-    )
+    sent = sendable.repartition(tasks_for(batches, sendable.count(), calls_at_once), "batch_no")
     return materialize(
         sent.mapInPandas(ask, "batch_no bigint, attempt int, raw string, outage boolean")
     )
@@ -72,7 +77,7 @@ def score_batches(
 def _round(
     work: DataFrame, vocab: DataFrame, call: ModelCall, threshold: float, cap: int
 ) -> tuple[DataFrame, bool]:
-    terms = canon.vocabulary_json(vocab)
+    terms = vocab.sparkSession.range(1).select(canon.vocabulary_json(vocab)).first()[0]
     wanted = routing.requested_ids(work)
     batched = canon.batch_payload(work)
     first = score_batches(batched, call, LITE_MODEL, terms, 1)
@@ -109,18 +114,22 @@ def normalize(
     """
     work = materialize(work.select("batch_no", "pos", "id", "name"))
     last = work.agg(F.max("batch_no")).first()[0]
+    spark = work.sparkSession
+    folder = f"{shared_dir(spark)}/upswell-rounds-{uuid.uuid4().hex}"
     # No batch yet: an empty result with the right columns.
-    results = routing.deferred(work.limit(0), work.select("batch_no"))
+    empty = routing.deferred(work.limit(0), work.select("batch_no"))
+    empty.write.parquet(folder)
     for start in range(0, 0 if last is None else last + 1, batches_per_round):
         end = start + batches_per_round
         due = work.where((F.col("batch_no") >= start) & (F.col("batch_no") < end))
         part, stopped = _round(due, vocab, call, threshold, cap)
-        results = results.unionByName(part)
+        part.write.mode("append").parquet(folder)
         vocab = materialize(vocab.union(routing.new_terms(part)).distinct())
         if stopped:
             later = work.where(F.col("batch_no") >= end)
-            results = results.unionByName(routing.deferred(later, later.select("batch_no")))
+            routing.deferred(later, later.select("batch_no")).write.mode("append").parquet(folder)
             break
         # A round uses no more than the budget it was given, so this stays at or above 0.
         cap -= part.where(F.col("status").isin(CANON_FLASH, DEMOTED)).count()
-    return results, vocab
+    # One scan of all rounds, however many there were.
+    return spark.read.schema(empty.schema).parquet(folder), vocab

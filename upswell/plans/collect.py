@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from upswell.fixed_values import METRIC_SOURCE
 from upswell.operators import catalogue, upserts
-from upswell.session import materialize
+from upswell.schemas import SONG_PAGE
+from upswell.session import materialize, stages
 from upswell.sources import landed, tables
 
 ENTITIES = ("songs", "artists", "tags")
@@ -19,11 +20,19 @@ LINKS = ("song_artists", "song_tags", "derived_works")
 def seed(spark: SparkSession, root: str, pages: str, whole_files: bool = False) -> dict[str, int]:
     """Merges landed song pages into the catalogue tables; returns the counts.
 
-    Entities are merged within the id ranges of the batch, and of links only the new
-    ones are appended, so the work follows the batch and not the tables. Entities are
-    written first: a run that fails in between is completed by running it again.
+    Entities and links are read within the id ranges of the batch only, and of links the
+    new ones are appended. Entities are written first: a run that fails in between is
+    completed by running it again. The counts say what the pages announced, too:
+    ``complete`` is false if pages of the run are missing.
     """
-    bundled = materialize(catalogue.bundles(landed.read_song_pages(spark, pages, whole_files)))
+    with stages(spark):
+        return _seed(spark, root, pages, whole_files)
+
+
+def _seed(spark: SparkSession, root: str, pages: str, whole_files: bool) -> dict[str, int]:
+    landed_pages = landed.read_pages(spark, pages, SONG_PAGE, whole_files)
+    coverage = landed.page_coverage(landed_pages, []).first().asDict()
+    bundled = materialize(catalogue.bundles(landed.song_items(landed_pages)))
     frames = {
         name: materialize(frame)
         for name, frame in catalogue.catalogue_frames(bundled, F.col("seq")).items()
@@ -32,10 +41,12 @@ def seed(spark: SparkSession, root: str, pages: str, whole_files: bool = False)
     part = {name: tables.touched(spark, root, name, frames[name]) for name in ENTITIES}
     for name, frame in catalogue.merge_entities(part, frames, run_at).items():
         tables.write_table(frame, root, name)
-    stored = {name: tables.scan(spark, root, name) for name in ("songs", *LINKS)}
+    songs = tables.scan(spark, root, "songs")
+    stored = {"songs": songs} | {n: tables.touched(spark, root, n, frames[n]) for n in LINKS}
     for name, frame in catalogue.new_links(stored, frames, run_at).items():
         tables.append_table(frame, root, name)
-    return catalogue.ingest_summary(frames, stored["songs"]).first().asDict()
+    counts = catalogue.ingest_summary(frames, songs).first().asDict()
+    return counts | {c: coverage[c] for c in ("fetched", "total_matching", "complete")}
 
 
 def collect_daily(

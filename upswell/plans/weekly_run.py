@@ -8,11 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.fixed_values import CLUSTER_MIN_SONGS, FLASH_MODEL, TOP_N
+from upswell.fixed_values import (
+    CLUSTER_MIN_SONGS,
+    CONFIDENCE_THRESHOLD,
+    ESCALATION_CAP,
+    FLASH_MODEL,
+    TOP_N,
+    WORK_LIMIT,
+)
 from upswell.functions.scores import monday
-from upswell.operators import canon, evidence, rollups, shares, upserts, weekly
+from upswell.operators import canon, evidence, rollups, routing, shares, upserts, weekly
 from upswell.plans.canon_run import ModelCall, normalize
-from upswell.session import materialize
+from upswell.session import materialize, stages
 from upswell.sources import tables
 from upswell.sources.report_files import write_report_json
 
@@ -61,13 +68,33 @@ def run_weekly(
     publish_dir: str,
     narrate: Narrate,
     model_call: ModelCall | None = None,
+    limit: int | None = WORK_LIMIT,
+    threshold: float = CONFIDENCE_THRESHOLD,
+    cap: int = ESCALATION_CAP,
+    batches_per_round: int = 1,
+    top: int = TOP_N,
+    cluster_min_songs: int = CLUSTER_MIN_SONGS,
 ) -> dict:
     """One weekly run over the tables under ``root``; returns its state.
 
     Stops early when there is nothing to score. Without a model function the tags
     stay as they are; without a narrative nothing is stored or published.
+
+    ``limit`` is how many of the most used open tags the run asks about, None for all;
+    ``cap`` how many of them may go to the second tier. Those that do are appended to the
+    stored escalation log. ``top`` bounds the lists of the report and the songs that
+    clusters are looked for in. The folders of the run's steps are removed at its end.
     """
-    start = monday(week)
+    with stages(spark):
+        return _run_weekly(
+            spark, root, monday(week), publish_dir, narrate, model_call,
+            limit, threshold, cap, batches_per_round, top, cluster_min_songs,
+        )
+
+
+def _run_weekly(
+    spark, root, start, publish_dir, narrate, model_call, limit, threshold, cap, batches_per_round, top, cluster_min_songs
+) -> dict:
     stored = tables.scan_tables(spark, root)
     fetch = rollups.fetch_sanity(stored["songs"], stored["metrics_daily"], start).first().asDict()
     halted = fetch.pop("halted")
@@ -75,16 +102,22 @@ def run_weekly(
     if halted:
         return state
     if model_call is not None:
-        queue = canon.work_queue(stored["tags"], stored["song_tags"])
-        results, _ = normalize(queue, canon.vocabulary(stored["tags"]), model_call)
+        if limit is None:
+            queue = canon.full_queue(stored["tags"], stored["song_tags"])
+        else:
+            queue = canon.work_queue(stored["tags"], stored["song_tags"], limit)
+        vocab = canon.vocabulary(stored["tags"])
+        results, _ = normalize(queue, vocab, model_call, threshold, cap, batches_per_round)
         state["canon"] = rollups.run_summary(results).first().asDict()
+        run = F.lit(f"{start} {dt.datetime.now(dt.timezone.utc):%Y-%m-%dT%H:%M:%S.%f}")
+        tables.append_table(routing.escalation_log(results, run), root, "escalation_log")
         part = tables.touched(spark, root, "tags", results)
         tables.write_table(upserts.canon_apply(part, results), root, "tags")
-    state["trend"] = materialize_trend(spark, root, start).drop("week").first()
+    state["trend"] = materialize_trend(spark, root, start, top, cluster_min_songs).drop("week").first()
     state["trend"] = state["trend"].asDict() if state["trend"] else {}
     stored = tables.scan_tables(spark, root)
-    deltas = shares.tag_deltas(stored["songs"], stored["song_tags"], stored["tags"], start)
-    snapshot = materialize(evidence.evidence(stored["trend_scores"], stored["songs"], deltas, start))
+    deltas = shares.tag_deltas(stored["songs"], stored["song_tags"], stored["tags"], start, top)
+    snapshot = materialize(evidence.evidence(stored["trend_scores"], stored["songs"], deltas, start, top))
     text = narrate(evidence.evidence_json(snapshot).first()["evidence"])
     if text is None:
         return {**state, "report": None}
@@ -103,14 +136,15 @@ def backfill(
     """Scores every week of a range in one job and merges each into its partition."""
     first, last = monday(first_week), monday(last_week)
     stored = tables.scan_tables(spark, root)
-    rows = materialize(
-        weekly.trend_range(
-            stored["metrics_daily"],
-            stored["derived_works"],
-            stored["song_tags"],
-            stored["tags"],
-            first,
-            last,
-        ).withColumn("computed_at", F.current_timestamp())
-    )
-    _merge_scores(spark, root, rows)
+    with stages(spark):
+        rows = materialize(
+            weekly.trend_range(
+                stored["metrics_daily"],
+                stored["derived_works"],
+                stored["song_tags"],
+                stored["tags"],
+                first,
+                last,
+            ).withColumn("computed_at", F.current_timestamp())
+        )
+        _merge_scores(spark, root, rows)

@@ -43,6 +43,9 @@ TABLES: dict[str, T.StructType] = {
     "weekly_reports": _row(
         "week", week=DAY, narrative=TEXT, evidence=TEXT, model=TEXT, generated_at=TIME
     ),
+    "escalation_log": _row(
+        "run id status", run=TEXT, id=LONG, status=TEXT, canon_name=TEXT, lite_canon=TEXT
+    ),
     "song_embeddings": _row(
         "song_id", song_id=LONG, embedding=T.ArrayType(FLOAT), source_text=TEXT,
         model=TEXT, updated_at=TIME,
@@ -60,6 +63,7 @@ KEYS: dict[str, list[str]] = {
     "metrics_daily": ["song_id", "metric_date", "source"],
     "trend_scores": ["song_id", "week"],
     "weekly_reports": ["week"],
+    "escalation_log": ["run", "id"],
     "song_embeddings": ["song_id"],
 }
 
@@ -70,13 +74,16 @@ DATED_BY: dict[str, str] = {
     "weekly_reports": "week",
 }
 
-#: Entity tables are laid out by ranges of their id, so that a merge reads and rewrites
-#: only the ranges its updates fall in; new entities have the highest ids.
+#: Entity and link tables are laid out by ranges of an id, so that a merge reads and
+#: rewrites only the ranges its updates fall in; new entities have the highest ids.
 RANGED_BY: dict[str, str] = {
     "songs": "id",
     "artists": "id",
     "tags": "id",
     "song_embeddings": "song_id",
+    "song_artists": "song_id",
+    "song_tags": "song_id",
+    "derived_works": "original_song_id",
 }
 ID_RANGE = 1_000_000
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,13 @@ SESSION_CONF = {
     "spark.sql.unionOutputPartitioning": "false",
     # Split a hot join key even where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A model reply that repeats a key counts with the last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: Folders of the runs in progress, the innermost last.
+_RUNS: list[str] = []
+
 
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Set ``SESSION_CONF`` on a running session."""
@@ -62,6 +69,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """One folder for all steps of a run that stores its results; removed when it ends.
+
+    Frames that a caller gets from the run must not read from it.
+    """
+    root = f"{shared_dir(spark)}/upswell-run-{uuid.uuid4().hex}"
+    _RUNS.append(root)
+    try:
+        yield root
+    finally:
+        _RUNS.remove(root)
+        fs, where = file_system(spark, root)
+        fs.delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
@@ -69,8 +98,10 @@ def materialize(df: DataFrame) -> DataFrame:
     depend on one particular range partitioning, and results used several times. A
     written table survives lost executors, is pruned by column, and its size lets the
     optimizer choose joins. (An eager ``checkpoint()`` would run the step twice.)
-    The folders stay until the retention of the shared folder removes them.
+    Inside ``stages`` the folder goes when the run ends, else with the retention of the
+    shared folder.
     """
-    path = f"{shared_dir(df.sparkSession)}/upswell-stage-{uuid.uuid4().hex}"
+    root = _RUNS[-1] if _RUNS else shared_dir(df.sparkSession)
+    path = f"{root}/upswell-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

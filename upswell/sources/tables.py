@@ -59,7 +59,16 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[table]])
+    """The table's columns and types; a NULL in a NOT NULL column fails the write."""
+
+    def value(field: T.StructField) -> Column:
+        cast = df[field.name].cast(field.dataType)
+        if field.nullable:
+            return cast.alias(field.name)
+        missing = F.raise_error(F.lit(f"{table}.{field.name} is NULL")).cast(field.dataType)
+        return F.coalesce(cast, missing).alias(field.name)
+
+    return df.select(*map(value, TABLES[table]))
 
 
 def write_table(df: DataFrame, root: str, table: str) -> None:
@@ -74,9 +83,14 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
 
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
-    """Adds rows to a table without partitions; stored files stay as they are."""
-    path = f"{root}/{table}"
-    _typed(df, table).write.mode("append").parquet(path)
+    """Adds rows to the partitions they fall in; stored files stay as they are."""
+    path, layout = f"{root}/{table}", _layout(table)
+    if layout is None:
+        _typed(df, table).write.mode("append").parquet(path)
+    else:
+        column, value = layout
+        rows = _typed(df, table).withColumn(column, value).hint("rebalance", column)
+        rows.write.mode("append").partitionBy(column).parquet(path)
     df.sparkSession.catalog.refreshByPath(path)
 
 

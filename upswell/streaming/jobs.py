@@ -12,6 +12,7 @@ from upswell.fixed_values import METRIC_SOURCE
 from upswell.operators import catalogue, upserts
 from upswell.plans.collect import upsert_day
 from upswell.schemas import METRIC_PAGE
+from upswell.session import materialize
 from upswell.sources import landed, tables
 
 
@@ -84,19 +85,28 @@ def stream_deriv_weekly(
     )
 
 
-def dedupe_links(links: DataFrame, keys: list[str], at: str, lateness: str = "7 days") -> DataFrame:
-    """First arrival of every key; repeats within the watermark are dropped."""
-    return links.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
-
-
 def stream_dedupe_links(
-    links: DataFrame, keys: list[str], at: str, out: str, checkpoint: str, lateness: str = "7 days"
+    links: DataFrame, keys: list[str], at: str, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Appends the first arrival of every link to a table."""
+    """Keeps a table with the first arrival of every link, one row per key for ever.
+
+    Each micro-batch adds the keys that the table does not hold, whatever their age, so a
+    batch run twice after a failure adds nothing. Of the table only the keys are read.
+    """
+    schema = links.schema
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.schema(schema).parquet(out)
+        rest = [c for c in batch.columns if c not in keys]
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(at)).alias("_first"))
+        fresh = upserts.new_rows(stored, first.select(*keys, "_first.*"), keys)
+        # Stored first: the write adds files to the folder that it is computed from.
+        materialize(fresh.select(*batch.columns)).write.mode("append").parquet(out)
+
+    links.sparkSession.createDataFrame([], schema).write.mode("append").parquet(out)
     return (
-        dedupe_links(links, keys, at, lateness).writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        links.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
