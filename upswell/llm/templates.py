@@ -16,10 +16,18 @@ _SOLID = r"[^\x20\x09-\x0D]"
 _NUMBER = rf"(?<!{_SOLID})[^\x20\x09-\x0D0-9]*+[0-9]{_SOLID}*+"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line, one space between, tokens with digits as fields."""
-    spaced = F.regexp_replace(F.regexp_replace(line, f"{_SPACE}+", " "), "^ | $", "")
-    return F.regexp_replace(spaced, _NUMBER, FIELD)
+def spaced(line: Column) -> Column:
+    """The tokens of a line with one space between. Most lines are so already."""
+    other = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for space in "\t\x0b\x0c\r":
+        other = other | line.contains(space)
+    once = F.regexp_replace(F.regexp_replace(line, f"{_SPACE}+", " "), "^ | $", "")
+    return F.when(other, once).otherwise(line)
+
+
+def masked(tokens: Column) -> Column:
+    """Spaced tokens, those with digits as fields."""
+    return F.regexp_replace(tokens, _NUMBER, FIELD)
 
 
 def _key(*columns: Column) -> Column:
@@ -27,24 +35,27 @@ def _key(*columns: Column) -> Column:
 
 
 def lines(docs: DataFrame, leading: int) -> DataFrame:
-    """(doc_id, text_key, nth, leaf, line, masked) of every line that has tokens.
+    """(doc_id, text_key, nth, leaf, tokens) of every line that has tokens.
 
     A leaf of the tree has the lines with one number of tokens and the same ``leading``
-    first tokens; leaf, line and text_key are 128-bit digests.
+    first tokens, fields among them; leaf and text_key are 128-bit digests.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(
-        "doc_id", F.unhex(F.md5(text)).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("nth", "l")
-    ).withColumn("masked", masked(F.col("l")))
-    first = F.regexp_extract("masked", rf"^(?:{_SOLID}+ ?){{0,{leading}}}", 0)
-    count = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
-    return split.where("masked <> ''").select(
-        "doc_id",
-        "text_key",
-        "nth",
-        _key(count.cast("string"), F.rtrim(first)).alias("leaf"),
-        _key(F.col("masked")).alias("line"),
-        "masked",
+    # The digest is taken before the lines come apart, once per document.
+    keyed = docs.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+    split = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("nth", "l"))
+    tokens = F.col("tokens")
+    count = F.octet_length(tokens) - F.octet_length(F.replace(tokens, F.lit(" "), F.lit(""))) + 1
+    return (
+        split.where(F.col("l").rlike(_SOLID))
+        .select("doc_id", "text_key", "nth", spaced(F.col("l")).alias("tokens"))
+        .select(
+            "doc_id",
+            "text_key",
+            "nth",
+            _key(count.cast("string"), masked(F.substring_index(tokens, " ", leading))).alias("leaf"),
+            "tokens",
+        )
     )
 
 
@@ -100,7 +111,9 @@ def recurring_lines(
         .where(F.col("texts") >= least_docs)
         .select("leaf")
     )
-    found = materialize(every.join(leaves, "leaf", "left_semi"))
+    # Whole lines are masked where their leaf recurs, and only there.
+    held = every.join(leaves, "leaf", "left_semi").withColumn("masked", masked(F.col("tokens"))).drop("tokens")
+    found = materialize(held.withColumn("line", _key(F.col("masked"))))
     template = line_templates(found, least_docs, constant_share)
     template = template.select("line", _key(F.col("template")).alias("template_key"), "template")
     matched = materialize(found.drop("masked", "leaf").join(template, "line"))
@@ -137,9 +150,10 @@ def drop_recurring_lines(docs: DataFrame, **how) -> DataFrame:
     split = F.split("text", "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stays, lambda i: F.get(split, i)), "\n")
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     counted = kept.join(gone, same, "left").withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"),
+            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(breaks + 1).cast("long"),
             "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         }
     )
