@@ -34,10 +34,11 @@ def _json(text: Column) -> Column:
     """One whole JSON value, or NULL.
 
     The reader stops after the first value and ignores what follows. Only a text
-    that is a single value parses both as an object member and as an array element.
+    that is a single value parses both as an array element and as an object member;
+    most broken texts fail the first form and are not parsed again.
     """
-    member = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "variant", _JSON)
     element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "variant", _JSON)
+    member = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "variant", _JSON)
     return F.when(element.isNotNull(), F.try_variant_get(member, "$.r", "variant"))
 
 
@@ -52,19 +53,17 @@ def reply_body(raw: Column) -> Column:
     return _let(F.regexp_replace(raw, f"^{_BLANK}+|{_BLANK}+$", ""), unfenced)
 
 
-def _listed(data: Column) -> Column:
-    """The list of a reply: its ``items`` if it is an object, else the reply itself."""
-    inside = F.try_variant_get(data, "$.items", "variant")
-    return F.when(_type(data).startswith("OBJECT"), inside).otherwise(data)
+def _elements(data: Column) -> Column:
+    """The items of a reply as maps: a list, or the ``items`` of an object; NULL for anything else.
 
-
-def _elements(listed: Column) -> Column:
-    """Elements of an array value, NULL for any other value."""
-    return F.when(_type(listed).startswith("ARRAY"), F.try_variant_get(listed, "$", "array<variant>"))
+    An element that is no object becomes a NULL map.
+    """
+    kind = "array<map<string,variant>>"
+    return F.coalesce(F.try_variant_get(data, "$", kind), F.try_variant_get(data, "$.items", kind))
 
 
 def _all_objects(items: Column) -> Column:
-    objects = F.forall(items, lambda v: _type(v).startswith("OBJECT"))
+    objects = F.forall(items, lambda v: v.isNotNull())
     return F.when(F.coalesce(objects, F.lit(False)), items)
 
 
@@ -73,12 +72,11 @@ def reply_items(raw: Column) -> Column:
 
     Accepts ``{"items": [...]}`` or a bare array, all of whose elements are objects.
     """
-    data = _let(reply_body(raw), _json)
-    return _let(_let(_let(data, _listed), _elements), _all_objects)
+    return _let(_let(_let(reply_body(raw), _json), _elements), _all_objects)
 
 
 def _field(item: Column, name: str, body: Callable[[Column], Column]) -> Column:
-    return _let(F.try_variant_get(item, f"$.{name}", "variant"), body)
+    return _let(item[name], body)
 
 
 def _flag(value: Column) -> Column:
