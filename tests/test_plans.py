@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from upswell.operators import canon, shares, weekly
+from upswell.operators import canon, shares, similarity, weekly
 from upswell.sources import tables
 
 WEEK = dt.date(2024, 1, 15)
@@ -66,6 +66,42 @@ def test_links_are_counted_before_they_move(stored):
     assert "partial_count" in plan
 
 
+def exchanges(plan):
+    return [line for line in plan.splitlines() if "hashpartitioning(" in line]
+
+
+def test_pairs_move_links_by_song_only(stored):
+    tagged = stored["song_tags"].select("song_id", F.concat(F.lit("c"), F.col("tag_id") % 40).alias("canon")).distinct()
+    plan = final_plan(weekly.tag_pairs(tagged, 2))
+    assert "LeftSemi" not in plan
+    assert not [x for x in exchanges(plan) if "hashpartitioning(canon" in x and "song_id" in x]
+
+
+def test_neighbours_are_limited_before_titles(spark, stored):
+    emb = spark.range(50).selectExpr("id as song_id", "array(cast(id as float), 1f) as embedding")
+    plan = final_plan(similarity.cosine_topk(emb, stored["songs"], 7))
+    assert plan.count("TakeOrderedAndProject(limit=10") == 1 and "Sort [dist" in plan
+    assert plan.index("Join") < plan.index("TakeOrderedAndProject(limit=10")
+
+
+def test_no_text_is_a_join_key(spark, stored):
+    rows = stored["songs"].selectExpr("id as song_id", "title", "song_type", "array('a') as artists", "array('b') as tags")
+    known = spark.createDataFrame([], "song_id bigint, source_text string, model string")
+    plan = similarity.select_stale(rows, known, "m")._jdf.queryExecution().sparkPlan().toString()
+    assert "source_text" not in plan[plan.index("Join") :].splitlines()[0]
+
+
+def test_link_batches_read_their_id_ranges(spark, stored, tmp_path):
+    root = str(tmp_path / "db")
+    tables.create_tables(spark, root)
+    links = spark.range(4).selectExpr("id * 1000000 as song_id", "id as tag_id")
+    tables.append_table(links, root, "song_tags")
+    part = tables.touched(spark, root, "song_tags", links.where("tag_id = 2"))
+    assert [r.tag_id for r in part.collect()] == [2] and "PartitionFilters: [isnotnull(id_range" in final_plan(part)
+    with pytest.raises(Exception, match="song_tags.tag_id is NULL"):
+        tables.append_table(links.withColumn("tag_id", F.lit(None).cast("long")), root, "song_tags")
+
+
 def test_hot_tag_is_split(spark, stored):
     """Half of the links carry one tag; the sort-merge join must not leave them to one task."""
     conf = {
