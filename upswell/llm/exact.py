@@ -81,8 +81,11 @@ def exact_groups(docs: DataFrame, min_chars: int = 512, max_chars: int = 8192) -
         F.col("d.recipe.id").alias("ids"),
         F.when(F.col("_odd"), F.col("d.recipe.digest")).otherwise(F.array()).alias("digests"),
     )
-    groups = listed.groupBy("ids", "digests").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Written before the join, so that adaptive execution can split a large group there.
+    groups = materialize(
+        listed.groupBy("ids", "digests").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        )
     )
     return listed.join(groups, ["ids", "digests"]).select(
         "doc_id",
