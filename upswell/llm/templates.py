@@ -77,7 +77,8 @@ def line_templates(found: DataFrame, least_docs: int, constant_share: float) ->
             "leaf", "line", "w", F.posexplode(F.split("masked", " ")).alias("place", "token")
         )
     )
-    constant = (
+    # Written before the join, so that adaptive execution can split a frequent token there.
+    constant = materialize(
         tokens.groupBy("leaf", "place", "token")
         .agg(F.sum("w").alias("w"))
         .where((F.col("w") >= least_docs) & (F.col("token") != FIELD))
@@ -117,7 +118,7 @@ def recurring_lines(
     template = line_templates(found, least_docs, constant_share)
     template = template.select("line", _key(F.col("template")).alias("template_key"), "template")
     matched = materialize(found.drop("masked", "leaf").join(template, "line"))
-    recurring = (
+    recurring = materialize(
         matched.select("template_key", "text_key")
         .distinct()
         .groupBy("template_key")
