@@ -58,7 +58,8 @@ def resolve(found: DataFrame, least_bytes: int = 100) -> DataFrame:
     response, the others revisit it. Payloads under ``least_bytes`` are all responses.
     Digests fold in the map tasks, and a frequent one is split over tasks in the join.
     """
-    first = (
+    # Written before the join, so that adaptive execution can split a frequent payload there.
+    first = materialize(
         found.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("_first"))
