@@ -112,7 +112,7 @@ def near_groups(docs: DataFrame, size: int = 3, most_bits: int = 2) -> DataFrame
     rooted = prints.join(roots, prints.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     component = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(component, "fp").select("doc_id", "fp", "component_id")
 
