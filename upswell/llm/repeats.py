@@ -6,13 +6,16 @@ the work is dealt out by content instead. Of a window of ``LENGTH`` bytes, the l
 of its ``GRAM``-byte strings depends on the window alone: equal windows meet in the same
 shard, and a window whose least hash no other document has is unique. Consecutive windows
 with one least hash travel as one segment. Each shard sorts the suffixes of its distinct
-segments with a difference cover and compares the prefixes of neighbours.
+segments with a difference cover and compares the prefixes of neighbours. Where too many
+different segments have one least hash, their windows are dealt one by one instead, by a
+hash of the whole window.
 
 Texts move three times, packed and compressed, next to what the shards answer.
 """
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,13 @@ SHARD_BYTES = 32 << 20
 SORT_BYTES = 2 << 20
 #: Hashes and windows are looked at in pieces of this many bytes.
 BLOCK_BYTES = 1 << 20
+#: Segments of a key that a batch has no more bytes of count as this many.
+LIGHT_BYTES = 256
 
 _PACKED = "batch bigint, ids binary, sizes binary, text binary"
 _ANSWER = "batch bigint, kind int, shard int, bits binary"
+#: Kinds of answers: keys of two documents, keys split by windows, windows of smaller owners.
+_SHARED, _SPLIT, _OWNED = 1, 3, 2
 _SEGMENTS = "shard int, batch bigint, sizes binary, owners binary, parts binary, text binary"
 _RESULT = (
     "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,"
@@ -47,6 +54,10 @@ _RESULT = (
 _NULL_ID = -(1 << 63)
 
 
+#: Where the words of 8 bytes start that cover a window.
+_PLACES = (*range(0, LENGTH - 7, 8), LENGTH - 8)
+
+
 def _squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -77,6 +88,26 @@ def _least_hashes(data: np.ndarray) -> np.ndarray:
     return np.minimum(hashes[: len(hashes) - rest], hashes[rest:]) if rest else hashes
 
 
+def _window_hashes(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of whole windows, from the 8 bytes at every position."""
+    hashes = np.zeros(len(at), np.uint64)
+    for place in _PLACES:
+        hashes = _mix((hashes ^ eight[at + place]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return hashes
+
+
+class Pieces(NamedTuple):
+    """What a batch sends: where each piece starts and in which document, the distinct strings,
+    which string each piece is, and the least doc_id and the key of each string."""
+
+    at: np.ndarray
+    doc: np.ndarray
+    strings: list[bytes]
+    which: np.ndarray
+    least: np.ndarray
+    key: np.ndarray
+
+
 class Batch:
     """Whole documents side by side, and their segments: runs of windows with one least hash."""
 
@@ -117,23 +148,78 @@ class Batch:
         np.maximum.at(high, nth, owner)
         return keys, nth, low < high
 
-    def shared(self, shards: int, answers: dict[int, bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Of the segments that may occur in two documents: their numbers, the distinct strings,
-        which string each one is, and the least doc_id of each string."""
+    def weights(self, keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """Bytes of the distinct segments of every key, exact where they are above ``LIGHT_BYTES``."""
+        size = self.count + LENGTH - 1
+        held = np.bincount(nth, size, len(keys)).astype(np.int64)
+        some = np.flatnonzero(held[nth] > LIGHT_BYTES)
+        if len(some):
+            raw, found = self.data.tobytes(), set()
+            for i, start, length in zip(some, self.at[some].tolist(), size[some].tolist(), strict=True):
+                string = raw[start : start + length]
+                if string in found:
+                    held[nth[i]] -= length
+                else:
+                    found.add(string)
+        return held
+
+    def shared(self, shards: int, answers: pa.Table) -> Pieces:
+        """The segments that may occur in two documents, those of split keys as single windows."""
         keys, nth, _ = self.distinct()
-        marked = np.zeros(len(keys), bool)
         of_shard = keys % np.uint64(shards)
-        for shard, bits in answers.items():
-            own = np.flatnonzero(of_shard == shard)
-            marked[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        chosen = np.flatnonzero(marked[nth])
-        raw, known, which = self.data.tobytes(), {}, np.empty(len(chosen), np.int64)
-        for i, k in enumerate(chosen):
+
+        def told(kind: int) -> np.ndarray:
+            marked = np.zeros(len(keys), bool)
+            for shard, bits in _by_shard(answers, kind).items():
+                own = np.flatnonzero(of_shard == shard)
+                marked[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+            return marked[nth]
+
+        chosen, split = told(_SHARED), told(_SPLIT)
+        whole, single = np.flatnonzero(chosen & ~split), np.flatnonzero(chosen & split)
+        raw, known, which = self.data.tobytes(), {}, np.empty(len(whole), np.int64)
+        for i, k in enumerate(whole):
             start = self.at[k]
             which[i] = known.setdefault(raw[start : start + self.count[k] + LENGTH - 1], len(known))
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, self.ids[self.doc[chosen]])
-        return chosen, list(known), which, least
+        key = np.zeros(len(known), np.uint64)
+        key[which] = self.key[whole]
+        at, doc, strings = self.at[whole], self.doc[whole], list(known)
+        if len(single):
+            # Equal windows have one least hash, so none of these is among the whole segments.
+            count = self.count[single]
+            place = np.repeat(self.at[single], count) + _inside(count)
+            nth_window, first, own_key = self._windows(place)
+            which = np.concatenate((which, nth_window + len(strings)))
+            strings += [raw[start : start + LENGTH] for start in first.tolist()]
+            key = np.concatenate((key, own_key))
+            at, doc = np.concatenate((at, place)), np.concatenate((doc, np.repeat(self.doc[single], count)))
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, self.ids[doc])
+        return Pieces(at, doc, strings, which, least, key)
+
+    def _windows(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which distinct window stands at each place, where each is first, and its hash."""
+        eight = words(self.data)
+        hashes = _window_hashes(eight, place)
+        own_key, index, nth = np.unique(hashes, return_index=True, return_inverse=True)
+        first = place[index]
+        odd = np.zeros(len(place), bool)
+        for at in _PLACES:
+            odd |= eight[place + at] != eight[first[nth] + at]
+        # Different windows of one hash: told apart by their bytes.
+        extra: dict[bytes, int] = {}
+        for i in np.flatnonzero(odd):
+            window = self.data[place[i] : place[i] + LENGTH].tobytes()
+            if window not in extra:
+                extra[window] = len(first)
+                first, own_key = np.append(first, place[i]), np.append(own_key, hashes[i])
+            nth[i] = extra[window]
+        return nth, first, own_key
+
+
+def _inside(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts, side by side."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _pack(batch_bytes: int) -> Callable:
@@ -174,42 +260,67 @@ def _pack(batch_bytes: int) -> Callable:
 
 
 def _offers(shards: int) -> Callable:
-    """Every batch's distinct keys, to the shards: 5 bytes each, the last bit for keys of two documents."""
+    """Every batch's distinct keys, to the shards: 5 bytes each, the last bit for keys of two documents.
+
+    Keys with many bytes of segments go a second time, with their place and these bytes.
+    """
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
-                keys, _, repeated = Batch(row["ids"], row["sizes"], row["text"]).distinct()
+                batch = Batch(row["ids"], row["sizes"], row["text"])
+                keys, nth, repeated = batch.distinct()
                 order = np.argsort(keys % np.uint64(shards), kind="stable")
                 tags = ((keys >> np.uint64(25)) << np.uint64(1) | repeated)[order].astype("<u8")
                 packed = tags.view(np.uint8).reshape(-1, 8)[:, :5]
                 own = (keys % np.uint64(shards))[order]
                 heads = np.flatnonzero(np.diff(own, prepend=np.uint64(shards)))
                 blobs = [p.tobytes() for p in np.split(packed, heads[1:])] if len(own) else []
+                held = batch.weights(keys, nth)[order]
+                pairs = [
+                    np.stack((heavy, part[heavy])).astype("<i8").tobytes()
+                    for part in (np.split(held, heads[1:]) if len(own) else [])
+                    for heavy in [np.flatnonzero(part > LIGHT_BYTES)]
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own[heads].astype(np.int32), pa.int32()),
                         pa.array([row["batch"]] * len(heads), pa.int64()),
                         pa.array(blobs, pa.binary()),
+                        pa.array(pairs, pa.binary()),
                     ],
-                    ["shard", "batch", "tags"],
+                    ["shard", "batch", "tags", "heavy"],
                 )
 
     return offer
 
 
-def _answer_offers(rows: pa.Table) -> pa.Table:
-    """For each batch, which of the keys it offered to this shard two documents have."""
-    shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
-    offered = [np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 5) for b in rows.column("tags")]
-    wide = np.zeros((sum(map(len, offered)), 8), np.uint8)
-    wide[:, :5] = np.concatenate(offered)
-    tags = wide.reshape(-1).view("<u8")
-    keys, nth, times = np.unique(tags >> np.uint64(1), return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared[nth[(tags & np.uint64(1)) == 1]] = True
-    cuts = np.cumsum([len(o) for o in offered])[:-1]
-    return _answers(rows.column("batch").to_pylist(), shard, 1, np.split(shared[nth], cuts))
+def _answer_offers(sort_bytes: int) -> Callable:
+    """For each batch, which of the keys it offered to this shard two documents have, and which
+    of those may have over ``sort_bytes`` of distinct segments: these are split by windows."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
+        offered = [np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 5) for b in rows.column("tags")]
+        wide = np.zeros((sum(map(len, offered)), 8), np.uint8)
+        wide[:, :5] = np.concatenate(offered)
+        tags = wide.reshape(-1).view("<u8")
+        keys, nth, times = np.unique(tags >> np.uint64(1), return_inverse=True, return_counts=True)
+        shared = times > 1
+        shared[nth[(tags & np.uint64(1)) == 1]] = True
+        sizes = [len(o) for o in offered]
+        # No less than the key has: a batch that names no bytes has LIGHT_BYTES at most.
+        held = times * LIGHT_BYTES
+        for start, pairs in zip(np.cumsum(sizes) - sizes, rows.column("heavy"), strict=True):
+            place, own = np.frombuffer(pairs.as_buffer(), "<i8").reshape(2, -1)
+            np.add.at(held, nth[start + place], own - LIGHT_BYTES)
+        cuts = np.cumsum(sizes)[:-1]
+        batches = rows.column("batch").to_pylist()
+        told = _answers(batches, shard, _SHARED, np.split(shared[nth], cuts))
+        split = _answers(batches, shard, _SPLIT, np.split((shared & (held > sort_bytes))[nth], cuts))
+        return pa.concat_tables([told, split])
+
+    return answer
 
 
 def _answers(batches: list[int], shard: int, kind: int, bits: list[np.ndarray]) -> pa.Table:
@@ -237,9 +348,7 @@ def _send(shards: int) -> Callable:
         out: dict[str, list] = {n: [] for n in ("shard", "batch", "sizes", "owners", "parts", "text")}
         for row in packed.to_pylist():
             batch = Batch(row["ids"], row["sizes"], row["text"])
-            chosen, strings, which, least = batch.shared(shards, _by_shard(answers, 1))
-            key = np.zeros(len(strings), np.uint64)
-            key[which] = batch.key[chosen]
+            _, _, strings, _, least, key = batch.shared(shards, answers)
             for shard in np.unique(key % np.uint64(shards)):
                 own = np.flatnonzero(key % np.uint64(shards) == shard)
                 out["shard"].append(int(shard))
@@ -288,9 +397,8 @@ def _sort(sort_bytes: int) -> Callable:
         bits = []
         for own, owner in zip(which, owners, strict=True):
             count = windows[own]
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            bits.append(first[np.repeat(places[own], count) + inside] < np.repeat(owner, count))
-        return _answers(rows.column("batch").to_pylist(), rows.column("shard")[0].as_py(), 2, bits)
+            bits.append(first[np.repeat(places[own], count) + _inside(count)] < np.repeat(owner, count))
+        return _answers(rows.column("batch").to_pylist(), rows.column("shard")[0].as_py(), _OWNED, bits)
 
     return sort
 
@@ -302,23 +410,20 @@ def _cut(shards: int) -> Callable:
         out: list[dict] = []
         for row in packed.to_pylist():
             batch = Batch(row["ids"], row["sizes"], row["text"])
-            chosen, strings, which, least = batch.shared(shards, _by_shard(answers, 1))
+            at, doc, strings, which, least, key = batch.shared(shards, answers)
             count = np.array([len(s) for s in strings], np.int64) - LENGTH + 1
-            key = np.zeros(len(strings), np.uint64)
-            key[which] = batch.key[chosen]
             places = np.cumsum(count) - count
             repeated = np.zeros(int(count.sum()), bool)
-            for shard, bits in _by_shard(answers, 2).items():
+            for shard, bits in _by_shard(answers, _OWNED).items():
                 own = np.flatnonzero(key % np.uint64(shards) == shard)
                 size = count[own]
                 told = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(size.sum())).astype(bool)
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                repeated[np.repeat(places[own], size) + inside] = told
-            # Every window of the chosen segments: is an equal one in a smaller document?
+                repeated[np.repeat(places[own], size) + _inside(size)] = told
+            # Every window of the pieces: is an equal one in a smaller document?
             size = count[which]
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = np.repeat(batch.at[chosen], size) + inside
-            later = batch.ids[batch.doc[chosen]] > least[which]
+            inside = _inside(size)
+            start = np.repeat(at, size) + inside
+            later = batch.ids[doc] > least[which]
             gone = repeated[np.repeat(places[which], size) + inside] | np.repeat(later, size)
             edges = np.zeros(len(batch.data) + 1, np.int32)
             np.add.at(edges, start[gone], 1)
@@ -358,9 +463,11 @@ def repeated_spans(
     [start, end) in bytes. Everything is judged on the input, not on what is left.
 
     A batch sends each distinct key and segment once, however many of its documents have
-    it, so a passage in a third of all documents costs a shard one row per batch. Shards
-    grow in number with the corpus; in a shard, suffixes are sorted ``sort_bytes`` at a
-    time. All steps repeat exactly from the packed documents, which are written once.
+    it, so the inside of a passage in a third of all documents costs a shard one row per
+    batch. Its ends, which every document continues in its own way, are as many different
+    segments under one key: a key that may have over ``sort_bytes`` of them is split, and
+    its windows are dealt over all shards. Shards grow in number with the corpus; in a
+    shard, suffixes are sorted some ``sort_bytes`` at a time. All steps repeat exactly from the packed documents, which are written once.
 
     NULL texts count as empty. Rows with one doc_id do not remove from each other; a NULL
     doc_id is smaller than any other. Texts under ``LENGTH`` bytes keep everything. One
@@ -371,8 +478,8 @@ def repeated_spans(
     packed = materialize(chosen.mapInArrow(_pack(batch_bytes), _PACKED))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = partitions_for(total, shard_bytes, shuffle_width(docs))
-    offers = packed.mapInArrow(_offers(shards), "shard int, batch bigint, tags binary")
-    first = materialize(offers.groupBy("shard").applyInArrow(_answer_offers, _ANSWER))
+    offers = packed.mapInArrow(_offers(shards), "shard int, batch bigint, tags binary, heavy binary")
+    first = materialize(offers.groupBy("shard").applyInArrow(_answer_offers(sort_bytes), _ANSWER))
     segments = packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_send(shards), _SEGMENTS)
     second = segments.groupBy("shard").applyInArrow(_sort(sort_bytes), _ANSWER)
     answers = first.unionByName(materialize(second))
