@@ -247,3 +247,20 @@ def test_warc_notices_a_wrong_payload():
     head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 5\r\n\r\n"
     with pytest.raises(ValueError, match="differ"):
         list(warc.parse(memoryview((head + "\r\n\r\na\r\n\r\n").encode())))
+
+
+def test_keep_first_tells_rows_by_id_and_text(spark):
+    near, clean, other = "a text that several rows have", "something else entirely here", "words of a third kind only"
+    some = [
+        (1, near, "en", "a", 0), (None, near, "en", "a", 0), (None, clean, "en", "a", 0),  # a unique text without id stays
+        (2, near, "en", "a", 0), (2, other, "en", "a", 0),  # of two texts under one id, only the copy goes
+        (5, "copies under one id", "en", "b", 2), (5, "copies under one id", "en", "a", 1), (5, "Copies under one id", "en", "c", 3),
+        (None, "nobody has an id", "en", "a", 0), (None, "nobody has an id", "en", "a", 0), (None, "Nobody has an id", "en", "a", 0),
+    ]
+    frame = spark.createDataFrame(some, DOCS)
+    kept = [(r.doc_id, (r.text or "").lower()) for r in simhash.keep_first(frame).collect()]
+    expected = [(1, near), (2, other), (5, "copies under one id"), (None, clean), (None, "nobody has an id")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+    assert simhash.keep_first(frame).columns == frame.columns
+    again = simhash.keep_first(frame.orderBy(F.desc("n_chars")).repartition(5))
+    assert sorted(map(str, again.collect())) == sorted(map(str, simhash.keep_first(frame).collect()))

@@ -35,17 +35,27 @@ def fingerprint(text: bytes, size: int) -> int:
     return np.packbits(2 * ones > total, bitorder="little").view("<i8")[0]
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row, over its whole text; NULL and no words give 0."""
+def fingerprints(docs: DataFrame, size: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, over its whole text; NULL and no words give 0.
+
+    ``keyed`` adds text_key, a digest of the text, in the same pass.
+    """
+    names = ["doc_id", "fp", *(["text_key"] if keyed else [])]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t or b"", size) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp bigint")
+    key = [_text_key().alias("text_key")] if keyed else []
+    read = docs.select("doc_id", "text", *key)
+    return read.mapInArrow(hashed, f"doc_id {kind}, fp bigint" + (", text_key binary" if keyed else ""))
+
+
+def _text_key() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
 def _segments(fp: Column) -> list[Column]:
@@ -96,6 +106,15 @@ def _neighbours(crowded: DataFrame) -> DataFrame:
     return found.select("u", "v")
 
 
+def _rooted(marked: DataFrame, most_bits: int) -> DataFrame:
+    """(fp, first, root): the smallest doc_id of every fingerprint, and its component."""
+    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = materialize(components(links(prints.select("fp"), most_bits)))
+    return prints.join(roots, prints.fp == roots.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_groups(docs: DataFrame, size: int = 3, most_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): documents joined through fingerprints within ``most_bits``.
 
@@ -107,23 +126,39 @@ def near_groups(docs: DataFrame, size: int = 3, most_bits: int = 2) -> DataFrame
     Other columns are not read. An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, size))
-    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = materialize(components(links(prints.select("fp"), most_bits)))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(marked, most_bits)
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     component = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 3, most_bits: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component.
+    """One row of ``docs``, all columns, of each component: the first by doc_id and text digest.
 
-    Rows that repeat the first doc_id of a component are told apart by nothing and stay.
+    A NULL doc_id is larger than any other. Rows are told apart by doc_id and text, so a
+    doc_id may stand on several texts, and NULL on any. Of rows that repeat both, the one
+    with the least digest of all columns stays.
     """
-    gone = near_groups(docs, size, most_bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    aside, back = set_aside(docs, gone.columns)
-    left = aside.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return left.select(*back(left))
+    marked = materialize(fingerprints(docs, size, keyed=True))
+    # Copies are folded first; written before the join, so that a large component can be split.
+    texts = materialize(marked.groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    placed = materialize(texts.join(_rooted(marked, most_bits).select("fp", "root"), "fp").drop("fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    firsts = materialize(placed.groupBy("root").agg(F.min(order).alias("first")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    judged = placed.join(firsts, "root").select(
+        F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text"), "n", is_first.alias("first")
+    )
+    other = materialize(judged.where(~F.col("first") | (F.col("n") > 1)))
+    aside, back = set_aside(docs, ["_gone", "_text", "_row"])
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (_text_key() == F.col("_text"))
+    left = aside.join(other.select("_gone", "_text"), same, "left_anti")
+    left = left.select(*back(left))
+    repeated = other.where("first").select("_gone", "_text")
+    if repeated.isEmpty():
+        return left
+    rows = aside.join(repeated, same)
+    digest = F.sha2(F.to_json(F.struct(*aside.columns)), 256)
+    one = rows.groupBy("_gone", "_text").agg(F.min_by(F.struct(*aside.columns), digest).alias("_row"))
+    one = one.select("_row.*")
+    return left.union(one.select(*back(one)))
