@@ -264,3 +264,12 @@ def test_keep_first_tells_rows_by_id_and_text(spark):
     assert simhash.keep_first(frame).columns == frame.columns
     again = simhash.keep_first(frame.orderBy(F.desc("n_chars")).repartition(5))
     assert sorted(map(str, again.collect())) == sorted(map(str, simhash.keep_first(frame).collect()))
+
+
+def test_training_counts_a_repeated_id_once(spark):
+    docs = spark.range(12).selectExpr("id as doc_id", "concat('word', id % 3, ' text ', id) as text")
+    grades = spark.range(12).selectExpr("id as doc_id", "cast(id % 3 as int) as grade")
+    hot = docs.where("doc_id = 1").crossJoin(spark.range(300).select()).union(docs.where("doc_id <> 1"))
+    assert hot.count() == 311
+    once, many = quality.train(docs, grades), quality.train(hot, grades)
+    assert (once.weights == many.weights).all() and (once.thresholds == many.thresholds).all()

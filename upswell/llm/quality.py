@@ -179,8 +179,9 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, seed: int = 0) -> OrdinalModel:
     """A model from at most ``sample`` graded documents, chosen by a seeded hash of doc_id.
 
-    Only their bucket numbers reach the driver, a bounded number of rows. The sample of
-    grades is small by its limit and so may be broadcast to the documents.
+    Only their bucket numbers reach the driver, one row per label: of several rows with a
+    doc_id, the least bucket list counts, folded in the map tasks. The sample of grades is
+    small by its limit and so may be broadcast to the documents.
     """
     chosen = grades.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -196,7 +197,9 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, seed: int =
     found = joined.select("text", "doc_id", "grade").mapInArrow(
         extract, f"doc_id {kind}, grade int, buckets binary"
     )
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["buckets"])))
+    # A label counts once, however many rows have its doc_id.
+    found = found.groupBy("doc_id", "grade").agg(F.min("buckets").alias("buckets"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     return fit(
         [np.frombuffer(r["buckets"], "<i4") for r in rows], np.array([r["grade"] for r in rows], np.int64)
     )
