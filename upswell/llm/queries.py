@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import decontaminate, exact, hosts, mixing, quality, repeats, sharding, simhash, templates, warc
+from upswell.llm import (
+    decontaminate,
+    exact,
+    hosts,
+    merkle,
+    mixing,
+    privacy,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    spelling,
+    templates,
+    warc,
+)
 from upswell.session import apply_conf, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,3 +314,43 @@ def suffix_repeats(read) -> DataFrame:
     return repeats.repeated_spans(read("documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@query("op11_merkle_manifest")
+def merkle_manifest(read) -> DataFrame:
+    """Every second document (by the checksum of its id) is checked with its line ends gone."""
+    docs = read("documents")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = docs.select(
+        "doc_id", "source", merkle.leaf([*columns, "text"]).alias("leaf"), merkle.leaf([*columns, text]).alias("claimed")
+    )
+    proven = merkle.climb(*merkle.manifest(rows, "source", "doc_id"), "row.claimed")
+    return proven.select(
+        "row.doc_id",
+        *[merkle.hexed(c).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.hexed("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_spelling_variants")
+def spelling_variants(read) -> DataFrame:
+    runs = spelling.runs(read("documents"), 7)
+    words = runs.select(spelling.damaged(F.col("run"), F.col("doc_id")).alias("word"))
+    return spelling.variants(spelling.word_counts(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_private_spans")
+def private_spans(read) -> DataFrame:
+    found = privacy.find(read("documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{name}") for kind, name in enumerate(privacy.KINDS[:4])],
+        F.sha2(privacy.listed(base), 256).alias("base_sha256"),
+        privacy.listed(F.col("spans")).alias("spans"),
+    )
