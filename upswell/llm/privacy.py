@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Disclosing terms that one pass over the texts looks for.
 TERMS_AT_ONCE = 200_000
+#: Words that a task counts before it passes them on.
+COUNTED = 200_000
 #: Letters that a generalised term keeps.
 STEM = 4
 _SPANS = "array<struct<kind:int,start:int,end:int,instead:string>>"
@@ -101,53 +104,53 @@ def _found(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key string, spans {_SPANS}"
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of every row: the spans that the rules find."""
+def marked(docs: DataFrame, reach: int = 10) -> DataFrame:
+    """(doc_id, text_key, spans, near) of every row: what the rules find, and the words around it.
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            spans = [[_span(*s) for s in base_spans(t)] for t in texts]
-            keys = pa.array(map(text_key, texts), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], keys, pa.array(spans, pa.list_(_SPAN))], _NAMES)
-
-    return docs.select("doc_id", "text").mapInArrow(mark, _found(docs))
-
-
-def surroundings(docs: DataFrame, reach: int = 10) -> DataFrame:
-    """(entity, term, left, right): words near an entity's mentions, once per row, entity and word.
-
-    The words of the mention itself count as near: they may stand alone elsewhere. left
-    and right tell the surroundings apart by the three words furthest out on each side.
-    A row gives at most ``2 * reach`` words per mention besides the mention's own.
+    ``near`` has (entity, term, left, right) once per entity and word: words near an
+    entity's mentions in this row. The words of the mention itself count as near: they may
+    stand alone elsewhere. left and right tell the surroundings apart by the three words
+    furthest out on each side. There are at most ``2 * reach`` words per mention besides the
+    mention's own.
     """
+    near_fields = ("entity", "term", "left", "right")
+    near_type = pa.list_(pa.struct([(n, pa.string()) for n in near_fields]))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, str, str]] = []
-            for text in batch["text"].to_pylist():
-                spans = base_spans(text) if text else []
-                if not spans:
-                    continue
-                words = [(m.group(), m.start(), m.end()) for m in _TERM.finditer(text.translate(_LOWER))]
-                seen = set()
-                ends = [end for _, _, end in words]
-                for kind, start, end in spans:
-                    name = entity(kind, text[start:end])
-                    first = _first_over(ends, start)
-                    after = first
-                    while after < len(words) and words[after][1] < end:
-                        after += 1
-                    outer = [w for w, _, _ in words[max(0, first - reach) : after + reach]]
-                    left, right = (text_key(" ".join(side)) for side in (outer[:3], outer[-3:]))
-                    for word in outer:
-                        if (name, word) not in seen:
-                            seen.add((name, word))
-                            rows.append((name, word, left, right))
-            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, ["entity", "term", "left", "right"])
-
-    return docs.select("text").mapInArrow(near, "entity string, term string, left string, right string")
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            found = [base_spans(t) for t in texts]
+            spans = [[_span(*s) for s in each] for each in found]
+            near = [_near(t, each, reach) if each else [] for t, each in zip(texts, found)]
+            columns = [
+                batch["doc_id"],
+                pa.array(map(text_key, texts), pa.string()),
+                pa.array(spans, pa.list_(_SPAN)),
+                pa.array([[dict(zip(near_fields, row)) for row in rows] for rows in near], near_type),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*_NAMES, "near"])
+
+    shape = _found(docs) + ", near array<struct<entity:string,term:string,left:string,right:string>>"
+    return docs.select("doc_id", "text").mapInArrow(mark, shape)
+
+
+def _near(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, str, str]]:
+    words = [(m.group(), m.start(), m.end()) for m in _TERM.finditer(text.translate(_LOWER))]
+    ends = [end for _, _, end in words]
+    seen, rows = set(), []
+    for kind, start, end in spans:
+        name = entity(kind, text[start:end])
+        first = _first_over(ends, start)
+        after = first
+        while after < len(words) and words[after][1] < end:
+            after += 1
+        outer = [w for w, _, _ in words[max(0, first - reach) : after + reach]]
+        left, right = (text_key(" ".join(side)) for side in (outer[:3], outer[-3:]))
+        for word in outer:
+            if (name, word) not in seen:
+                seen.add((name, word))
+                rows.append((name, word, left, right))
+    return rows
 
 
 def _first_over(ends: list[int], start: int) -> int:
@@ -161,13 +164,32 @@ def _first_over(ends: list[int], start: int) -> int:
 def term_rows(docs: DataFrame) -> DataFrame:
     """(term, rows): in how many rows each word of the corpus stands.
 
-    Words are folded per row and counts in the map tasks: what moves is the vocabulary.
+    Each task counts up to ``COUNTED`` words before it passes them on, and what moves is
+    folded once more: the vocabulary, not the texts.
     """
-    words = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                if text:
+                    counts.update(set(_TERM.findall(text.translate(_LOWER))))
+                if len(counts) >= COUNTED:
+                    yield _counts(counts)
+                    counts.clear()
+        yield _counts(counts)
+
+    found = docs.select("text").mapInArrow(count, "term string, rows bigint")
+    return found.groupBy("term").agg(F.sum("rows").alias("rows"))
+
+
+def _counts(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "rows"]
+    )
 
 
-def disclosing(docs: DataFrame, reach: int = 10, alpha: float = 1.1, support: int = 3) -> DataFrame:
+def disclosing(docs: DataFrame, alpha: float = 1.1, support: int = 3, reach: int = 10, marks: DataFrame | None = None) -> DataFrame:
     """(term, entity, information, replacement): the words that reveal an entity, and what may stand instead.
 
     An entity is a value that the rules find. Its information is -log2 of the share of rows
@@ -181,10 +203,12 @@ def disclosing(docs: DataFrame, reach: int = 10, alpha: float = 1.1, support: in
     A revealing word is generalised to its first ``STEM`` letters if all words that start
     with them tell less than that share together; else replacement is empty: it is removed.
 
-    An empty table, and one without entities, gives no rows.
+    ``marks`` is what ``marked(docs, reach)`` gave, if that is at hand. An empty table, and
+    one without entities, gives no rows.
     """
-    total = docs.count()
-    near = surroundings(docs, reach)
+    marks = materialize(marked(docs, reach)) if marks is None else marks
+    total = marks.count()
+    near = marks.select(F.explode("near").alias("n")).select("n.*")
     # Equal surroundings fold in the map tasks before either side is counted.
     pairs = materialize(near.groupBy("entity", "term", "left", "right").agg(F.count(F.lit(1)).alias("n")))
     mentioned = pairs.groupBy("entity", "term").agg(
@@ -260,8 +284,9 @@ def find(docs: DataFrame, terms: DataFrame | None = None, **how) -> DataFrame:
     Texts do not move. Revealing words come to the driver ``TERMS_AT_ONCE`` at a time, and
     each such set is looked for in one pass.
     """
-    base = materialize(marked(docs))
-    terms = materialize((disclosing(docs, **how) if terms is None else terms).select("term", "replacement"))
+    marks = materialize(marked(docs, how.get("reach", 10)))
+    terms = materialize((disclosing(docs, marks=marks, **how) if terms is None else terms).select("term", "replacement"))
+    base = marks.drop("near")
     passes = -(-terms.count() // TERMS_AT_ONCE)
     if not passes:
         return base
