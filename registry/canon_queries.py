@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registry.base import query
 from upswell.operators import canon, rollups, routing, upserts
-from upswell.plans.canon_run import normalize, score_batches
+from upswell.plans.canon_run import normalize_growing, score_batches
 
 WEEK = dt.date(2024, 1, 15)
 CAP = 300
@@ -284,23 +284,34 @@ def _(v):
 
 
 def _coins(model: str, payload: str, vocab: str) -> str:
-    """A stand-in for the model: one of seven terms, new unless the vocabulary has it."""
+    """A stand-in for the model: one of many terms, new unless the vocabulary has it."""
     known = set(json.loads(vocab))
     items = []
     for item in json.loads(payload):
-        term = f"coined {item['id'] % 7}"
+        term = f"coined {item['id'] % 1009}"
         items.append({"id": item["id"], "canonical": term, "confidence": 0.9, "is_new": term not in known})
     return json.dumps({"items": items})
 
 
+_COINED = """
+    select id, batch_no, pos, id % 1009 as k, batch_no = min(batch_no) over (partition by id % 1009) as first
+    from {work}"""
+_TRIED = """
+    select *, count(case when first then 1 end) over (order by batch_no, pos) <= 300 as within from {coined}"""
+_JUDGED_COINS = """
+    select *, first and within as confirmed,
+           min(case when first and within then batch_no end) over (partition by k) < batch_no as known
+    from {tried}"""
+
+
 @query("t10_vocab_growth", """
-    select id, batch_no, concat('coined ', id % 7) as canon_name,
-           case when batch_no = min(batch_no) over (partition by id % 7) then 'canon_flash' else 'canon_lite' end as status
-    from {work} where batch_no < 3""", **STEPS)
+    select id, batch_no, case when confirmed or known then concat('coined ', k) end as canon_name,
+           case when confirmed then 'canon_flash' when known then 'canon_lite' else 'pending' end as status
+    from {judged_coins}""", **STEPS, coined=_COINED, tried=_TRIED, judged_coins=_JUDGED_COINS)
 def _(v):
-    # Batch by batch: a term that the second tier confirmed is known to the next batch.
-    work = _work(v).where("batch_no < 3")
-    results, _ = normalize(work, canon.vocabulary(v.tags), _coins)
+    # The whole queue in its strict order: a term that the second tier confirmed is known
+    # to all later batches, until the budget of the run is spent.
+    results, _ = normalize_growing(_work(v), canon.vocabulary(v.tags), _coins, cap=CAP)
     return results.select("id", "batch_no", "canon_name", "status")
 
 

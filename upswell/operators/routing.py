@@ -68,10 +68,12 @@ def gate_items(valid: DataFrame, vocab: DataFrame, threshold: float = CONFIDENCE
     """One row per reply item with each gate's outcome and ``passed``.
 
     ``shape_ok``: a usable term. ``vocab_ok``: an allowed one, not proposed as new.
-    ``conf_ok``: confident enough.
+    ``conf_ok``: confident enough. If ``vocab`` has ``since``, a term is allowed in the
+    batches after that one.
     """
     item = valid.select("batch_no", F.explode("items").alias("i")).select("batch_no", "i.*")
-    allowed = vocab.select(F.col("term").alias("canonical"), F.lit(True).alias("_known"))
+    since = F.col("since") if "since" in vocab.columns else F.lit(-1)
+    allowed = vocab.select(F.col("term").alias("canonical"), since.alias("_since"))
     known = item.join(allowed, "canonical", "left")
     return known.select(
         "batch_no",
@@ -81,11 +83,17 @@ def gate_items(valid: DataFrame, vocab: DataFrame, threshold: float = CONFIDENCE
         "confidence",
         "is_new",
         F.col("canonical").isNotNull().alias("shape_ok"),
-        (F.coalesce("_known", F.lit(False)) & ~F.col("is_new")).alias("vocab_ok"),
+        (F.coalesce(F.col("_since") < F.col("batch_no"), F.lit(False)) & ~F.col("is_new")).alias("vocab_ok"),
         conf_ok(F.col("confidence"), threshold).alias("conf_ok"),
     ).withColumn("passed", F.col("shape_ok") & F.col("vocab_ok") & F.col("conf_ok"))
 
 
+def proposed(valid: DataFrame) -> DataFrame:
+    """``batch_no, term``: every term that the replies with ``items`` propose."""
+    terms = valid.select("batch_no", F.explode("items.canonical").alias("term"))
+    return terms.where(F.col("term").isNotNull()).distinct()
+
+
 def candidates(
     work: DataFrame,
     lite: DataFrame,

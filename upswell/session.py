@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,9 @@ SESSION_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-#: Folders of the runs in progress, the innermost last.
-_RUNS: list[str] = []
+#: The folder of the run in progress. Every thread has its own: a stream's batch or a second
+#: run in the same driver neither writes into another run's folder nor loses its files with it.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def apply_conf(spark: SparkSession) -> SparkSession:
@@ -79,18 +81,24 @@ def file_system(spark: SparkSession, path: str):
 def stages(spark: SparkSession) -> Iterator[str]:
     """One folder for all steps of a run that stores its results; removed when it ends.
 
-    Frames that a caller gets from the run must not read from it.
+    Frames that a caller gets from the run must not read from it. The folder is that of the
+    thread that opened it.
     """
     root = f"{shared_dir(spark)}/upswell-run-{uuid.uuid4().hex}"
-    _RUNS.append(root)
+    token = _RUN.set(root)
     try:
         yield root
     finally:
-        _RUNS.remove(root)
+        _RUN.reset(token)
         fs, where = file_system(spark, root)
         fs.delete(where, True)
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """Where a step is written: the folder of the run in progress, or the shared one."""
+    return _RUN.get() or shared_dir(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
@@ -101,7 +109,6 @@ def materialize(df: DataFrame) -> DataFrame:
     Inside ``stages`` the folder goes when the run ends, else with the retention of the
     shared folder.
     """
-    root = _RUNS[-1] if _RUNS else shared_dir(df.sparkSession)
-    path = f"{root}/upswell-stage-{uuid.uuid4().hex}"
+    path = f"{steps_dir(df.sparkSession)}/upswell-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
