@@ -51,6 +51,73 @@ def view_deltas(metrics: DataFrame, week: dt.date | str, source: str | None = No
     )
 
 
+def own_peaks(metrics: DataFrame) -> DataFrame:
+    """``song_id, week, peak``: the highest reading of every song and week that has one."""
+    return _weekly_peaks(metrics, None).select("song_id", F.col("_wk").alias("week"), F.col("_peak").alias("peak"))
+
+
+def rolled_peaks(before: DataFrame, own: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Running peaks of the weeks from ``first`` to ``last``: the rows of ``weekly_peaks``.
+
+    ``before`` has the rows of the week before ``first``, ``own`` the peaks of the weeks
+    themselves. A song has a row for every week since its first reading: ``seen`` and
+    ``peak`` of the week alone, ``best`` and ``weeks`` of all weeks so far. One shuffle by
+    song, of one row per song and week.
+    """
+    entry = lambda day, peak, n, own: F.struct(
+        day.alias("day"), peak.cast("bigint").alias("peak"), F.lit(n).cast("bigint").alias("n") if isinstance(n, int) else n.cast("bigint").alias("n"), F.lit(own).alias("own")
+    )
+    nothing = F.lit(None)
+    marks = F.transform(_weeks_between(first, last), lambda w: entry(F.unix_date(w), nothing, 0, 0))
+    start = F.lit(first)
+    old = before.select("song_id", F.explode(F.concat(F.array(entry(F.unix_date(start) - 7, F.col("best"), F.col("weeks"), 2)), marks)).alias("e"))
+    new = own.select("song_id", entry(F.unix_date("week"), F.col("peak"), 1, 1).alias("e"))
+    # Songs without a row before ``first`` get their weeks from their own first reading on.
+    fresh = own.select("song_id").distinct().join(before.select("song_id"), "song_id", "left_anti")
+    rows = old.unionByName(new).unionByName(fresh.select("song_id", F.explode(marks).alias("e"))).select("song_id", "e.*")
+    until = Window.partitionBy("song_id").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("song_id").orderBy("day").rangeBetween(0, 0)
+    filled = rows.select(
+        "song_id",
+        F.date_from_unix_date("day").alias("week"),
+        "own",
+        (F.max(F.when(F.col("own") == 1, 1)).over(same) == 1).alias("seen"),
+        F.max(F.when(F.col("own") == 1, F.col("peak"))).over(same).alias("peak"),
+        F.max("peak").over(until).alias("best"),
+        F.sum("n").over(until).alias("weeks"),
+    )
+    kept = filled.where((F.col("own") == 0) & (F.col("weeks") > 0))
+    return kept.select("song_id", "week", F.coalesce("seen", F.lit(False)).alias("seen"), "peak", "best", "weeks")
+
+
+def kept_deltas(peaks: DataFrame, first: dt.date | str, last: dt.date | str) -> DataFrame:
+    """``view_deltas`` of every week of a range, with ``week``, from stored running peaks.
+
+    Reads the rows of these weeks, of two before and of the newest week: no daily reading.
+    ``peaks`` must hold the newest week that has readings; later weeks are as that one.
+    """
+    first, last = monday(first), monday(last)
+    newest = peaks.agg(F.max("week")).scalar()
+    asked = F.explode(_weeks_between(first, last)).alias("week")
+    none = F.lit(None).cast("bigint")
+    # Every song has its rows, also in weeks before its first reading.
+    every = peaks.where(F.col("week") == newest).select("song_id", asked, F.lit(-1).alias("ago"), none.alias("best"), none.alias("weeks"))
+    of_range = (F.col("week") >= F.lit(first - 2 * WEEK)) & (F.col("week") <= F.lit(last))
+    near = peaks.where(of_range | (F.col("week") == newest))
+    onwards = F.sequence("week", F.greatest("week", F.lit(last)), F.expr("interval 7 days"))
+    until = F.explode(F.when(F.col("week") == newest, onwards).otherwise(F.array("week"))).alias("_wk")
+    enters = near.select("song_id", until, "best", "weeks").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("ago"))
+    enters = enters.select("song_id", F.date_add("_wk", F.col("ago") * 7).alias("week"), "ago", "best", "weeks")
+    both = enters.where((F.col("week") >= F.lit(first)) & (F.col("week") <= F.lit(last))).unionByName(every)
+    at = lambda n, c: F.max(F.when(F.col("ago") == n, F.col(c)))
+    return both.groupBy("song_id", "week").agg(
+        at(2, "best").alias("v_prev"),
+        at(1, "best").alias("v_start"),
+        at(0, "best").alias("v_end"),
+        F.coalesce(at(0, "weeks"), F.lit(0)).cast("bigint").alias("weeks"),
+    )
+
+
 def deriv_counts(derived: DataFrame) -> DataFrame:
     """New derived works per original and week of discovery."""
     return derived.groupBy(
@@ -209,8 +276,22 @@ def trend_rows(
     source: str | None = None,
 ) -> DataFrame:
     """Scores of one week: one row per song that has metrics."""
+    views = view_deltas(metrics, week, source)
+    return week_rows(views, derived, song_tags, tags, week, top, cluster_min_songs)
+
+
+def week_rows(
+    views: DataFrame,
+    derived: DataFrame,
+    song_tags: DataFrame,
+    tags: DataFrame,
+    week: dt.date | str,
+    top: int = TOP_N,
+    cluster_min_songs: int = CLUSTER_MIN_SONGS,
+) -> DataFrame:
+    """Scores of one week from its ``view_deltas``."""
     start = monday(week)
-    scored = score(view_deltas(metrics, start, source), deriv_base(derived, start))
+    scored = score(views, deriv_base(derived, start))
     leaders = top_velocity(scored, top)
     clusters = detect_clusters(leaders, tags_of(leaders, song_tags, tags), cluster_min_songs)
     # At most ``top`` rows, so the broadcast is bounded by the parameter.
@@ -278,7 +359,20 @@ def trend_range(
         F.sum("_seen").over(past.rangeBetween(ever, 0)).alias("weeks"),
     )
     views = filled.where(F.col("_seen") == 0)
+    return range_rows(views, derived, song_tags, tags, first, last, top, cluster_min_songs)
 
+
+def range_rows(
+    views: DataFrame,
+    derived: DataFrame,
+    song_tags: DataFrame,
+    tags: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    top: int = TOP_N,
+    cluster_min_songs: int = CLUSTER_MIN_SONGS,
+) -> DataFrame:
+    """Scores of every week of a range from ``view_deltas`` of its weeks."""
     found = F.col("discovered_at")
     near = derived.where(
         (found >= F.lit(first - 4 * WEEK).cast("timestamp"))

@@ -18,7 +18,8 @@ from upswell.fixed_values import (
 )
 from upswell.functions.scores import monday
 from upswell.operators import canon, evidence, rollups, routing, shares, upserts, weekly
-from upswell.plans.canon_run import ModelCall, normalize
+from upswell.plans import kept_weeks
+from upswell.plans.canon_run import ModelCall, normalize, normalize_growing
 from upswell.session import materialize, stages
 from upswell.sources import tables
 from upswell.sources.report_files import write_report_json
@@ -36,13 +37,16 @@ def materialize_trend(
 ) -> DataFrame:
     """Scores the week and merges it into its partition of the score table.
 
-    Rows of songs the run no longer sees stay. Returns the one-row summary.
+    The readings come from the kept weekly peaks: of the daily ones those are read whose
+    days have changed since the last run. Rows of songs the run no longer sees stay.
+    Returns the one-row summary.
     """
     start = monday(week)
+    kept_weeks.refresh(spark, root)
     stored = tables.scan_tables(spark, root)
     rows = materialize(
-        weekly.trend_rows(
-            stored["metrics_daily"],
+        weekly.week_rows(
+            weekly.kept_deltas(stored["weekly_peaks"], start, start).drop("week"),
             stored["derived_works"],
             stored["song_tags"],
             stored["tags"],
@@ -71,7 +75,7 @@ def run_weekly(
     limit: int | None = WORK_LIMIT,
     threshold: float = CONFIDENCE_THRESHOLD,
     cap: int = ESCALATION_CAP,
-    batches_per_round: int = 1,
+    batches_per_round: int | None = 1,
     top: int = TOP_N,
     cluster_min_songs: int = CLUSTER_MIN_SONGS,
 ) -> dict:
@@ -81,8 +85,9 @@ def run_weekly(
     stay as they are; without a narrative nothing is stored or published.
 
     ``limit`` is how many of the most used open tags the run asks about, None for all;
-    ``cap`` how many of them may go to the second tier. Those that do are appended to the
-    stored escalation log. ``top`` bounds the lists of the report and the songs that
+    ``cap`` how many of them may go to the second tier. Those that do are kept in the stored
+    escalation log, one row per week and tag. ``batches_per_round`` is that of ``normalize``;
+    None sends all batches at once and settles the strict order (``normalize_growing``). ``top`` bounds the lists of the report and the songs that
     clusters are looked for in. The folders of the run's steps are removed at its end.
     """
     with stages(spark):
@@ -107,10 +112,16 @@ def _run_weekly(
         else:
             queue = canon.work_queue(stored["tags"], stored["song_tags"], limit)
         vocab = canon.vocabulary(stored["tags"])
-        results, _ = normalize(queue, vocab, model_call, threshold, cap, batches_per_round)
+        if batches_per_round is None:
+            results, _ = normalize_growing(queue, vocab, model_call, threshold, cap)
+        else:
+            results, _ = normalize(queue, vocab, model_call, threshold, cap, batches_per_round)
         state["canon"] = rollups.run_summary(results).first().asDict()
-        run = F.lit(f"{start} {dt.datetime.now(dt.timezone.utc):%Y-%m-%dT%H:%M:%S.%f}")
-        tables.append_table(routing.escalation_log(results, run), root, "escalation_log")
+        # Keyed by week and tag, and written before the tags: a run that dies in between asks
+        # for the same tags again, and its rows replace those of the first attempt.
+        log = materialize(routing.escalation_log(results, F.lit(str(start))))
+        known = tables.touched(spark, root, "escalation_log", log)
+        tables.write_table(upserts.update_all(known, log, ["run", "id"]), root, "escalation_log")
         part = tables.touched(spark, root, "tags", results)
         tables.write_table(upserts.canon_apply(part, results), root, "tags")
     state["trend"] = materialize_trend(spark, root, start, top, cluster_min_songs).drop("week").first()
@@ -135,11 +146,12 @@ def backfill(
 ) -> None:
     """Scores every week of a range in one job and merges each into its partition."""
     first, last = monday(first_week), monday(last_week)
-    stored = tables.scan_tables(spark, root)
     with stages(spark):
+        kept_weeks.refresh(spark, root)
+        stored = tables.scan_tables(spark, root)
         rows = materialize(
-            weekly.trend_range(
-                stored["metrics_daily"],
+            weekly.range_rows(
+                weekly.kept_deltas(stored["weekly_peaks"], first, last),
                 stored["derived_works"],
                 stored["song_tags"],
                 stored["tags"],

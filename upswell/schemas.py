@@ -36,6 +36,10 @@ TABLES: dict[str, T.StructType] = {
         "song_id metric_date source", song_id=LONG, metric_date=DAY, source=TEXT,
         views=LONG, comments=LONG, mylists=LONG, likes=LONG,
     ),
+    "weekly_peaks": _row(
+        "song_id week", song_id=LONG, week=DAY, seen=FLAG, peak=LONG, best=LONG, weeks=LONG
+    ),
+    "folded_weeks": _row("week files", week=DAY, files=TEXT),
     "trend_scores": _row(
         "song_id week", song_id=LONG, week=DAY, view_velocity=FLOAT, deriv_velocity=FLOAT,
         is_coldstart=FLAG, cluster_id=INT, computed_at=TIME,
@@ -61,15 +65,20 @@ KEYS: dict[str, list[str]] = {
     "song_tags": ["song_id", "tag_id"],
     "derived_works": ["original_song_id", "derived_song_id"],
     "metrics_daily": ["song_id", "metric_date", "source"],
+    "weekly_peaks": ["song_id", "week"],
+    "folded_weeks": ["week"],
     "trend_scores": ["song_id", "week"],
     "weekly_reports": ["week"],
     "escalation_log": ["run", "id"],
     "song_embeddings": ["song_id"],
 }
 
-#: Date columns the weekly and daily tables are laid out by, so that reads prune.
+#: Columns the daily tables and those of weekly runs are laid out by, so that reads prune.
 DATED_BY: dict[str, str] = {
     "metrics_daily": "metric_date",
+    "weekly_peaks": "week",
+    "folded_weeks": "week",
+    "escalation_log": "run",
     "trend_scores": "week",
     "weekly_reports": "week",
 }

@@ -12,7 +12,7 @@ from upswell.fixed_values import METRIC_SOURCE
 from upswell.operators import catalogue, upserts
 from upswell.plans.collect import upsert_day
 from upswell.schemas import METRIC_PAGE
-from upswell.session import materialize
+from upswell.session import materialize, stages
 from upswell.sources import landed, tables
 
 
@@ -102,7 +102,8 @@ def stream_dedupe_links(
         first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(at)).alias("_first"))
         fresh = upserts.new_rows(stored, first.select(*keys, "_first.*"), keys)
         # Stored first: the write adds files to the folder that it is computed from.
-        materialize(fresh.select(*batch.columns)).write.mode("append").parquet(out)
+        with stages(spark):
+            materialize(fresh.select(*batch.columns)).write.mode("append").parquet(out)
 
     links.sparkSession.createDataFrame([], schema).write.mode("append").parquet(out)
     return (
