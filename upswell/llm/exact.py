@@ -21,7 +21,7 @@ def chunks(text, min_chars: int, max_chars: int):
 
 
 def recipes(docs: DataFrame, min_chars: int = 512, max_chars: int = 8192) -> DataFrame:
-    """(doc_id, text_sha256, recipe) once per document, its chunks named by two digests.
+    """(doc_id, text_sha256, recipe) of every row, its chunks named by two digests.
 
     The only step that reads texts. What moves afterwards is some 40 bytes per chunk.
     """
@@ -34,7 +34,7 @@ def recipes(docs: DataFrame, min_chars: int = 512, max_chars: int = 8192) -> Dat
                 chunks(text, min_chars, max_chars),
                 lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")),
             ).alias("recipe"),
-        ).dropDuplicates(["doc_id", "text_sha256"])
+        )
     )
 
 
@@ -59,9 +59,10 @@ def exact_groups(docs: DataFrame, min_chars: int = 512, max_chars: int = 8192) -
     against its SHA-256 over the whole corpus, and documents are equal when their ordered
     lists of verified identifiers are. The largest doc_id of a group stays.
 
-    A NULL text counts as empty. Rows that repeat a doc_id and text are one document; a
-    doc_id with two texts gives two rows. A NULL doc_id is smaller than any other. Other
-    columns are not read. An empty table gives no rows.
+    A NULL text counts as empty. Every row counts and gives one row, also those that repeat
+    a doc_id and text: if theirs is the largest doc_id, all of them stay. A NULL doc_id is
+    smaller than any other. Texts of any length are cut into chunks of ``max_chars`` at
+    most. Other columns are not read. An empty table gives no rows.
     """
     found = recipes(docs, min_chars, max_chars)
     clashing = materialize(unverified(found))
