@@ -18,6 +18,8 @@ GAP = CRLF + CRLF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A reader takes a file whole, so a file gets about this much.
 FILE_BYTES = 32 << 20
+#: Rows that repeat a page and its payload more often than this are dealt over files.
+HOT_ROWS = 1000
 #: Rows leave the reader in batches of about this many payload bytes.
 BATCH_BYTES = 4 << 20
 
@@ -36,41 +38,40 @@ RECORD = T.StructType(
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest) of every page, written once.
+    """(page_id, url, payload_bytes, payload_digest, copies), written once: every row of ``pages`` counts.
 
-    Of the payloads only their digests move. Rows that repeat a page_id and payload are
-    one record.
+    Of the payloads only their digests move, and rows that repeat all of these are folded
+    in the map tasks.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    return materialize(
-        pages.select(
-            "page_id",
-            F.octet_length(html).cast("long").alias("payload_bytes"),
-            F.sha2(html, 256).alias("payload_digest"),
-        ).dropDuplicates(["page_id", "payload_digest"])
+    found = pages.select(
+        "page_id",
+        "url",
+        F.octet_length(html).cast("long").alias("payload_bytes"),
+        F.sha2(html, 256).alias("payload_digest"),
     )
+    return materialize(found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies")))
 
 
 def resolve(found: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Adds record_type and refers_to to the rows of ``headers``.
+    """Adds record_type, refers_to and refers_url to the rows of ``headers``.
 
     Headers are shuffled by payload digest: the smallest page_id of a digest is the
-    response, the others revisit it. Payloads under ``least_bytes`` are all responses.
+    response, the others revisit it. Payloads under ``least_bytes`` are all responses, and
+    so are all rows of that smallest page_id; a revisit names the first of them by url.
     Digests fold in the map tasks, and a frequent one is split over tasks in the join.
     """
     # Written before the join, so that adaptive execution can split a frequent payload there.
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))))
     first = materialize(
-        found.where(F.col("payload_bytes") >= least_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("_first"))
+        found.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(first.alias("_first"))
     )
-    revisits = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    revisits = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     return found.join(first, "payload_digest", "left").select(
-        "page_id",
-        "payload_bytes",
-        "payload_digest",
+        *found.columns,
         F.when(revisits, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisits, F.col("_first")).alias("refers_to"),
+        F.when(revisits, F.col("_first.page_id")).alias("refers_to"),
+        F.when(revisits, F.col("_first.url")).alias("refers_url"),
     )
 
 
@@ -79,9 +80,9 @@ def _record_key(digest: str) -> Column:
     return F.md5(F.concat_ws(":", null_last(F.col("page_id")), F.col(digest)))
 
 
-def record_id(page_id: Column, digest: Column) -> Column:
-    """A UUID made of the page and its payload: the same for the same record."""
-    h = F.md5(F.concat_ws(":", page_id.cast("string"), digest))
+def record_id(page_id: Column, digest: Column, url: Column, nth: Column) -> Column:
+    """A UUID made of the page, its payload, its url and the number of the copy: the same for the same record."""
+    h = F.md5(F.concat_ws(":", page_id.cast("string"), digest, nth.cast("string"), url))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts))
 
@@ -111,7 +112,7 @@ def record_text(date: str) -> Column:
             line("WARC-Profile", F.lit(PROFILE)),
             line(
                 "WARC-Refers-To",
-                F.concat(F.lit("<"), record_id(F.col("refers_to"), F.col("payload_digest")), F.lit(">")),
+                F.concat(F.lit("<"), record_id(F.col("refers_to"), F.col("payload_digest"), F.col("refers_url"), F.lit(1)), F.lit(">")),
             ),
             line("X-Refers-To-Page", F.col("refers_to").cast("string")),
         ),
@@ -124,7 +125,7 @@ def record_text(date: str) -> Column:
         line("WARC-Type", F.col("record_type")),
         line(
             "WARC-Record-ID",
-            F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("payload_digest")), F.lit(">")),
+            F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("payload_digest"), F.coalesce("url", F.lit("")), F.col("nth")), F.lit(">")),
         ),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
@@ -153,24 +154,41 @@ def write_archives(
     ``file_bytes`` before compression. Spark's text writer commits files when a job ends, so a lost executor
     leaves no half file behind; its line separator is what closes every record.
 
-    NULL html is an empty payload, a NULL url an empty one. Rows that repeat a page_id
-    and payload are one record. Other columns are not written.
+    NULL html is an empty payload, a NULL url an empty one. Every row gives a record, also
+    one that repeats another in all columns; of a page and payload that over ``HOT_ROWS``
+    rows repeat, the payload is taken once and the records are dealt over files. A payload
+    may be longer than ``file_bytes``: its file then is as long. Other columns are not
+    written. An empty table gives no records.
     """
     found = headers(pages)
-    total = found.agg(F.sum(F.col("payload_bytes") + 600)).first()[0]
+    total = found.agg(F.sum(F.col("copies") * (F.col("payload_bytes") + 600))).first()[0]
     files = partitions_for(total, file_bytes, shuffle_width(pages))
-    decided = resolve(found, least_bytes).withColumn("_key", _record_key("payload_digest"))
-    payloads = (
-        pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_digest"))
-        .withColumn("_key", _record_key("_digest"))
-        .drop("page_id", "_digest")
-        .repartition(files, "_key")
-        .dropDuplicates(["_key"])
+    keyed = found.withColumn("_key", _record_key("payload_digest"))
+    hot = materialize(
+        keyed.groupBy("_key").agg(F.sum("copies").alias("_all")).where(F.col("_all") > HOT_ROWS).select(
+            "_key", F.ceil(F.col("_all") / HOT_ROWS).alias("_parts")
+        )
+    )
+    records = resolve(found, least_bytes).withColumn("_key", _record_key("payload_digest"))
+    records = records.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    payloads = pages.select("page_id", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_digest")).select(
+        _record_key("_digest").alias("_key"), "html"
     )
-    # Both sides are dealt by the one join key, so payloads move once.
-    joined = payloads.join(decided.repartition(files, "_key"), "_key")
-    records = joined.select(record_text(date).alias("value"))
-    records.write.option("lineSep", GAP).text(path, compression=compression)
+    if hot.isEmpty():
+        records, payloads = (x.withColumn("_part", F.lit(0).cast("long")) for x in (records, payloads))
+    else:
+        part = F.pmod(F.xxhash64("url", "nth"), F.coalesce("_parts", F.lit(1)))
+        records = records.join(hot, "_key", "left").withColumn("_part", part).drop("_parts")
+        # Folded in the map tasks: one payload per key and task moves.
+        once = payloads.join(hot, "_key", "left_semi").groupBy("_key").agg(F.first("html").alias("html")).join(hot, "_key")
+        once = once.select("_key", "html", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+        cold = payloads.join(hot, "_key", "left_anti").withColumn("_part", F.lit(0).cast("long"))
+        payloads = cold.unionByName(once)
+    # Both sides are dealt by the join keys, so payloads move once.
+    single = payloads.repartition(files, "_key", "_part").dropDuplicates(["_key", "_part"])
+    joined = single.join(records.repartition(files, "_key", "_part"), ["_key", "_part"])
+    texts = joined.select(record_text(date).alias("value"))
+    texts.write.option("lineSep", GAP).text(path, compression=compression)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -251,7 +269,7 @@ def resolved(records: DataFrame) -> DataFrame:
     revisits = plain.where("record_type = 'revisit'")
     originals = responses.select(
         F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_full")
-    )
+    ).distinct()
     return responses.unionByName(
         revisits.join(originals, ["refers_to", "payload_digest"], "left").select(
             "page_id",
