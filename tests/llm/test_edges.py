@@ -82,9 +82,9 @@ def test_templates(spark, docs):
 
 def test_exact(docs):
     found = {(r.doc_id, r.text_sha256): r for r in exact.exact_groups(docs).collect()}
-    assert len(found) == 7
+    assert len(found) == 7 and exact.exact_groups(docs).count() == len(ROWS)
     three = hashlib.sha256(b"one two three").hexdigest()
-    assert (found[3, three].keep_id, found[3, three].group_size, found[3, three].kept) == (4, 2, False)
+    assert (found[3, three].keep_id, found[3, three].group_size, found[3, three].kept) == (4, 3, False)
     nothing = hashlib.sha256(b"").hexdigest()
     assert found[1, nothing].keep_id == 2 and found[2, nothing].kept and found[4, three].kept
     left = [r.doc_id for r in exact.drop_copies(docs).collect()]
@@ -128,13 +128,14 @@ def test_decontaminate(spark, docs):
 
 def test_mix(spark, docs):
     found = mixing.mix(docs).collect()
-    assert len(found) == 7 and all(r.taken <= 2 * r.size for r in found)
+    assert len(found) == len(ROWS) and all(r.taken <= 2 * r.size for r in found)
     by_source = {}
     for r in found:
         by_source.setdefault(r.target, []).append(r)
     total = sum(r.size for r in found)
     assert sum(r.taken for r in found) <= 1.5 * total
-    assert rows(mixing.mix(docs.repartition(7)), "doc_key") == rows(mixing.mix(docs), "doc_key")
+    assert sum(r.size for r in found if r.doc_id == 4) == 6 and {r.source_size for r in found if r.doc_id == 4} == {10}
+    assert rows(mixing.mix(docs.repartition(7)), "doc_key", "copies") == rows(mixing.mix(docs), "doc_key", "copies")
     taken = mixing.take(docs)
     assert taken.columns == docs.columns
     assert taken.count() == sum(r.copies for r in found if r.size)
@@ -234,7 +235,8 @@ def test_warc(spark, tmp_path):
         records = warc.read_archives(spark, path)
         found = {r.page_id: r for r in warc.resolved(records).collect()}
         digest = hashlib.sha256(big.encode()).hexdigest()
-        assert len(found) == 7 and records.count() == 7
+        assert len(found) == 7 and records.count() == 8 and warc.resolved(records).count() == 8
+        assert records.select("record_id").distinct().count() == 8
         assert (found[2].record_type, found[2].refers_to, found[2].payload_digest) == ("revisit", 1, digest)
         assert found[2].payload_bytes == found[1].payload_bytes == len(big.encode()) and found[None].refers_to == 1
         assert {found[i].record_type for i in (1, 3, 4, 5, 6)} == {"response"} and found[3].payload_bytes == 0
@@ -243,6 +245,24 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none at all")).collect() == []
 
 
+def test_warc_keeps_every_row(spark, tmp_path, monkeypatch):
+    """One page under two urls, rows without an id, and one row a great many times."""
+    monkeypatch.setattr(warc, "HOT_ROWS", 20)
+    big = "<p>" + "x" * 200
+    rows = [(1, "http://a/", big), (1, "http://b/", big), (None, "u", big), (None, "v", big), (2, "w", big)] + [(2, "hot", big)] * 150 + [(3, "own", "y" * 150)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    warc.write_archives(pages, str(tmp_path / "out"), file_bytes=4000)
+    records = warc.read_archives(spark, str(tmp_path / "out")).cache()
+    assert sorted(map(str, ((r.page_id, r.url) for r in records.collect()))) == sorted(map(str, ((i, u) for i, u, _ in rows)))
+    assert records.select("record_id").distinct().count() == len(rows)
+    kinds = {(r.page_id, r.record_type, r.refers_to) for r in records.collect()}
+    assert kinds == {(1, "response", None), (3, "response", None), (2, "revisit", 1), (None, "revisit", 1)}
+    assert {r.payload_bytes for r in warc.resolved(records).where("record_type = 'revisit'").collect()} == {203}
+    assert warc.resolved(records).count() == len(rows)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "out")).count()
+    assert files > 4
+
+
 def test_warc_notices_a_wrong_payload():
     head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 5\r\n\r\n"
     with pytest.raises(ValueError, match="differ"):

@@ -51,7 +51,7 @@ def mix(
     most: int = 2,
     seed: int = 0,
 ) -> DataFrame:
-    """(doc_id, doc_key, size, source_size, target, copies, taken) per document.
+    """(doc_id, doc_key, size, source_size, target, copies, taken) of every row.
 
     The mix has ``share`` times the words of all documents. Sources in code point order,
     NULL last, weigh ``weights`` in turn; see ``fill`` for their targets. Documents are
@@ -60,19 +60,19 @@ def mix(
     queue behind all first ones. All copies are range-sorted by finish time, and the mix
     is cut where the words reach the budget.
 
-    A document is taken ``most`` times at most. NULL texts have no words. Rows that repeat
-    doc_id, source and text are one document and count once. Nothing depends on row order
-    or partitioning, so reruns agree. Other columns are not read. An empty table gives no
-    rows.
+    A document is taken ``most`` times at most. NULL texts have no words, long ones are
+    counted whole. Rows that repeat doc_id, source and text are documents of their own: they
+    are folded to one row with their number where texts are read, and numbered again, so
+    each has its own place in the order. Nothing depends on row order or partitioning, so
+    reruns agree. Other columns are not read. An empty table gives no rows.
     """
-    sized = materialize(
-        docs.select(
-            "doc_id",
-            null_last(F.col("source")).alias("_source"),
-            document_key().alias("doc_key"),
-            words(F.col("text")).alias("size"),
-        ).dropDuplicates(["doc_key"])
-    )
+    folded = docs.select(
+        "doc_id",
+        null_last(F.col("source")).alias("_source"),
+        document_key().alias("doc_key"),
+        words(F.col("text")).alias("size"),
+    ).groupBy("doc_id", "_source", "doc_key", "size").agg(F.count(F.lit(1)).alias("_rows"))
+    sized = materialize(folded.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).drop("_rows"))
     per_source = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
     ranked = global_rank(per_source, F.col("_source"), rank="_rank")
     nth = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
@@ -81,7 +81,8 @@ def mix(
     targets = fill(ranked, share * everything, most)
 
     # Any engine can compute the digest that shuffles.
-    queue = sized.withColumn("_mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_key"))))
+    again = F.when(F.col("_nth") > 1, F.concat(F.lit(":"), F.col("_nth").cast("string"))).otherwise(F.lit(""))
+    queue = sized.withColumn("_mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_key"), again)))
     queued = running_total(queue, ["_source"], ["_mixed"], "size", "_until")
     turn = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_turn")
     finish = (F.col("_until") + F.col("_turn") * F.col("source_size")) / F.col("target")
@@ -93,7 +94,7 @@ def mix(
     placed = running_total(copies, [], ["_finish", "_mixed", "_turn"], "size", "_total")
     taken = F.col("_total") <= F.lit(float(min(share, most) * everything))
     return (
-        placed.groupBy("doc_key")
+        placed.groupBy("doc_key", "_nth")
         .agg(
             *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")],
             F.count(F.when(taken, 1)).alias("copies"),
@@ -113,10 +114,11 @@ def mix(
 def take(docs: DataFrame, **how) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: a document twice if taken twice.
 
-    Of rows that repeat doc_id, source and text one is used. Documents without words are
-    not part of a mix.
+    Of rows that repeat doc_id, source and text one is used, as often as all of them are
+    taken. Documents without words are not part of a mix.
     """
-    copies = mix(docs, **how).where("taken > 0").select(F.col("doc_key").alias("_key"), F.col("copies").alias("_copies"))
+    taken = mix(docs, **how).where("taken > 0")
+    copies = materialize(taken.groupBy(F.col("doc_key").alias("_key")).agg(F.sum("copies").alias("_copies")))
     aside, back = set_aside(docs, ["_key", "_copies", "_n"])
     once = aside.withColumn("_key", document_key()).dropDuplicates(["_key"])
     turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))

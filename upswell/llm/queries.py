@@ -136,12 +136,15 @@ def host_reputation(read) -> DataFrame:
 @query(
     "op9_mix_sources",
     """
-    with d as (
+    with k as (
         select doc_id, source,
                coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-               md5('0:' || md5(coalesce('0' || doc_id, '1') || ':' || md5(coalesce(text, '')) || ':'
-                   || coalesce('0' || source, '1'))) as mixed
+               md5(coalesce('0' || doc_id, '1') || ':' || md5(coalesce(text, '')) || ':'
+                   || coalesce('0' || source, '1')) as doc_key
         from documents),
+    d as (
+        select doc_id, source, size, md5('0:' || doc_key || case when nth > 1 then ':' || nth else '' end) as mixed
+        from (select *, row_number() over (partition by doc_key) as nth from k)),
     s as (
         select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth
         from d group by source),
