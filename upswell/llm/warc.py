@@ -174,19 +174,18 @@ def write_archives(
     payloads = pages.select("page_id", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_digest")).select(
         _record_key("_digest").alias("_key"), "html"
     )
-    if hot.isEmpty():
-        records, payloads = (x.withColumn("_part", F.lit(0).cast("long")) for x in (records, payloads))
-    else:
-        part = F.pmod(F.xxhash64("url", "nth"), F.coalesce("_parts", F.lit(1)))
-        records = records.join(hot, "_key", "left").withColumn("_part", part).drop("_parts")
+    if not hot.isEmpty():
+        # A hot key gets the number of a part; the others stay as they are.
+        deal = lambda part: F.concat("_key", F.lit(":"), part.cast("string"))
+        part = deal(F.pmod(F.xxhash64("url", "nth"), F.col("_parts")))
+        records = records.join(hot, "_key", "left").withColumn("_key", F.coalesce(part, "_key")).drop("_parts")
         # Folded in the map tasks: one payload per key and task moves.
         once = payloads.join(hot, "_key", "left_semi").groupBy("_key").agg(F.first("html").alias("html")).join(hot, "_key")
-        once = once.select("_key", "html", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
-        cold = payloads.join(hot, "_key", "left_anti").withColumn("_part", F.lit(0).cast("long"))
-        payloads = cold.unionByName(once)
-    # Both sides are dealt by the join keys, so payloads move once.
-    single = payloads.repartition(files, "_key", "_part").dropDuplicates(["_key", "_part"])
-    joined = single.join(records.repartition(files, "_key", "_part"), ["_key", "_part"])
+        once = once.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        payloads = payloads.join(hot, "_key", "left_anti").unionByName(once.select(deal(F.col("_part")).alias("_key"), "html"))
+    # Both sides are dealt by the one join key, so payloads move once.
+    single = payloads.repartition(files, "_key").dropDuplicates(["_key"])
+    joined = single.join(records.repartition(files, "_key"), "_key")
     texts = joined.select(record_text(date).alias("value"))
     texts.write.option("lineSep", GAP).text(path, compression=compression)
 
