@@ -1,5 +1,6 @@
 """Benchmark decontamination with an Aho-Corasick automaton over windows of words."""
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.llm.common import set_aside
+from upswell.session import materialize
 
 #: Words of an unfolded text: ASCII digits and letters and all characters beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -18,7 +20,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-#: One automaton holds at most this much benchmark text; a larger benchmark takes several.
+#: One automaton holds at most this many bytes of windows. It takes some 40 bytes of memory
+#: for each: 6.8 MB of windows (0.52 MB of distinct words, 13 to a window) took 255 MB.
 BLOCK_BYTES = 8 << 20
 
 
@@ -35,35 +38,60 @@ def windows(words: list[bytes], width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(last)}
 
 
-def automaton(items: list[tuple[object, str | None]], width: int) -> ahocorasick.Automaton:
-    """One automaton over the windows of all items; a match gives (words, item numbers).
+def window_table(benchmark: DataFrame, width: int) -> DataFrame:
+    """(window, items): the distinct windows of all items, each with the ids it comes from."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()):
+                found = list(windows(normalised(text), width))
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    columns = [pa.array([item] * len(part), pa.string()), pa.array(part, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["item_id", "window"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    each = items.mapInArrow(cut, "item_id string, window binary").where(F.col("item_id").isNotNull())
+    return each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def automaton(found: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
+    """One automaton over (window, items); a match gives (number of words, items).
 
     Windows stand between spaces, so only whole words match. Bytes go in as Latin-1, one
     character each.
     """
-    found: dict[bytes, set[int]] = {}
-    for nth, (_, text) in enumerate(items):
-        for window in windows(normalised(text), width):
-            found.setdefault(window, set()).add(nth)
     machine = ahocorasick.Automaton()
-    for window, owners in found.items():
-        machine.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, sorted(owners)))
+    for window, items in found:
+        machine.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
     if found:
         machine.make_automaton()
     return machine
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items in blocks of at most ``block_bytes`` of text each.
+def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> tuple[int, Iterator[list[tuple[bytes, list[str]]]]]:
+    """How many blocks the windows of the benchmark need, and the blocks, one at a time.
 
-    Sizes are summed in Spark first; the driver holds one block at a time.
+    Windows are dealt by their hash, so one long item may lie in many blocks, and a block
+    has about ``block_bytes`` of windows.
     """
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // (block_bytes // 2)) if total > block_bytes else 1
-    for nth in range(count):
-        own = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == nth
-        yield [(r["item_id"], r["text"]) for r in items.where(own).distinct().collect()]
+    table = materialize(window_table(benchmark, width))
+    total = table.agg(F.sum(F.octet_length("window") + F.size("items"))).first()[0] or 0
+    count = max(1, -(-total // block_bytes))
+    own = lambda nth: table.where(F.pmod(F.xxhash64("window"), F.lit(count)) == nth).collect()
+    return count, ([(bytes(r["window"]), list(r["items"])) for r in own(nth)] for nth in range(count))
+
+
+_ADDED = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("n_items", T.LongType()),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+    ]
+)
+_KINDS = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
 
 
 def scan(
@@ -76,75 +104,110 @@ def scan(
     strings. spans has the occurrences joined where they touch, as [start, end) in
     characters of the original text.
 
-    The rows stay where they are: no shuffle. The automaton is built from a benchmark
-    block in every task, at most ``block_bytes`` of text; with a larger benchmark the
-    scan is repeated for each block and the hits are united, whatever their number.
-
-    NULL and empty texts have no words, and benchmark items without words no windows. An
-    item_id that repeats counts once. Rows of ``docs`` that repeat are scanned each. All
-    columns stay; n_words, n_hit, n_items, items and spans replace columns of these names.
+    The rows stay where they are: no shuffle. Every task builds one automaton, of at most
+    ``block_bytes`` of windows. A benchmark with more takes several passes, one automaton
+    each: a pass writes the hits of the texts that have any, and the texts then meet their
+    hits of all passes by a digest of the text.
+
+    NULL and empty texts have no words, and benchmark items without words no windows; an
+    item without an id has none either. An item_id that repeats counts once. Texts of any
+    length are scanned whole; a task holds one of them and its matches at a time. Rows of
+    ``docs`` that repeat are scanned each. All columns stay; n_words, n_hit, n_items, items
+    and spans replace columns of these names. An empty table gives no rows, an empty
+    benchmark no hits.
     """
-    added = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("n_items", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-            T.StructField("_words", T.BinaryType()),
-        ]
-    )
-    kept, back = set_aside(docs.drop(*added.names[:-1]), ["_words"])
-    schema = T.StructType([*kept.schema.fields, *added.fields])
-    found = kept
-    for items in blocks(benchmark, block_bytes):
-        found = found.mapInArrow(_scanner(items, width, added.names), schema)
-    return found.select(*back(found), *added.names[:-1])
-
-
-def _scanner(items: list[tuple[object, str | None]], width: int, names: list[str]) -> Callable:
+    kept, back = set_aside(docs.drop(*_ADDED.names), ["_key", "_found"])
+    count, parts = blocks(benchmark, width, block_bytes)
+    if count == 1:
+        found = kept.mapInArrow(_scanner(next(parts)), T.StructType([*kept.schema.fields, *_ADDED.fields]))
+        return found.select(*back(found), *_ADDED.names)
+    hits = None
+    for part in parts:
+        shape = "_key string, hit binary, items array<string>"
+        one = materialize(kept.select("text").mapInArrow(_finder(part), shape))
+        hits = one if hits is None else hits.unionByName(one)
+    # Copies have the same hits; of one text there is a row per pass at most.
+    once = hits.dropDuplicates(["_key", "hit", "items"]).groupBy("_key")
+    united = materialize(once.agg(F.collect_list(F.struct("hit", "items")).alias("_found")))
+    keyed = kept.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    met = keyed.join(united, "_key", "left").select(*kept.columns, "_found")
+    found = met.mapInArrow(_joiner, T.StructType([*kept.schema.fields, *_ADDED.fields]))
+    return found.select(*back(found), *_ADDED.names)
+
+
+def _extended(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n != "_found"]
+    arrays = [batch.column(n) for n in names]
+    arrays += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)]
+    return pa.RecordBatch.from_arrays(arrays, [*names, *_ADDED.names])
+
+
+def _scanner(part: list[tuple[bytes, list[str]]]) -> Callable:
     def scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(items, width)
-        ids = [str(i) for i, _ in items]
+        machine = automaton(part)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            before = None
-            if "_words" in batch.schema.names:  # an earlier block's hits
-                before = [batch.column(batch.schema.get_field_index(n)) for n in ("_words", "items")]
-            columns: dict[str, list] = {n: [] for n in names}
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                earlier = (before[0][i].as_py(), before[1][i].as_py()) if before else None
-                for name, value in zip(names, _hits(machine, ids, text, earlier), strict=True):
-                    columns[name].append(value)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.binary()]
-            rest = [n for n in batch.schema.names if n not in names]
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in rest]
-            arrays += [pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, *names])
+            rows = []
+            for text in batch.column("text"):
+                words = normalised(text.as_py())
+                rows.append(_summary(text.as_py(), len(words), *_hits(machine, words)))
+            yield _extended(batch, rows)
 
     return scanner
 
 
-def _hits(machine: ahocorasick.Automaton, ids: list[str], text: str | None, earlier: tuple | None) -> tuple:
-    """The added values for one text, together with what ``earlier`` has."""
-    words = normalised(text)
-    count = len(words)
+def _finder(part: list[tuple[bytes, list[str]]]) -> Callable:
+    """The texts with a hit, by digest: which of their words are hit, as one byte each, and the items."""
+
+    def finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(part)
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                hit, items = _hits(machine, normalised(text.as_py()))
+                if hit is not None:
+                    key = hashlib.md5(text.as_py().encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((key, hit.tobytes(), sorted(items)))
+            kinds = (pa.string(), pa.binary(), pa.list_(pa.string()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "hit", "items"])
+
+    return finder
+
+
+def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The added columns from the hits of all passes."""
+    for batch in batches:
+        rows = []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+            hit, items = None, set()
+            for one in found or []:
+                mine = np.frombuffer(one["hit"], bool)
+                hit = mine if hit is None else hit | mine
+                items.update(one["items"])
+            rows.append(_summary(text, len(normalised(text)), hit, items))
+        yield _extended(batch, rows)
+
+
+def _hits(machine: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+    """Which words are inside an occurrence (None: no word is), and the items of the windows met."""
     line = f" {b' '.join(words).decode('latin-1')} "
     matches = list(machine.iter(line)) if len(machine) and words else []
-    packed, owners = earlier or (None, [])
-    if not matches and not packed:
-        return count, 0, 0, [], [], None
-    # hit[i] says whether word i is inside an occurrence.
-    hit = np.frombuffer(packed, bool).copy() if packed else np.zeros(count, bool)
-    if matches:
-        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        ends = np.searchsorted(spaces, [end for end, _ in matches])
-        owners = set(owners)
-        for stop, (_, (length, own)) in zip(ends, matches, strict=True):
-            hit[stop - length : stop] = True
-            owners.update(ids[n] for n in own)
-    return count, int(hit.sum()), len(owners), sorted(owners), _spans(text, hit), hit.tobytes()
+    if not matches:
+        return None, set()
+    hit, items = np.zeros(len(words), bool), set()
+    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+    ends = np.searchsorted(spaces, [end for end, _ in matches])
+    for stop, (_, (length, own)) in zip(ends, matches, strict=True):
+        hit[stop - length : stop] = True
+        items.update(own)
+    return hit, items
+
+
+def _summary(text: str | None, count: int, hit: np.ndarray | None, items: set[str]) -> tuple:
+    """n_words, n_hit, n_items, items and spans of one text."""
+    if hit is None:
+        return count, 0, 0, [], []
+    return count, int(hit.sum()), len(items), sorted(items), _spans(text, hit)
 
 
 def _spans(text: str, hit: np.ndarray) -> list[list[int]]:
