@@ -319,7 +319,79 @@ def suffix_repeats(read) -> DataFrame:
     )
 
 
-@query("op11_merkle_manifest")
+#: CRC-32 bit by bit: a table of 256 remainders, then one step per UTF-8 byte of ``text``.
+_CRC_TABLE = """
+    crc_table as (
+        select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, range(8)),
+            lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as remainders)"""
+
+
+def _crc(text: str) -> str:
+    code = f"""flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint]
+        else [192 + (unicode(c)::bigint >> 6), 128 + (unicode(c)::bigint & 63)] end))"""
+    step = "xor(c >> 8, remainders[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda c, b: {step}), 4294967295)"
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_encoded(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _merkle_tree(name: str, feet: str) -> str:
+    """All levels over feet (tree, size, pos, digest), and each node's siblings in its run."""
+    return f"""
+    {name}_up as (
+        select tree, size, 0 as level, pos, digest from {feet}
+        union all
+        select tree, any_value((size + 2) // 3), level + 1, pos // 3, sha256(string_agg(digest, '' order by pos))
+        from {name}_up where size > 1 group by tree, level, pos // 3),
+    {name}_runs as (
+        select tree, level, pos,
+               coalesce(string_agg(digest, '') over (run rows between unbounded preceding and 1 preceding), '') as l,
+               coalesce(string_agg(digest, '') over (run rows between 1 following and unbounded following), '') as r
+        from {name}_up where size > 1 window run as (partition by tree, level, pos // 3 order by pos))"""
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    with recursive {_CRC_TABLE},
+    d as (
+        select doc_id, source, {_leaf("text")} as leaf,
+               case when {_crc("doc_id::varchar")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")}
+                    else {_leaf("text")} end as claimed
+        from documents, crc_table),
+    trees as (select source, count(*) as size, row_number() over (order by source nulls first) as tree from d group by source),
+    feet as (
+        select doc_id, leaf, claimed, tree, size, leaf as digest,
+               row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos
+        from d join trees on d.source is not distinct from trees.source),
+    {_merkle_tree("low", "feet")},
+    tops as (
+        select 0 as tree, count(*) over () as size, tree - 1 as pos, digest from low_up where size = 1),
+    {_merkle_tree("top", "tops")},
+    climb as (
+        select doc_id, leaf, tree, pos as foot, pos, 0 as level, claimed as folded, '' as proof from feet
+        union all
+        select doc_id, leaf, c.tree, foot, c.pos // 3, c.level + 1, sha256(l || folded || r), proof || l || r
+        from climb c join low_runs n on c.tree = n.tree and c.level = n.level and c.pos = n.pos),
+    under as (select * from climb qualify level = max(level) over (partition by tree, foot)),
+    on_top as (
+        select doc_id, leaf, tree, foot, tree - 1 as pos, 0 as level, folded, proof from under
+        union all
+        select doc_id, leaf, c.tree, foot, c.pos // 3, c.level + 1, sha256(l || folded || r), proof || l || r
+        from on_top c join top_runs n on c.level = n.level and c.pos = n.pos),
+    done as (select * from on_top qualify level = max(level) over (partition by tree, foot)),
+    subroots as (select tree, digest as subroot from low_up where size = 1),
+    roots as (select digest as root from top_up where size = 1)
+    select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+    from done join subroots using (tree), roots
+    """,
+)
 def merkle_manifest(read) -> DataFrame:
     """Every second document (by the checksum of its id) is checked with its line ends gone."""
     docs = read("documents")
@@ -339,7 +411,43 @@ def merkle_manifest(read) -> DataFrame:
     )
 
 
-@query("op12_spelling_variants")
+_RUN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')"
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    with recursive {_CRC_TABLE},
+    runs as (select doc_id, unnest({_RUN}) as run from documents),
+    checked as (
+        select run, coalesce({_crc("(doc_id || ':' || run)")}, 1) as h from runs, crc_table where length(run) >= 7),
+    damaged as (
+        select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+                    else run end as word
+        from checked),
+    w as (select word, count(*) as n from damaged where length(word) >= 7 group by word having count(*) >= 2),
+    place as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+    gap as (select word, n, i, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) as open, substr(word, 1, i - 1) || substr(word, i + 1) as short from place),
+    near as (
+        select a.word, b.word as other, b.n as m from gap a join gap b on a.open = b.open and a.word <> b.word
+        union
+        select w.word, g.word, g.n from gap g join w on g.short = w.word
+        union
+        select g.word, w.word, w.n from gap g join w on g.short = w.word),
+    best as (
+        select word, count(*) as n_near, (array_agg(other order by m desc, other))[1] as other, max(m) as m from near group by word),
+    formed as (
+        select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form,
+               case when m >= 10 * n then m end as form_n
+        from w left join best using (word)),
+    follow as (
+        select word, word as last, 0 as steps from formed
+        union all
+        select f.word, formed.form, steps + 1 from follow f join formed on f.last = formed.word where formed.form is not null),
+    ends as (select word, arg_max(last, steps) as root from follow group by word)
+    select word, form, root, n, n_near, form_n from formed join ends using (word)
+    """,
+)
 def spelling_variants(read) -> DataFrame:
     runs = spelling.runs(read("documents"), 7)
     words = runs.select(spelling.damaged(F.col("run"), F.col("doc_id")).alias("word"))
