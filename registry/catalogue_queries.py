@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from registry.base import fresh_folder, query
 from upswell.functions import documents as doc
 from upswell.operators import catalogue, upserts
-from upswell.plans import collect
+from upswell.plans import collect, removal
 from upswell.schemas import SONG_PAGE
 from upswell.session import materialize
 from upswell.sources import landed, tables
@@ -371,6 +371,43 @@ def _(v):
     return kept.unionByName(lost)
 
 
+_CHAIN = """
+    select o_orderkey as id, o_orderstatus as status,
+           lead(o_orderkey) over (partition by o_custkey, year(o_orderdate) order by o_orderkey) as next_id,
+           max(case when o_orderstatus = 'P' then 1 else 0 end) over (
+             partition by o_custkey, year(o_orderdate) order by o_orderkey rows unbounded preceding) as gone
+    from {orders}"""
+
+
+@query("u6_remove_closure", """
+    select 'song' as kind, id, cast(null as bigint) as other from {chain} where gone = 0
+    union all
+    select 'work', id, next_id from {chain} where gone = 0 and next_id is not null
+    union all
+    select distinct 'tag', l_orderkey, l_partkey from {lineitem} join {chain} on id = l_orderkey where gone = 0""", chain=_CHAIN)
+def _(v):
+    # Each order's next one is derived from it; removing some removes all that follow them.
+    root = fresh_folder(v.spark, "removal")
+    tables.create_tables(v.spark, root)
+    chain = materialize(v.spark.sql(_CHAIN, orders=v.orders))
+    made = {
+        "songs": chain.select("id", F.concat(F.lit("song-"), F.col("id").cast("string")).alias("title")),
+        "derived_works": chain.where("next_id is not null").selectExpr("id as original_song_id", "next_id as derived_song_id"),
+        "song_tags": v.lineitem.selectExpr("l_orderkey as song_id", "l_partkey as tag_id").distinct(),
+    }
+    for name, frame in made.items():
+        missing = [f for f in tables.TABLES[name] if f.name not in frame.columns]
+        tables.write_table(frame.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}), root, name)
+    removal.remove(v.spark, root, "songs", chain.where("status = 'P'").select("id"), derived=True)
+    songs, works, links = (tables.scan(v.spark, root, n) for n in ("songs", "derived_works", "song_tags"))
+    none = F.lit(None).cast("bigint").alias("other")
+    return (
+        songs.select(F.lit("song").alias("kind"), "id", none)
+        .unionByName(works.select(F.lit("work").alias("kind"), F.col("original_song_id").alias("id"), F.col("derived_song_id").alias("other")))
+        .unionByName(links.select(F.lit("tag").alias("kind"), F.col("song_id").alias("id"), F.col("tag_id").alias("other")))
+    )
+
+
 @query("k7_semi_originals", """
     select distinct original_version_id as original_song_id, b.id as derived_song_id
     from {bundle} b join {orders} o on o.o_orderkey = b.original_version_id""", **STEPS)

@@ -1,0 +1,80 @@
+"""Removing entities with all that refers to them."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from upswell.operators import upserts
+from upswell.plans import removal
+from upswell.schemas import ID_RANGE
+from upswell.sources import tables
+
+DAY = dt.date(2026, 7, 20)
+FAR = 3 * ID_RANGE
+
+
+@pytest.mark.parametrize("edges, start, found", [
+    ([(1, 2), (2, 3), (3, 4), (9, 1)], [2], [2, 3, 4]),
+    ([(1, 2), (2, 3), (3, 1), (3, 5)], [2], [1, 2, 3, 5]),
+    ([(1, 1), (2, 2)], [1], [1]),
+    ([(1, 2), (None, 3), (2, None), (1, 2)], [1, None, 7], [1, 2, 7]),
+    ([], [4], [4]), ([(1, 2)], [], []),
+])
+def test_closure(spark, edges, start, found):
+    e = spark.createDataFrame(edges, "parent bigint, child bigint")
+    s = spark.createDataFrame([(i,) for i in start], "id bigint")
+    assert sorted(r.id for r in upserts.closure(e, s).collect()) == found
+
+
+@pytest.fixture
+def root(spark, tmp_path):
+    root = str(tmp_path / "db")
+    tables.create_tables(spark, root)
+    made = {
+        "songs": ([(1, "a"), (2, "b"), (3, "c"), (FAR, "alone in its range")], "id bigint, title string"),
+        "tags": ([(1, "t", "pending"), (2, "u", "pending")], "id bigint, name string, canon_status string"),
+        "song_tags": ([(1, 1), (2, 1), (2, 2), (FAR, 2)], "song_id bigint, tag_id bigint"),
+        "derived_works": ([(1, 2), (2, FAR), (FAR, 1)], "original_song_id bigint, derived_song_id bigint"),
+        "metrics_daily": ([(s, DAY, "s", 1) for s in (1, 2, 3)] + [(1, DAY + dt.timedelta(days=1), "s", 2)], "song_id bigint, metric_date date, source string, views bigint"),
+        "trend_scores": ([(1, DAY), (3, DAY)], "song_id bigint, week date"),
+    }
+    for name, (rows, ddl) in made.items():
+        frame = spark.createDataFrame(rows, ddl)
+        for f in tables.TABLES[name]:
+            if f.name not in frame.columns:
+                frame = frame.withColumn(f.name, F.lit(None).cast(f.dataType))
+        tables.write_table(frame, root, name)
+    return root
+
+
+def ids(spark, root, table, *columns):
+    return sorted(tuple(r) for r in tables.scan(spark, root, table).select(*columns).collect())
+
+
+def some(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "id bigint")
+
+
+def test_a_song_goes_with_its_rows(spark, root):
+    counts = removal.remove(spark, root, "songs", some(spark, 1, 77))
+    assert {t: n for t, n in counts.items() if n} == {"songs": 1, "song_tags": 1, "derived_works": 1, "metrics_daily": 2, "trend_scores": 1}
+    assert ids(spark, root, "songs", "id") == [(2,), (3,), (FAR,)]
+    assert ids(spark, root, "song_tags", "song_id", "tag_id") == [(2, 1), (2, 2), (FAR, 2)]
+    # The second day had rows of that song only.
+    assert ids(spark, root, "metrics_daily", "song_id", "metric_date") == [(2, DAY), (3, DAY)]
+    assert sum(removal.remove(spark, root, "songs", some(spark, 1)).values()) == 0
+
+
+def test_with_all_that_is_derived(spark, root):
+    counts = removal.remove(spark, root, "songs", some(spark, 2), derived=True)
+    assert counts["songs"] == 3 and ids(spark, root, "songs", "id") == [(3,)]
+    assert ids(spark, root, "song_tags", "song_id") == ids(spark, root, "derived_works", "original_song_id") == []
+    assert ids(spark, root, "metrics_daily", "song_id") == [(3,)]
+
+
+def test_a_tag_goes_with_its_links(spark, root):
+    assert removal.remove(spark, root, "tags", some(spark, 2)) == {"song_tags": 2, "tags": 1}
+    assert ids(spark, root, "song_tags", "song_id", "tag_id") == [(1, 1), (2, 1)] and ids(spark, root, "tags", "id") == [(1,)]
+    with pytest.raises(ValueError):
+        removal.remove(spark, root, "tags", some(spark, 1), derived=True)

@@ -1,8 +1,10 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from upswell.operators import weekly
 from upswell.sources import tables
 from upswell.streaming import jobs
 
@@ -48,9 +50,32 @@ def test_weekly_counts(spark, tmp_path):
     assert run() == {(1, "2026-07-20"): 3, (1, "2026-07-27"): 2, (2, "2026-07-13"): 1}
     arrive(spark, src, (1, 16, at(40)))
     run()
-    # By now the first weeks are closed: a row for them comes too late.
+    # A row that is weeks late still amends its week.
     arrive(spark, src, (1, 17, at(1)), (1, 18, at(41)))
-    assert run()[(1, "2026-07-20")] == 3
+    found = run()
+    assert found[(1, "2026-07-20")] == 4 and found[(1, "2026-08-24")] == 2
+
+
+def test_shuffled_arrival_equals_the_batch_count(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(draw.randrange(6) if draw.random() < 0.6 else 1, i, dt.datetime(2026, 7, 1) + dt.timedelta(hours=draw.randrange(2000))) for i in range(300)]
+    src, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    for part in range(3):
+        arrive(spark, src, *rows[part::3])
+        jobs.stream_deriv_weekly(stream(spark, src), out, progress).awaitTermination()
+    whole = spark.read.parquet(str(src))
+    expected = sorted((r.song_id, r.week, r.n) for r in weekly.deriv_counts(whole).collect())
+    found = spark.read.schema(jobs._COUNTS).parquet(out)
+    assert sorted((r.song_id, r.week, r.n) for r in found.collect()) == expected
+
+
+def test_a_batch_run_twice_adds_once(spark):
+    week = dt.date(2026, 7, 20)
+    stored = spark.createDataFrame([(1, 5, 0, week), (2, 7, 3, week)], jobs._COUNTS)
+    fresh = spark.createDataFrame([(1, week, 2), (2, week, 4), (3, week, 1)], "song_id bigint, week date, n bigint")
+    once = jobs.add_counts(stored, fresh, 3)
+    assert sorted((r.song_id, r.n, r.batch) for r in once.collect()) == [(1, 7, 3), (2, 7, 3), (3, 1, 3)]
+    assert sorted(map(str, jobs.add_counts(once, fresh, 3).collect())) == sorted(map(str, once.collect()))
 
 
 def test_links_once(spark, tmp_path):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upswell.fixed_values import CONFIRMED, DEMOTED, PENDING
+from upswell.session import materialize
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], seq: Column) -> DataFrame:
@@ -101,6 +102,25 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.join(keys, child_key, "left_anti").select(*child.columns)
 
 
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``id`` of everything that hangs on the ids of ``start``, these included: each once.
+
+    ``edges`` has ``parent, child``. A round follows the edges of the ids found in the round
+    before and keeps those not met yet, so circles end, and the rounds are as many as the
+    longest chain has links. Each round is written: plans stay short, and a lost executor
+    costs one round.
+    """
+    edges = materialize(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
+    known = newest = materialize(start.select("id").where("id is not null").distinct())
+    while True:
+        # Edges of a hot parent are split by adaptive execution; its children are folded before they move on.
+        below = edges.join(newest, edges.parent == newest.id, "left_semi").select(F.col("child").alias("id")).distinct()
+        newest = materialize(below.join(known, "id", "left_anti"))
+        if newest.isEmpty():
+            return known
+        known = materialize(known.unionByName(newest))
+
+
 def canon_apply(tags: DataFrame, results: DataFrame) -> DataFrame:
     """Applies routing results: accepted rows get a canon, demoted only a status.
 

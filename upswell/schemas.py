@@ -73,6 +73,21 @@ KEYS: dict[str, list[str]] = {
     "song_embeddings": ["song_id"],
 }
 
+#: Columns that refer to the id of another table's row and go with it: (table, column) by that table.
+REFERS: dict[str, list[tuple[str, str]]] = {
+    "songs": [
+        ("song_artists", "song_id"),
+        ("song_tags", "song_id"),
+        ("derived_works", "original_song_id"),
+        ("metrics_daily", "song_id"),
+        ("weekly_peaks", "song_id"),
+        ("trend_scores", "song_id"),
+        ("song_embeddings", "song_id"),
+    ],
+    "artists": [("song_artists", "artist_id")],
+    "tags": [("song_tags", "tag_id")],
+}
+
 #: Columns the daily tables and those of weekly runs are laid out by, so that reads prune.
 DATED_BY: dict[str, str] = {
     "metrics_daily": "metric_date",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.schemas import DATED_BY, ID_RANGE, RANGED_BY, TABLES
+from upswell.session import file_system, materialize
 
 
 def _layout(table: str) -> tuple[str, Column] | None:
@@ -94,6 +95,30 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
     df.sparkSession.catalog.refreshByPath(path)
 
 
+def delete_rows(spark: SparkSession, root: str, table: str, column: str, ids: DataFrame) -> int:
+    """Removes the rows whose ``column`` is an ``id`` of ``ids``; returns how many.
+
+    Only partitions that hold such rows are rewritten, and one that has no other rows is
+    removed. The ids are joined, whatever their number; what comes to the driver is one row
+    per partition. A run that dies in between is completed by running it again.
+    """
+    stored, (part, _) = _stored(spark, root, table), _layout(table)
+    gone = F.col("_gone").isNotNull()
+    marked = stored.join(ids.select(F.col("id").alias(column), F.lit(True).alias("_gone")).distinct(), column, "left")
+    found = marked.groupBy(part).agg(F.count(F.when(gone, 1)).alias("gone"), F.count(F.when(~gone, 1)).alias("stay"))
+    hit = found.where("gone > 0").collect()
+    rewritten = [r[part] for r in hit if r.stay]
+    if rewritten:
+        stay = stored.where(F.col(part).isin(rewritten)).join(ids.select(F.col("id").alias(column)), column, "left_anti")
+        write_table(materialize(stay.select(*TABLES[table].names)), root, table)
+    for row in hit:
+        if not row.stay:
+            fs, where = file_system(spark, f"{root}/{table}/{part}={row[part]}")
+            fs.delete(where, True)
+    spark.catalog.refreshByPath(f"{root}/{table}")
+    return sum(r.gone for r in hit)
+
+
 def create_tables(spark: SparkSession, root: str) -> None:
     """Makes the folders of tables that do not exist yet, with no rows."""
     for table in TABLES:

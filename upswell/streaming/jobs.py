@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from upswell.fixed_values import METRIC_SOURCE
-from upswell.operators import catalogue, upserts
+from upswell.operators import catalogue, upserts, weekly
 from upswell.plans.collect import upsert_day
 from upswell.schemas import METRIC_PAGE
 from upswell.session import materialize, stages
@@ -45,40 +45,47 @@ def stream_metrics(
     )
 
 
-def weekly_counts(derived: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """New derived works per original and Monday week, over a stream.
+_COUNTS = "song_id bigint, n bigint, batch bigint, week date"
 
-    Rows later than the watermark are dropped, which the batch count never does.
-    The window is shifted by four days because the epoch was a Thursday.
+
+def add_counts(stored: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
+    """Stored weekly counts with those of one micro-batch added, each row once.
+
+    ``batch`` is the last micro-batch that a row has in its count: a batch that runs again
+    after a failure finds its number there and adds nothing.
     """
-    week = F.window("discovered_at", "7 days", "7 days", "4 days")
-    counted = derived.withWatermark("discovered_at", lateness).groupBy(
-        F.col("original_song_id").alias("song_id"), week.alias("w")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("song_id", F.to_date("w.start").alias("week"), "n")
+    add = fresh.select("song_id", "week", F.col("n").alias("_add"))
+    due = F.col("_add").isNotNull() & F.coalesce(F.col("batch") < batch_id, F.lit(True))
+    return stored.join(add, ["song_id", "week"], "full").select(
+        "song_id",
+        (F.coalesce("n", F.lit(0)) + F.when(due, F.col("_add")).otherwise(0)).cast("bigint").alias("n"),
+        F.when(due, F.lit(batch_id)).otherwise(F.col("batch")).cast("bigint").alias("batch"),
+        "week",
+    )
 
 
-def stream_deriv_weekly(
-    derived: DataFrame, out: str, checkpoint: str, lateness: str = "7 days"
-) -> StreamingQuery:
-    """Keeps a table of weekly counts by week up to date with the stream."""
+def stream_deriv_weekly(derived: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table of new derived works per original and Monday week up to date with the stream.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    The table is the only state: a micro-batch is counted by (original, week) and added to
+    the weeks it falls in, which alone are read and rewritten. So a row may be late by any
+    time and still amends its week, as in the batch count, and nothing is kept in memory
+    from one micro-batch to the next. ``out`` belongs to one ``checkpoint``.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        weeks = [row[0] for row in batch.select("week").distinct().collect()]
-        stored = spark.read.schema("song_id bigint, n bigint, week date").parquet(out)
-        stored = stored.where(F.col("week").isin(weeks))
-        merged = upserts.update_all(stored, batch.select(*stored.columns), ["song_id", "week"])
-        tables.write_partitioned(merged, out, ["week"])
-        batch.unpersist()
-
-    derived.sparkSession.createDataFrame([], "song_id bigint, n bigint, week date").write.mode(
-        "append"
-    ).partitionBy("week").parquet(out)
+        with stages(spark):
+            # A hot original is folded in the map tasks.
+            fresh = materialize(weekly.deriv_counts(batch))
+            weeks = [row[0] for row in fresh.select("week").distinct().collect()]
+            stored = spark.read.schema(_COUNTS).parquet(out).where(F.col("week").isin(weeks))
+            tables.write_partitioned(materialize(add_counts(stored, fresh, batch_id)), out, ["week"])
+
+    derived.sparkSession.createDataFrame([], _COUNTS).write.mode("append").partitionBy("week").parquet(out)
     return (
-        weekly_counts(derived, lateness).writeStream.outputMode("update")
-        .foreachBatch(merge)
+        derived.select("original_song_id", "discovered_at")
+        .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
