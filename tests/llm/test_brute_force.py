@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -256,3 +257,26 @@ def test_hot_passage_is_sorted_in_parts(monkeypatch, hashes):
         assert [tuple(s) for s in found[i]] == [m.span() for m in re.finditer(b"\1+", bytes(mask))], i
     # Few different hashes deal out badly, but right.
     assert hashes == "clashing" or max(sorted_bytes) < 3 * limit
+
+
+def test_a_batch_is_ordered_by_shard_once():
+    """What a batch does for its answers does not grow with the number of shards."""
+    draw, took = np.random.default_rng(8), {}
+    texts_ = [draw.integers(97, 123, 4000, np.uint8).tobytes() for _ in range(500)]
+    packed = {
+        "batch": 0,
+        "ids": np.arange(500).tobytes(),
+        "sizes": np.array([len(t) for t in texts_], np.int64).tobytes(),
+        "text": repeats._squeeze(b"".join(texts_)),
+    }
+    for shards in (16, 9600):
+        batch = repeats.Batch(packed["ids"], packed["sizes"], packed["text"])
+        keys, _, _ = batch.distinct()
+        counts = np.bincount(keys % np.uint64(shards), minlength=shards)
+        bits = [np.packbits(np.zeros(n, bool)).tobytes() for n in counts]
+        answers = pa.table({"batch": [0] * shards, "kind": [repeats._SHARED] * shards, "shard": list(range(shards)), "bits": bits})
+        batch.shared(shards, answers)
+        start = time.perf_counter()
+        batch.shared(shards, answers)
+        took[shards] = time.perf_counter() - start
+    assert took[9600] < 2 * took[16] + 0.2, took

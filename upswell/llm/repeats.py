@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -166,12 +167,12 @@ class Batch:
     def shared(self, shards: int, answers: pa.Table) -> Pieces:
         """The segments that may occur in two documents, those of split keys as single windows."""
         keys, nth, _ = self.distinct()
-        of_shard = keys % np.uint64(shards)
+        places_of = _grouped(keys % np.uint64(shards))
 
         def told(kind: int) -> np.ndarray:
             marked = np.zeros(len(keys), bool)
             for shard, bits in _by_shard(answers, kind).items():
-                own = np.flatnonzero(of_shard == shard)
+                own = places_of(shard)
                 marked[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
             return marked[nth]
 
@@ -222,6 +223,13 @@ def _inside(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _grouped(values: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Where each value stands, in ascending order: sorted once, however many values are asked for."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    return lambda value: order[slice(*np.searchsorted(ordered, np.array([value, value + 1], values.dtype)))]
+
+
 def _pack(batch_bytes: int) -> Callable:
     """Documents of a partition as rows of ``_PACKED``."""
 
@@ -336,9 +344,8 @@ def _answers(batches: list[int], shard: int, kind: int, bits: list[np.ndarray])
 
 
 def _by_shard(answers: pa.Table, kind: int) -> dict[int, bytes]:
-    return {
-        r["shard"]: r["bits"] for r in answers.select(["kind", "shard", "bits"]).to_pylist() if r["kind"] == kind
-    }
+    own = answers.select(["kind", "shard", "bits"]).filter(pc.field("kind") == kind)
+    return dict(zip(own["shard"].to_pylist(), own["bits"].to_pylist(), strict=True))
 
 
 def _send(shards: int) -> Callable:
@@ -349,8 +356,10 @@ def _send(shards: int) -> Callable:
         for row in packed.to_pylist():
             batch = Batch(row["ids"], row["sizes"], row["text"])
             _, _, strings, _, least, key = batch.shared(shards, answers)
-            for shard in np.unique(key % np.uint64(shards)):
-                own = np.flatnonzero(key % np.uint64(shards) == shard)
+            of_shard = key % np.uint64(shards)
+            places_of = _grouped(of_shard)
+            for shard in np.unique(of_shard).tolist():
+                own = places_of(shard)
                 out["shard"].append(int(shard))
                 out["batch"].append(row["batch"])
                 out["sizes"].append(_squeeze(np.array([len(strings[k]) for k in own], np.int32).tobytes()))
@@ -414,8 +423,9 @@ def _cut(shards: int) -> Callable:
             count = np.array([len(s) for s in strings], np.int64) - LENGTH + 1
             places = np.cumsum(count) - count
             repeated = np.zeros(int(count.sum()), bool)
+            places_of = _grouped(key % np.uint64(shards))
             for shard, bits in _by_shard(answers, _OWNED).items():
-                own = np.flatnonzero(key % np.uint64(shards) == shard)
+                own = places_of(shard)
                 size = count[own]
                 told = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(size.sum())).astype(bool)
                 repeated[np.repeat(places[own], size) + _inside(size)] = told
