@@ -18,37 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.operators import ranking
+from upswell.operators.centres import SAMPLE, centres_of, count_for, nearest_centre, sampled
 from upswell.operators.similarity import _distance, _held, _matrix, _titled, _unit, cosine_topk, vector_of
 from upswell.session import materialize
 
 #: Lists that a search looks into, and songs per search whose full vectors are read.
 PROBES, RERANK = 32, 64
-#: Vectors that centroids and code books are fitted on, and training rows a list has at least.
-SAMPLE, ROWS_PER_LIST = 65_536, 16
 #: Codes and searches that meet in one task.
 BLOCK = 65_536
 _CODES = "list int, song_id bigint, bias float, code binary"
 
 
-def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest centre of every row, in slices that bound the distances held at once."""
-    half = (centres * centres).sum(axis=1) / 2
-    slices = [(half - rows[at : at + 4096] @ centres.T).argmin(axis=1) for at in range(0, len(rows), 4096)]
-    return np.concatenate(slices) if slices else np.zeros(0, np.int64)
-
-
-def _centres(rows: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 15) -> np.ndarray:
-    """Lloyd's centres of a bounded sample, started from ``k`` of its rows."""
-    centres = rows[draw.choice(len(rows), min(k, len(rows)), replace=False)]
-    for _ in range(rounds):
-        near = _nearest_centre(rows, centres)
-        sizes = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, rows)
-        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    return centres
-
-
 @dataclass(frozen=True)
 class ListIndex:
     """Centroids (lists, size) and code books (sub-vectors, entries, values): all a search needs.
@@ -71,20 +51,19 @@ class ListIndex:
         """Fitted on ``sample`` songs (the least seeded hashes of their ids); all songs can then be encoded.
 
         By default there are as many lists as the root of the number of songs, but no more
-        than ``sample / ROWS_PER_LIST``. A last sub-vector is filled up with zeros.
+        than ``sample / ROWS_PER_CENTRE``. A last sub-vector is filled up with zeros.
         """
         held = _held(embeddings)
         if lists is None:
-            lists = max(1, min(round(math.sqrt(held.count())), sample // ROWS_PER_LIST))
-        some = held.orderBy(F.xxhash64(F.lit(seed), "song_id"), "song_id").limit(sample).toArrow()
+            lists = count_for(round(math.sqrt(held.count())), sample)
+        some = sampled(held, sample, seed)
         if not some.num_rows:
             return cls(np.zeros((1, 1)), np.zeros((1, 1, 1)))
-        rows = _unit(_matrix(some["embedding"].combine_chunks()))
-        rows = np.nan_to_num(rows)
+        rows = np.nan_to_num(_unit(_matrix(some["embedding"].combine_chunks())))
         draw = np.random.default_rng(seed)
-        centres = _centres(rows, lists, draw)
-        left = cls._cut(rows - centres[_nearest_centre(rows, centres)], subvectors)
-        books = [_centres(left[:, m], 256, draw) for m in range(left.shape[1])]
+        centres = centres_of(rows, lists, draw)
+        left = cls._cut(rows - centres[nearest_centre(rows, centres)], subvectors)
+        books = [centres_of(left[:, m], 256, draw) for m in range(left.shape[1])]
         return cls(centres, np.stack(books))
 
     @staticmethod
@@ -107,9 +86,9 @@ class ListIndex:
             rows = _unit(_matrix(vectors))
             nowhere = np.isnan(rows).any(axis=1)
             rows = np.nan_to_num(rows)
-            near = _nearest_centre(rows, self.centres)
+            near = nearest_centre(rows, self.centres)
             left = self._cut(rows - self.centres[near], len(self.books))
-            codes = np.stack([_nearest_centre(left[:, m], book) for m, book in enumerate(self.books)], axis=1)
+            codes = np.stack([nearest_centre(left[:, m], book) for m, book in enumerate(self.books)], axis=1)
             made = np.stack([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1).reshape(len(rows), -1)
             centre = np.pad(self.centres, ((0, 0), (0, made.shape[1] - self.centres.shape[1])))[near]
             bias = ((2 * centre + made) * made).sum(axis=1)

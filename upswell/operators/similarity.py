@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from upswell.functions.documents import source_text
 from upswell.functions.scores import effective_tag
 from upswell.operators import ranking
+from upswell.operators.centres import SAMPLE, centres_of, count_for, nearest_centre, sampled
 from upswell.session import materialize
 
 
@@ -162,58 +163,178 @@ def cosine_topk(embeddings: DataFrame, songs: DataFrame, song_id: int, k: int =
     return _titled(distance_to(embeddings, song_id), songs, k)
 
 
+_FOUND = pa.schema([("song_id", pa.int64()), ("neighbour", pa.int64()), ("dist", pa.float64())])
+#: Added to bounds, so that rounding never hides a neighbour.
+_SLACK = 1e-6
+
+
+def _best(k: int, ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray) -> list[pa.Table]:
+    """The ``k`` nearest ``others`` of every id, equal ones by id; undefined distances are infinite."""
+    out = []
+    # Slices of one block bound the distance matrix held at once.
+    for at in range(0, len(ids), 1024):
+        part = ids[at : at + 1024]
+        # Equal vectors have equal distances, whatever block they are met in.
+        dist = np.round(1.0 - units[at : at + 1024] @ other_units.T, 12)
+        dist[np.isnan(dist)] = np.inf
+        dist[part[:, None] == others[None, :]] = np.nan
+        # All that are no further than the k-th: ties are settled by id below.
+        kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+        row, column = np.nonzero((dist <= kth[:, None]) | (np.isnan(kth)[:, None] & ~np.isnan(dist)))
+        order = np.lexsort((others[column], dist[row, column], row))
+        row, column = row[order], column[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        row, column = row[keep], column[keep]
+        out.append(pa.table([part[row], others[column], dist[row, column]], schema=_FOUND))
+    return out
+
+
+class Cells:
+    """Vectors dealt to the cell of their nearest centre, each cell with its radius.
+
+    A vector's chord to anything in a cell is at least its chord to the centre less the
+    radius: cells that are further than a known neighbour hold no nearer one. Centres come
+    from a bounded sample; a cell of more than ``block_rows`` vectors has several parts.
+    """
+
+    def __init__(self, held: DataFrame, block_rows: int, sample: int = SAMPLE, seed: int = 17):
+        wanted = count_for(math.ceil(held.count() / block_rows), sample)
+        some = sampled(held, sample, seed) if wanted > 1 else None
+        if some is None:
+            self.centres = None
+            cell = F.struct(F.lit(0).alias("cell"), F.lit(2.0).alias("away"))
+        else:
+            rows = np.nan_to_num(_unit(_matrix(some["embedding"].combine_chunks())))
+            self.centres = centres_of(rows, wanted, np.random.default_rng(seed))
+            cell = self._assigned()("embedding")
+        near = held.select("song_id", "embedding", cell.alias("c")).select("song_id", "embedding", "c.cell", "c.away")
+        self.sizes: dict[int, int] = {}
+        self.radius = np.zeros(wanted)
+        near = materialize(near)
+        # One row per cell.
+        for row in near.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+            self.sizes[row.cell], self.radius[row.cell] = row.n, row.radius
+        self.parts = {cell: math.ceil(n / block_rows) for cell, n in self.sizes.items()}
+        crowded = [F.when(F.col("cell") == c, F.lit(p)) for c, p in self.parts.items() if p > 1]
+        parts = F.coalesce(*crowded, F.lit(1)) if crowded else F.lit(1)
+        self.placed = near.drop("away").withColumn("part", F.pmod(F.xxhash64("song_id"), parts).cast("int"))
+
+    def _assigned(self):
+        fields = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+        centres = self.centres
+
+        @F.arrow_udf(fields)
+        def assigned(vectors: pa.Array) -> pa.Array:
+            rows = _unit(_matrix(vectors)) if len(vectors) else np.zeros((0, centres.shape[1]))
+            rows = np.nan_to_num(rows)
+            near = nearest_centre(rows, centres)
+            away = np.sqrt(((rows - centres[near]) ** 2).sum(axis=1))
+            return pa.StructArray.from_arrays([pa.array(near, pa.int32()), pa.array(away)], ["cell", "away"])
+
+        return assigned
+
+    def reached(self):
+        """A column function of (vector, distance of its k-th neighbour so far, own cell, own part):
+        the blocks that may hold a nearer one, its own left out."""
+        places = T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType())]))
+        cells, centres, radius, parts = sorted(self.sizes), self.centres, self.radius, self.parts
+
+        @F.arrow_udf(places)
+        def reach(vectors: pa.Array, kth: pa.Array, cell: pa.Array, part: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.struct([("cell", pa.int32()), ("part", pa.int32())]))
+            if len(vectors) == 0:
+                return pa.array([], kind)
+            bound = np.asarray(kth, np.float64)
+            if centres is None:
+                near = np.ones((len(vectors), len(cells)), bool)
+            else:
+                # Chords: the square is twice the cosine distance. A zero vector reaches everything.
+                rows = np.nan_to_num(_unit(_matrix(vectors)))
+                away = np.sqrt(np.maximum((rows * rows).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * rows @ centres.T, 0))
+                near = (away - radius)[:, cells] <= np.sqrt(2 * np.maximum(bound, 0))[:, None] + _SLACK
+            own = list(zip(cell.to_pylist(), part.to_pylist()))
+            found = [
+                [{"cell": c, "part": p} for c in np.compress(row, cells).tolist() for p in range(parts[c]) if (c, p) != mine]
+                for row, mine in zip(near, own)
+            ]
+            return pa.array(found, kind)
+
+        return reach
+
+
+def bounded(cells: Cells, k: int) -> DataFrame:
+    """Every song with its ``k`` nearest of its own block, and the distance that any nearer one must beat."""
+    near = pa.list_(pa.struct([("neighbour", pa.int64()), ("dist", pa.float64())]))
+
+    def own_block(rows: pa.Table) -> pa.Table:
+        ids = np.asarray(rows["song_id"])
+        units = _unit(_matrix(rows["embedding"].combine_chunks()))
+        found = pa.concat_tables(_best(k, ids, units, ids, units))
+        by: dict[int, list] = {}
+        for song, other, dist in zip(found["song_id"].to_pylist(), found["neighbour"].to_pylist(), found["dist"].to_pylist()):
+            by.setdefault(song, []).append({"neighbour": other, "dist": dist})
+        lists = [by.get(i, []) for i in ids.tolist()]
+        kth = [each[-1]["dist"] if len(each) == k else float("inf") for each in lists]
+        return rows.append_column("kth", pa.array(kth, pa.float64())).append_column("near", pa.array(lists, near))
+
+    vector = cells.placed.schema["embedding"].dataType.simpleString()
+    kinds = f"song_id bigint, embedding {vector}, cell int, part int, kth double, near array<struct<neighbour:bigint,dist:double>>"
+    return materialize(cells.placed.groupBy("cell", "part").applyInArrow(own_block, kinds))
+
+
+def block_questions(cells: Cells, known: DataFrame) -> DataFrame:
+    """``song_id, embedding, cell, part``: every song with each other block that may hold a nearer one."""
+    blocks = cells.reached()("embedding", "kth", "cell", "part")
+    return known.select("song_id", "embedding", F.explode(blocks).alias("b")).select("song_id", "embedding", "b.cell", "b.part")
+
+
 def cosine_topk_all(embeddings: DataFrame, k: int = 10, block_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest songs of every song, exactly: ``song_id, neighbour, dist, rank``.
 
-    Ids are hashed into blocks of about ``block_rows`` vectors, and every unordered pair of
-    blocks is one task: a matrix product read by rows and by columns, of which every song
-    keeps its best ``k`` at once. What leaves a task is ``k`` rows per song and block,
-    never all pairs. Work grows with the square of the songs; ``ann_topk_all`` is the way
-    for very large sets.
+    Vectors are dealt to cells of about ``block_rows``. A song first finds its nearest in its
+    own block; their distances tell which other cells may hold a nearer one, by the triangle
+    inequality on chords, and only to these the song is sent. A block and the songs that
+    reach it meet in tasks of bounded size as matrix products, of which every song keeps its
+    best ``k`` at once: never all pairs leave a task.
+
+    On clustered vectors most cells are out of reach. On vectors without structure none is,
+    and the work grows with the square of the songs; ``quantised.ann_topk_all`` is the way
+    for very large sets of that kind.
     """
     held = _held(embeddings)
-    n = held.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    own = F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")
-    partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = held.select("song_id", "embedding", own.alias("own"), partner.alias("partner")).select(
-        "song_id", "embedding", "own", F.least("own", "partner").alias("lb"), F.greatest("own", "partner").alias("rb")
-    )
-    schema = pa.schema([("song_id", pa.int64()), ("neighbour", pa.int64()), ("dist", pa.float64())])
-
-    def best(ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_units: np.ndarray) -> list[pa.Table]:
-        out = []
-        # Slices of one block bound the distance matrix held at once.
-        for at in range(0, len(ids), 1024):
-            part = ids[at : at + 1024]
-            dist = 1.0 - units[at : at + 1024] @ other_units.T
-            dist[np.isnan(dist)] = np.inf
-            dist[part[:, None] == others[None, :]] = np.nan
-            # All that are no further than the k-th: ties are settled by id below.
-            kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
-            row, column = np.nonzero((dist <= kth[:, None]) | (np.isnan(kth)[:, None] & ~np.isnan(dist)))
-            order = np.lexsort((others[column], dist[row, column], row))
-            row, column = row[order], column[order]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < k
-            row, column = row[keep], column[keep]
-            out.append(pa.table([part[row], others[column], dist[row, column]], schema=schema))
-        return out
-
-    def block_pair(rows: pa.Table) -> pa.Table:
-        ids, own = np.asarray(rows["song_id"]), np.asarray(rows["own"])
-        units = _unit(_matrix(rows["embedding"].combine_chunks()))
-        left = own == own.min()
-        if left.all():  # a block with itself, or with an empty one
-            same = rows["lb"][0].as_py() == rows["rb"][0].as_py()
-            found = best(ids, units, ids, units) if same else []
-        else:
-            found = best(ids[left], units[left], ids[~left], units[~left])
-            found += best(ids[~left], units[~left], ids[left], units[left])
-        return pa.concat_tables(found) if found else schema.empty_table()
-
-    pairs = dealt.groupBy("lb", "rb").applyInArrow(block_pair, "song_id bigint, neighbour bigint, dist double")
-    ranked = ranking.top_n_per(pairs, ["song_id"], k, F.col("dist"), F.col("neighbour"))
+    kinds = "song_id bigint, neighbour bigint, dist double"
+    if held.count() <= block_rows:  # one block, one product
+
+        def alone(rows: pa.Table) -> pa.Table:
+            ids, units = np.asarray(rows["song_id"]), _unit(_matrix(rows["embedding"].combine_chunks()))
+            return pa.concat_tables(_best(k, ids, units, ids, units))
+
+        found = held.withColumn("_block", F.lit(0)).groupBy("_block").applyInArrow(alone, kinds)
+        return _ranked(found, k)
+    cells = Cells(held, block_rows)
+    known = bounded(cells, k)
+    asked = block_questions(cells, known)
+    # One row per block: songs that reach it, in columns of bounded size.
+    columns = materialize(asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * block_rows)).alias("columns")))
+    keys = ["cell", "part", "column"]
+    left = cells.placed.join(columns, ["cell", "part"])
+    left = left.select("song_id", "embedding", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("column"))
+    right = asked.join(columns, ["cell", "part"]).withColumn("column", F.pmod(F.xxhash64("song_id"), F.col("columns"))).drop("columns")
+
+    def block(songs: pa.Table, questions: pa.Table) -> pa.Table:
+        if not songs.num_rows or not questions.num_rows:
+            return _FOUND.empty_table()
+        units = [_unit(_matrix(t["embedding"].combine_chunks())) for t in (questions, songs)]
+        return pa.concat_tables(_best(k, np.asarray(questions["song_id"]), units[0], np.asarray(songs["song_id"]), units[1]))
+
+    far = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, kinds)
+    own = known.select("song_id", F.explode("near").alias("n")).select("song_id", "n.neighbour", "n.dist")
+    return _ranked(own.unionByName(far), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = ranking.top_n_per(found, ["song_id"], k, F.col("dist"), F.col("neighbour"))
     return ranked.withColumn("dist", F.nullif("dist", F.lit(float("inf"))))
 
 

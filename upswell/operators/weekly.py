@@ -17,6 +17,7 @@ from upswell.functions.scores import (
     week_start,
 )
 from upswell.operators.ranking import top_n, top_n_per
+from upswell.session import materialize
 
 WEEK = dt.timedelta(days=7)
 
@@ -182,15 +183,16 @@ def top_velocity(scored: DataFrame, n: int = TOP_N) -> DataFrame:
 def tag_pairs(tagged: DataFrame, min_songs: int = 1) -> DataFrame:
     """Tag pairs on one song and how many songs carry them.
 
-    A pair can reach ``min_songs`` only if both tags do, so rarer tags leave first: the
-    common ones, a part of the vocabulary, are one value. A song's remaining tags, which
-    are distinct terms, meet in one row and are paired there: the links are shuffled by
-    song only, and by tag only their counts.
+    A pair can reach ``min_songs`` only if both tags do, so the links of rarer tags leave
+    first: a semi-join with the common tags. These are written before, so their size is known:
+    the optimizer broadcasts them, and links then move by song only, or, if they are many,
+    adaptive execution splits the join at a hot tag. A song's remaining tags, which
+    are distinct terms, meet in one row and are paired there.
     """
-    common = tagged.groupBy("canon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_songs)
-    terms = common.agg(F.collect_list("canon")).scalar()
-    listed = tagged.groupBy("song_id").agg(F.collect_list("canon").alias("_all"))
-    per_song = listed.select("song_id", F.sort_array(F.array_intersect("_all", terms)).alias("_all"))
+    if min_songs > 1:
+        common = tagged.groupBy("canon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_songs)
+        tagged = tagged.join(materialize(common.select("canon")), "canon", "left_semi")
+    per_song = tagged.groupBy("song_id").agg(F.sort_array(F.collect_list("canon")).alias("_all"))
     first = per_song.select("_all", F.posexplode("_all").alias("_at", "tag_a"))
     pairs = first.select(
         "tag_a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("tag_b")
