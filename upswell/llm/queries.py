@@ -282,7 +282,9 @@ _TOKENS = "list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda
                case when text is null then [] else string_split(text, chr(10)) end as ls
         from documents),
     line as (select doc_id, text_key, unnest(ls) as l, generate_subscripts(ls, 1) as nth from split),
-    tokened as (select * exclude (l), {_TOKENS} as t from line),
+    tokened as (
+        select * exclude (l), {_TOKENS} as t, array_to_string(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), ' ') as literal
+        from line),
     every as (
         select *, array_to_string(t, ' ') as line, len(t) || ' ' || array_to_string(t[1:2], ' ') as leaf
         from tokened where len(t) > 0),
@@ -296,9 +298,13 @@ _TOKENS = "list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda
         select line, string_agg(case when constant then token else '<*>' end, ' ' order by place) as template
         from part group by line having count(case when constant then 1 end) >= 0.5 * count(*)),
     matched as (select found.*, template from found join template using (line)),
+    unchanged as (select * from found where len(list_filter(t, lambda x: x <> '<*>')) < 0.5 * len(t)),
     gone as (
-        select distinct doc_id, text_key, nth from matched
-        where template in (select template from matched group by template having count(distinct text_key) >= 5)),
+        select doc_id, text_key, nth from matched
+        where template in (select template from matched group by template having count(distinct text_key) >= 5)
+        union
+        select doc_id, text_key, nth from unchanged
+        where literal in (select literal from unchanged group by literal having count(distinct text_key) >= 5)),
     per_doc as (select doc_id, text_key, list(nth) as nths from gone group by doc_id, text_key)
     select doc_id, len(ls)::bigint as n_lines, coalesce(len(nths), 0)::bigint as n_dropped,
            sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(coalesce(nths, []), i)), chr(10)), ''))

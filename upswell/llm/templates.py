@@ -101,7 +101,9 @@ def recurring_lines(
     """(doc_id, text_key, nth, template) of the lines whose template recurs across documents.
 
     A template recurs if ``least_docs`` different texts have lines of it; equal texts
-    count once, so copies of a document do not turn its prose into a template.
+    count once, so copies of a document do not turn its prose into a template. A line with
+    too few tokens without digits for any template is its own template, digits and all: it
+    recurs where it stands unchanged.
     """
     every = lines(docs, leading)
     leaves = materialize(
@@ -113,11 +115,18 @@ def recurring_lines(
         .select("leaf")
     )
     # Whole lines are masked where their leaf recurs, and only there.
-    held = every.join(leaves, "leaf", "left_semi").withColumn("masked", masked(F.col("tokens"))).drop("tokens")
+    held = every.join(leaves, "leaf", "left_semi").withColumn("masked", masked(F.col("tokens")))
+    words = F.filter(F.split("masked", " "), lambda t: t != FIELD)
+    numeric = F.size(words) < F.lit(constant_share) * F.size(F.split("masked", " "))
+    # Few lines are mostly numbers: only these keep their text beside the masked one.
+    held = held.withColumn("literal", F.when(F.col("masked").contains(FIELD) & numeric, F.col("tokens"))).drop("tokens")
     found = materialize(held.withColumn("line", _key(F.col("masked"))))
     template = line_templates(found, least_docs, constant_share)
     template = template.select("line", _key(F.col("template")).alias("template_key"), "template")
-    matched = materialize(found.drop("masked", "leaf").join(template, "line"))
+    unchanged = found.where(F.col("literal").isNotNull()).withColumn("template_key", _key(F.lit("="), F.col("literal")))
+    unchanged = unchanged.select("line", "doc_id", "text_key", "nth", "template_key", F.col("literal").alias("template"))
+    matched = found.drop("masked", "leaf", "literal").join(template, "line")
+    matched = materialize(matched.select(unchanged.columns).unionByName(unchanged))
     recurring = materialize(
         matched.select("template_key", "text_key")
         .distinct()
