@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from upswell.fixed_values import METRIC_SOURCE
 from upswell.operators import catalogue, upserts
-from upswell.schemas import SONG_PAGE
+from upswell.schemas import METRIC_PAGE, SONG_PAGE
 from upswell.session import materialize, stages
 from upswell.sources import landed, tables
 
@@ -17,8 +17,8 @@ ENTITIES = ("songs", "artists", "tags")
 LINKS = ("song_artists", "song_tags", "derived_works")
 
 
-def seed(spark: SparkSession, root: str, pages: str, whole_files: bool = False) -> dict[str, int]:
-    """Merges landed song pages into the catalogue tables; returns the counts.
+def seed(spark: SparkSession, root: str, pages: str | DataFrame, whole_files: bool = False) -> dict[str, int]:
+    """Merges song pages, landed in a folder or read by ``paged``, into the catalogue tables; returns the counts.
 
     Entities and links are read within the id ranges of the batch only, and of links the
     new ones are appended. Entities are written first: a run that fails in between is
@@ -29,8 +29,11 @@ def seed(spark: SparkSession, root: str, pages: str, whole_files: bool = False)
         return _seed(spark, root, pages, whole_files)
 
 
-def _seed(spark: SparkSession, root: str, pages: str, whole_files: bool) -> dict[str, int]:
-    landed_pages = landed.read_pages(spark, pages, SONG_PAGE, whole_files)
+def _seed(spark: SparkSession, root: str, pages: str | DataFrame, whole_files: bool) -> dict[str, int]:
+    if isinstance(pages, DataFrame):
+        landed_pages = materialize(pages)  # a page is asked for once
+    else:
+        landed_pages = landed.read_pages(spark, pages, SONG_PAGE, whole_files)
     coverage = landed.page_coverage(landed_pages, []).first().asDict()
     bundled = materialize(catalogue.bundles(landed.song_items(landed_pages)))
     frames = {
@@ -50,14 +53,16 @@ def _seed(spark: SparkSession, root: str, pages: str, whole_files: bool) -> dict
 
 
 def collect_daily(
-    spark: SparkSession, root: str, pages: str, metric_date: dt.date, whole_files: bool = False
+    spark: SparkSession, root: str, pages: str | DataFrame, metric_date: dt.date, whole_files: bool = False
 ) -> tuple[dict[str, int], DataFrame]:
-    """Merges landed metric pages into one day; returns counts and the missing songs.
+    """Merges metric pages, landed or read by ``paged``, into one day; returns counts and the missing songs.
 
     Only the day's partition is read and rewritten.
     """
     targets = catalogue.metric_targets(tables.scan(spark, root, "songs"))
-    readings = materialize(landed.read_metric_pages(spark, pages, whole_files))
+    if not isinstance(pages, DataFrame):
+        pages = landed.read_pages(spark, pages, METRIC_PAGE, whole_files)
+    readings = materialize(landed.metric_readings(pages))
     fresh = materialize(
         catalogue.metric_rows(targets, readings, F.lit(metric_date), METRIC_SOURCE)
     )
