@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upswell.llm.common import partitions_for, shuffle_width
-from upswell.llm.suffixes import first_owner, words
+from upswell.llm.suffixes import first_owner, ranked, words
 from upswell.session import materialize
 
 LENGTH = 50
@@ -142,7 +142,7 @@ class Batch:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct keys in order, which key each segment has, and which keys two documents have."""
-        keys, nth = np.unique(self.key, return_inverse=True)
+        keys, _, nth = ranked(self.key)
         low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), _NULL_ID)
         owner = self.ids[self.doc]
         np.minimum.at(low, nth, owner)
@@ -202,7 +202,7 @@ class Batch:
         """Which distinct window stands at each place, where each is first, and its hash."""
         eight = words(self.data)
         hashes = _window_hashes(eight, place)
-        own_key, index, nth = np.unique(hashes, return_index=True, return_inverse=True)
+        own_key, index, nth = ranked(hashes)
         first = place[index]
         odd = np.zeros(len(place), bool)
         for at in _PLACES:
@@ -313,7 +313,8 @@ def _answer_offers(sort_bytes: int) -> Callable:
         wide = np.zeros((sum(map(len, offered)), 8), np.uint8)
         wide[:, :5] = np.concatenate(offered)
         tags = wide.reshape(-1).view("<u8")
-        keys, nth, times = np.unique(tags >> np.uint64(1), return_inverse=True, return_counts=True)
+        keys, _, nth = ranked(tags >> np.uint64(1))
+        times = np.bincount(nth, minlength=len(keys))
         shared = times > 1
         shared[nth[(tags & np.uint64(1)) == 1]] = True
         sizes = [len(o) for o in offered]
