@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from upswell.operators import weekly
+from upswell.schemas import ID_RANGE
 from upswell.sources import tables
 from upswell.streaming import jobs
 
@@ -94,3 +95,28 @@ def test_links_once(spark, tmp_path):
     found = spark.read.parquet(out).select("original_song_id", "derived_song_id").collect()
     assert sorted(map(tuple, found)) == [(1, 10), (1, 11), (2, 10)]
     assert spark.read.parquet(out).agg(F.max("discovered_at")).first()[0] == at
+
+
+def test_links_read_their_own_ranges(spark, tmp_path):
+    """A file that cannot be read, in a range that no row of the batch falls in, is not met."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    at, far = dt.datetime(2026, 7, 20), 5 * ID_RANGE
+    keys = ["original_song_id", "derived_song_id"]
+
+    def run(*rows):
+        arrive(spark, src, *rows)
+        jobs.stream_dedupe_links(stream(spark, src), keys, "discovered_at", str(out), str(tmp_path / "progress")).awaitTermination()
+
+    run((1, 10, at), (far, 11, at))
+    assert sorted(p.name for p in out.glob("key_range=*")) == ["key_range=0", "key_range=5"]
+    (out / "key_range=0" / "part-broken.parquet").write_bytes(b"no parquet at all")
+    run((far, 11, at), (far + 1, 12, at), (far + 1, 12, at))
+    found = spark.read.parquet(str(out / "key_range=5")).select(*keys).collect()
+    assert sorted(map(tuple, found)) == [(far, 11), (far + 1, 12)]
+
+
+def test_text_keys_are_dealt_by_hash(spark):
+    rows = spark.range(500).selectExpr("concat('k', id) as k", "id as n")
+    ranges = {r[0] for r in rows.select(jobs.key_range(rows.schema, "k")).collect()}
+    assert len(ranges) > 50 and min(ranges) >= 0 and max(ranges) < jobs.HASH_RANGES
+    assert {r[0] for r in rows.select(jobs.key_range(rows.schema, "n")).collect()} == {0}

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from upswell.fixed_values import METRIC_SOURCE
 from upswell.operators import catalogue, upserts, weekly
 from upswell.plans.collect import upsert_day
-from upswell.schemas import METRIC_PAGE
+from upswell.schemas import ID_RANGE, METRIC_PAGE
 from upswell.session import materialize, stages
 from upswell.sources import landed, tables
 
+#: Ranges of keys that are no whole numbers.
+HASH_RANGES = 64
+
 
 def stream_metrics(
     spark: SparkSession, root: str, pages: str, metric_date: dt.date, checkpoint: str
@@ -92,27 +96,39 @@ def stream_deriv_weekly(derived: DataFrame, out: str, checkpoint: str) -> Stream
     )
 
 
+def key_range(schema: T.StructType, key: str) -> Column:
+    """Where a key's rows are stored: by ranges of a whole number, by a hash of anything else."""
+    if isinstance(schema[key].dataType, T.IntegralType):
+        return F.expr(f"`{key}` div {ID_RANGE}").cast("bigint")
+    return F.pmod(F.xxhash64(key), F.lit(HASH_RANGES)).cast("bigint")
+
+
 def stream_dedupe_links(
     links: DataFrame, keys: list[str], at: str, out: str, checkpoint: str
 ) -> StreamingQuery:
     """Keeps a table with the first arrival of every link, one row per key for ever.
 
     Each micro-batch adds the keys that the table does not hold, whatever their age, so a
-    batch run twice after a failure adds nothing. Of the table only the keys are read.
+    batch run twice after a failure adds nothing. The table is laid out by ranges of the
+    first key: of the stored rows only the keys in the ranges of the batch are read.
     """
     schema = links.schema
+    stored_schema = T.StructType([*schema.fields, T.StructField("key_range", T.LongType())])
+    place = key_range(schema, keys[0])
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.schema(schema).parquet(out)
         rest = [c for c in batch.columns if c not in keys]
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(at)).alias("_first"))
-        fresh = upserts.new_rows(stored, first.select(*keys, "_first.*"), keys)
-        # Stored first: the write adds files to the folder that it is computed from.
         with stages(spark):
-            materialize(fresh.select(*batch.columns)).write.mode("append").parquet(out)
-
-    links.sparkSession.createDataFrame([], schema).write.mode("append").parquet(out)
+            first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(at)).alias("_first"))
+            first = materialize(first.select(*keys, "_first.*").select(*batch.columns).withColumn("key_range", place))
+            ranges = [row[0] for row in first.select("key_range").distinct().collect()]
+            stored = spark.read.schema(stored_schema).parquet(out).where(F.col("key_range").isin(ranges))
+            # Stored first: the write adds files to the folder that it is computed from.
+            fresh = materialize(upserts.new_rows(stored, first, keys))
+            fresh.select(stored_schema.names).hint("rebalance", "key_range").write.mode("append").partitionBy("key_range").parquet(out)
+
+    links.sparkSession.createDataFrame([], stored_schema).write.mode("append").partitionBy("key_range").parquet(out)
     return (
         links.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
