@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from upswell.llm import decontaminate, mixing, quality, sharding, simhash
-from upswell.session import apply_conf, shared_dir
+from upswell.session import apply_conf, shared_dir, stages
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Each result is written to the shared folder and reread."""
+    """All stages over ``documents``. Each result is written to the shared folder and reread.
+
+    What a stage wrote on its way goes when its result is written. An empty table stays
+    empty through all stages; texts of any length pass as a whole. Rows that repeat are told
+    apart as each operator says.
+    """
     apply_conf(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for nth, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{nth}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with stages(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
