@@ -35,8 +35,10 @@ GRAM = 20
 BATCH_BYTES = 4 << 20
 #: Text of the corpus per shard; a shard sees what other documents share of it.
 SHARD_BYTES = 32 << 20
-#: Suffixes sorted at a time inside a shard.
+#: Different segments of one key, at most, that are not dealt window by window.
 SORT_BYTES = 2 << 20
+#: Inside a shard suffixes are sorted in groups of this many bytes, which stay in a core's cache.
+GROUP_BYTES = 128 << 10
 #: Hashes and windows are looked at in pieces of this many bytes.
 BLOCK_BYTES = 1 << 20
 #: Segments of a key that a batch has no more bytes of count as this many.
@@ -397,7 +399,7 @@ def _sort(sort_bytes: int) -> Callable:
         places = np.cumsum(windows) - windows
         first = np.empty(int(windows.sum()), np.int64)
         # Equal windows have equal parts, so groups of parts are sorted one after the other.
-        groups = -(-sum(map(len, strings)) // sort_bytes)
+        groups = -(-sum(map(len, strings)) // min(sort_bytes, GROUP_BYTES))
         group = part % groups
         for nth in range(groups):
             own = np.flatnonzero(group == nth)
@@ -478,7 +480,7 @@ def repeated_spans(
     batch. Its ends, which every document continues in its own way, are as many different
     segments under one key: a key that may have over ``sort_bytes`` of them is split, and
     its windows are dealt over all shards. Shards grow in number with the corpus; in a
-    shard, suffixes are sorted some ``sort_bytes`` at a time. All steps repeat exactly from the packed documents, which are written once.
+    shard, suffixes are sorted some ``GROUP_BYTES`` at a time. All steps repeat exactly from the packed documents, which are written once.
 
     NULL texts count as empty. Rows with one doc_id do not remove from each other; a NULL
     doc_id is smaller than any other. Texts under ``LENGTH`` bytes keep everything. One
