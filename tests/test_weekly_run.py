@@ -131,3 +131,24 @@ def test_latest(spark):
     rows = [(WEEK, "a", "{}", "m", dt.datetime(2026, 7, 21)), (WEEK + 7 * DAY, "b", "{}", "m", dt.datetime(2026, 7, 28))]
     latest = report_files.latest_payload(spark.createDataFrame(rows, tables.TABLES["weekly_reports"])).first()
     assert latest.week == WEEK + 7 * DAY and json.loads(latest.payload)["narrative"] == "b"
+
+
+def test_a_run_that_dies_before_the_tags_logs_once(spark, root, tmp_path, monkeypatch):
+    """The log is written first; the repeated run asks again, and its rows replace the first ones."""
+    out, write = str(tmp_path / "published"), tables.write_table
+
+    def dies(df, where, table):
+        if table == "tags":
+            raise OSError("no space left")
+        write(df, where, table)
+
+    monkeypatch.setattr(tables, "write_table", dies)
+    with pytest.raises(OSError):
+        weekly_run.run_weekly(spark, root, WEEK, out, str, unsure)
+    monkeypatch.setattr(tables, "write_table", write)
+    assert tables.scan(spark, root, "escalation_log").count() == 1
+    state = weekly_run.run_weekly(spark, root, WEEK, out, str, unsure, batches_per_round=None)
+    assert state["canon"]["canon_flash"] == 1
+    log = tables.scan(spark, root, "escalation_log").collect()
+    assert [(r.run, r.id, r.status) for r in log] == [(str(WEEK), 3, "canon_flash")]
+    assert not [p for p in Path(shared_dir(spark)).glob("upswell-run-*")]
