@@ -6,10 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from registry.base import query
+from registry.base import fresh_folder, query
 from upswell.functions import scores as fn
 from upswell.operators import shares, weekly
 from upswell.operators.ranking import batches
+from upswell.plans import collect, kept_weeks
+from upswell.session import materialize
+from upswell.sources import tables
 
 WEEK = dt.date(2024, 1, 15)
 SHARE_WEEK = dt.date(1998, 6, 1)
@@ -350,3 +353,26 @@ def _(v):
             v.emetrics, v.ederived, v.esong_tags, v.etags, dt.date(2024, 1, 1), dt.date(2024, 1, 29)
         )
     )
+
+
+@query("a1_late_days", """
+    select song_id, week, max(case when metric_date < week - interval 7 day then views end) as v_prev,
+           max(case when metric_date < week then views end) as v_start,
+           max(case when metric_date < week + interval 7 day then views end) as v_end,
+           count(distinct case when metric_date < week + interval 7 day then date_trunc('week', metric_date) end) as weeks
+    from {emetrics}, (select unnest([date '2024-01-08', date '2024-01-15', date '2024-01-22', date '2024-02-05']) as week) w
+    group by song_id, week""")
+def _(v):
+    # Kept peaks: some days arrive late, others are corrected downwards.
+    root = fresh_folder(v.spark, "late-days")
+    tables.create_tables(v.spark, root)
+    missing = [f for f in tables.TABLES["metrics_daily"] if f.name not in v.emetrics.columns]
+    rows = materialize(v.emetrics.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+    day = F.dayofmonth("metric_date")
+    early = rows.where(day % 3 != 0).withColumn("views", F.when(day % 5 == 0, F.col("views") + 700).otherwise(F.col("views")))
+    for arriving in (early, rows.where((day % 3 == 0) | (day % 5 == 0))):
+        collect.upsert_day(v.spark, root, arriving)
+        kept_weeks.refresh(v.spark, root)
+    peaks = tables.scan(v.spark, root, "weekly_peaks")
+    kept = weekly.kept_deltas(peaks, dt.date(2024, 1, 8), dt.date(2024, 2, 5))
+    return kept.where(F.col("week") != dt.date(2024, 1, 29)).select("song_id", "week", "v_prev", "v_start", "v_end", "weeks")
