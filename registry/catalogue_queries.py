@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import fresh_folder, query
@@ -70,18 +71,43 @@ BUNDLE = """
 STEPS = dict(src=_SOURCE, bundle=BUNDLE)
 
 
+#: Order lines that a task numbers and makes documents of, on average.
+LINES_EACH = 200_000
+
+
+def _source(v):
+    """The rows of ``_SOURCE``: lines meet parts and suppliers while they are narrow, and move once
+    more, in partitions of bounded size, to meet their order and be numbered in it."""
+    lines = v.lineitem.join(v.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = lines.join(v.supplier.select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
+    width = max(v.spark.sparkContext.defaultParallelism, -(-v.lineitem.count() // LINES_EACH))
+    orders = v.orders.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").alias("ordered")
+    )
+    joined = lines.repartition(width, "l_orderkey").join(
+        orders.repartition(width, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")
+    )
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity"]
+    return joined.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
+        F.col("l_shipdate").cast("date").alias("shipped"), "o_custkey", "o_orderstatus", "o_orderpriority",
+        "ordered", "s_name", "p_name", "p_type",
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("seq"),
+    )
+
+
 def _pages(v):
     """The documents as a frame of pages."""
-    src = v.sql(_SOURCE)
-    return v.spark.sql(SONG_DOCS, src=src)
+    return v.spark.sql(SONG_DOCS, src=_source(v))
 
 
 def _landed_pages(v):
-    """The documents written as JSON lines and read back, by run."""
+    """The documents written as compressed JSON lines and read back, by run."""
     folder = fresh_folder(v.spark, "songs")
-    pages = _pages(v)
+    # Lines are sorted by run, which the writer asks for, before they become long documents.
+    pages = v.spark.sql(SONG_DOCS, src=_source(v).sortWithinPartitions("l_returnflag"))
     out = pages.select("run", F.to_json(F.struct("page", "items", "totalCount")).alias("value"))
-    out.write.partitionBy("run").text(folder)
+    out.write.partitionBy("run").option("zlib.compress.level", "BEST_SPEED").text(folder, compression="gzip")
     return folder
 
 
