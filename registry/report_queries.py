@@ -45,9 +45,9 @@ def _rows(v):
     return similarity.source_rows(v.songs, v.song_artists, v.artists, v.song_tags, v.tags)
 
 
-def _texts(v):
+def _texts(v, rows=None):
     text = doc.source_text(F.col("title"), F.col("song_type"), F.col("artists"), F.col("tags"))
-    return _rows(v).select("song_id", text.alias("source_text"))
+    return (_rows(v) if rows is None else rows).select("song_id", text.alias("source_text"))
 
 
 @query("k5_collect_artists", "select song_id, array_to_string(artists, '|') as artists from {by_artist}", **SOURCE)
@@ -72,9 +72,9 @@ def _(v):
     return _texts(v)
 
 
-def _stored(v):
+def _stored(v, texts=None):
     """What an earlier run left: nothing for pending orders, an old model for open ones."""
-    done = _texts(v).join(v.orders.where("o_orderstatus <> 'P'"), F.col("song_id") == F.col("o_orderkey"))
+    done = (_texts(v) if texts is None else texts).join(v.orders.where("o_orderstatus <> 'P'"), F.col("song_id") == F.col("o_orderkey"))
     model = F.when(F.col("o_orderstatus") == "O", "old").otherwise("m1")
     return done.select(
         "song_id",
@@ -114,7 +114,10 @@ def _measure(texts: list[str]) -> str:
                 else length(t.source_text) - length(replace(t.source_text, 'a', '')) end as letters, 'm1' as model
     from {texts} t left join {stale} s on s.song_id = t.song_id""", **SOURCE, stale=_STALE)
 def _(v):
-    table, _ = embed_run.run_embed(_rows(v), _stored(v), _measure, "m1", F.lit(RUN_AT))
+    # Both tables are read by several steps: they are made once.
+    rows = materialize(_rows(v))
+    stored = materialize(_stored(v, _texts(v, rows)))
+    table, _ = embed_run.run_embed(rows, stored, _measure, "m1", F.lit(RUN_AT))
     return table.select(
         "song_id", "source_text", F.col("embedding")[0].cast("bigint").alias("size"),
         F.col("embedding")[1].cast("bigint").alias("letters"), "model",
@@ -125,7 +128,8 @@ def _(v):
     select (select count(*) from {songs}) as songs, count(*) as stale, count(*) as embedded from {stale}""",
     **SOURCE, stale=_STALE)
 def _(v):
-    return embed_run.run_embed(_rows(v), _stored(v), _measure, "m1", F.lit(RUN_AT))[1]
+    rows = materialize(_rows(v))
+    return embed_run.run_embed(rows, _stored(v, _texts(v, rows)), _measure, "m1", F.lit(RUN_AT))[1]
 
 
 @query("j3_parse_vectors", """

@@ -36,24 +36,28 @@ def embed_texts(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch_no, alive = TaskContext.get().partitionId() << 32, True
         for frame in frames:
-            for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size]
-                texts, raw = part["source_text"].tolist(), None
+            songs, texts = frame["song_id"].tolist(), frame["source_text"].tolist()
+            parts = [slice(at, at + size) for at in range(0, len(texts), size)]
+            raw = []
+            for part in parts:
+                reply = None
                 if alive:
                     try:
-                        raw = embed(texts)
+                        reply = embed(texts[part])
                     except ServiceUnavailable:
                         alive = False
-                yield pd.DataFrame(
-                    {
-                        "batch_no": [batch_no],
-                        "n": [len(part)],
-                        "songs": [part["song_id"].tolist()],
-                        "texts": [texts],
-                        "raw": pd.Series([raw], dtype="object"),
-                    }
-                )
-                batch_no += 1
+                raw.append(reply)
+            # One frame out for each frame in: a frame for every batch costs more than the batch.
+            yield pd.DataFrame(
+                {
+                    "batch_no": range(batch_no, batch_no + len(parts)),
+                    "n": [len(texts[part]) for part in parts],
+                    "songs": [songs[part] for part in parts],
+                    "texts": [texts[part] for part in parts],
+                    "raw": pd.Series(raw, dtype="object"),
+                }
+            )
+            batch_no += len(parts)
 
     texts = stale.select("song_id", "source_text")
     tasks = tasks_for(texts, -(-texts.count() // size), calls_at_once)
