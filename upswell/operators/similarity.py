@@ -175,7 +175,8 @@ def _best(k: int, ids: np.ndarray, units: np.ndarray, others: np.ndarray, other_
     for at in range(0, len(ids), 1024):
         part = ids[at : at + 1024]
         # Equal vectors have equal distances, whatever block they are met in.
-        dist = np.round(1.0 - units[at : at + 1024] @ other_units.T, 12)
+        dist = units[at : at + 1024] @ other_units.T
+        np.round(np.subtract(1.0, dist, out=dist), 12, out=dist)
         dist[np.isnan(dist)] = np.inf
         dist[part[:, None] == others[None, :]] = np.nan
         # All that are no further than the k-th: ties are settled by id below.
@@ -238,27 +239,35 @@ class Cells:
         """A column function of (vector, distance of its k-th neighbour so far, own cell, own part):
         the blocks that may hold a nearer one, its own left out."""
         places = T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType())]))
-        cells, centres, radius, parts = sorted(self.sizes), self.centres, self.radius, self.parts
+        cells, centres, radius = np.array(sorted(self.sizes), np.int64), self.centres, self.radius
+        counts = np.array([self.parts[c] for c in cells.tolist()], np.int64)
+        # All blocks side by side: the cell (by its place in ``cells``) and the part of each.
+        heads = np.cumsum(counts) - counts
+        of = np.repeat(np.arange(len(cells)), counts)
+        block_cell, block_part = cells[of].astype(np.int32), (np.arange(len(of)) - heads[of]).astype(np.int32)
+
+        def near_cells(vectors: pa.Array, bound: np.ndarray) -> np.ndarray:
+            if centres is None:
+                return np.ones((len(vectors), len(cells)), bool)
+            # Chords: the square is twice the cosine distance. A zero vector reaches everything.
+            rows = np.nan_to_num(_unit(_matrix(vectors)))
+            away = np.sqrt(np.maximum((rows * rows).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * rows @ centres.T, 0))
+            return (away - radius)[:, cells] <= np.sqrt(2 * np.maximum(bound, 0))[:, None] + _SLACK
 
         @F.arrow_udf(places)
         def reach(vectors: pa.Array, kth: pa.Array, cell: pa.Array, part: pa.Array) -> pa.Array:
-            kind = pa.list_(pa.struct([("cell", pa.int32()), ("part", pa.int32())]))
-            if len(vectors) == 0:
-                return pa.array([], kind)
+            own = heads[np.searchsorted(cells, np.asarray(cell))] + np.asarray(part)
             bound = np.asarray(kth, np.float64)
-            if centres is None:
-                near = np.ones((len(vectors), len(cells)), bool)
-            else:
-                # Chords: the square is twice the cosine distance. A zero vector reaches everything.
-                rows = np.nan_to_num(_unit(_matrix(vectors)))
-                away = np.sqrt(np.maximum((rows * rows).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * rows @ centres.T, 0))
-                near = (away - radius)[:, cells] <= np.sqrt(2 * np.maximum(bound, 0))[:, None] + _SLACK
-            own = list(zip(cell.to_pylist(), part.to_pylist()))
-            found = [
-                [{"cell": c, "part": p} for c in np.compress(row, cells).tolist() for p in range(parts[c]) if (c, p) != mine]
-                for row, mine in zip(near, own)
-            ]
-            return pa.array(found, kind)
+            found, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            # Blocks go out as numbers; slices bound the table of songs by blocks held at once.
+            for at in range(0, len(vectors), 1024):
+                near = near_cells(vectors[at : at + 1024], bound[at : at + 1024])[:, of]
+                near[np.arange(len(near)), own[at : at + 1024]] = False
+                found.append(np.nonzero(near)[1].astype(np.int32))
+                sizes.append(near.sum(axis=1))
+            block = np.concatenate(found)
+            pairs = pa.StructArray.from_arrays([pa.array(block_cell[block]), pa.array(block_part[block])], ["cell", "part"])
+            return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pairs)
 
         return reach
 
