@@ -43,6 +43,8 @@ GROUP_BYTES = 128 << 10
 BLOCK_BYTES = 1 << 20
 #: Segments of a key that a batch has no more bytes of count as this many.
 LIGHT_BYTES = 256
+#: Text of the corpus per file of what the shards answer: a few bits for every key and window.
+ANSWERED_BYTES = 256 << 20
 
 _PACKED = "batch bigint, ids binary, sizes binary, text binary"
 _ANSWER = "batch bigint, kind int, shard int, bits binary"
@@ -492,9 +494,12 @@ def repeated_spans(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = partitions_for(total, shard_bytes, shuffle_width(docs))
     offers = packed.mapInArrow(_offers(shards), "shard int, batch bigint, tags binary, heavy binary")
-    first = materialize(offers.groupBy("shard").applyInArrow(_answer_offers(sort_bytes), _ANSWER))
+    # Every shard answers in a few kilobytes: files follow the text, not the shards.
+    files = partitions_for(total, ANSWERED_BYTES)
+    first = offers.groupBy("shard").applyInArrow(_answer_offers(sort_bytes), _ANSWER)
+    first = materialize(first.repartition(files))
     segments = packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_send(shards), _SEGMENTS)
     second = segments.groupBy("shard").applyInArrow(_sort(sort_bytes), _ANSWER)
-    answers = first.unionByName(materialize(second))
+    answers = first.unionByName(materialize(second.repartition(files)))
     found = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut(shards), _RESULT)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
